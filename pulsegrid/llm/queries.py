@@ -11,6 +11,36 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark, sf_dir):
+    from pulsegrid.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filters(spark, sf_dir):
+    from pulsegrid.llm.url_filters import url_filters
+
+    return url_filters(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op7_bpe(spark, sf_dir):
+    from pulsegrid.llm.bpe import encoded
+
+    return encoded(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark, sf_dir):
+    from pulsegrid.llm.language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark, sf_dir):
+    from pulsegrid.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the session was not started from its folder."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
