@@ -5,6 +5,12 @@ from __future__ import annotations
 from pulsegrid.llm.shared import table
 
 
+def op1_warc(spark, sf_dir):
+    from pulsegrid.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark, sf_dir):
     from pulsegrid.llm.quality_rules import quality_rules
 
@@ -41,6 +47,12 @@ def op9_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark, sf_dir):
+    from pulsegrid.llm.decontamination import decontamination
+
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
