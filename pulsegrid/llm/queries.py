@@ -11,6 +11,12 @@ def op1_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_ngram_join(spark, sf_dir):
+    from pulsegrid.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     from pulsegrid.llm.quality_rules import quality_rules
 
