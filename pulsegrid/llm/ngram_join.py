@@ -38,7 +38,7 @@ N = 5
 SIMILARITY = 80  # per cent
 SAMPLE = 16
 HOT_SEEN = 2
-MAX_HOT = 1_000_000
+MAX_HOT = 300_000
 SMALL = 32
 PIVOTS = 8
 LEVELS = 1

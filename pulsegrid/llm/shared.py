@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _OWN: dict[str, str] = {}
 
 
@@ -33,6 +34,9 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join([*paths, root])
+    # texts are long: the default of 10,000 rows would hold some 30 MB and more in each worker at once
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
