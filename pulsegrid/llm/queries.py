@@ -23,6 +23,12 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark, sf_dir):
+    from pulsegrid.llm.lm_scoring import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark, sf_dir):
     from pulsegrid.llm.license_scan import license_scan
 
