@@ -189,8 +189,8 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 yield pa.record_batch([names.slice(s.first, len(found)), pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))], ["doc_id", "shingles"])
 
-    found = docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, shingles array<long>")
-    return found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # what the filter lets through beside the ids meets no pair; a doc_id with several texts is compared by each
+    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,11 +208,15 @@ def _near_sizes(a: str, b: str):
     return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
-def _with_sizes(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Only pairs of class representatives whose sizes allow a link."""
-    size = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
-    other = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"))
-    return pairs.join(size, "a").join(other, "b").filter(_near_sizes("na", "nb")).select("a", "b")
+def _sharing(rows: DataFrame, n, m) -> DataFrame:
+    """Pairs (a, b) of rows (a, b, sizes n and m), one for each shared prefix shingle, that are enough for a link.
+
+    Shingles behind the shorter of both prefixes are all that two sets can share beside those.
+    """
+    beyond = lambda x: F.ceil(x * SIMILARITY / 100) - 1
+    need = F.ceil((n + m) * SIMILARITY / (100 + SIMILARITY) - 1e-6) - F.greatest(beyond(n), beyond(m))
+    counted = rows.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max(need).alias("need"))
+    return counted.filter("shared >= need").select("a", "b")
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -235,8 +239,10 @@ def links_of(docs: DataFrame, signed: DataFrame) -> DataFrame:
     members = written(
         prefix_keys(docs, hot, only).join(regions, "key").join(reps, "doc_id").select("key", "pivot", "doc_id", "n_shingles").distinct()
     )
-    stars = _with_sizes(members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), reps)
-    first = _compared(docs, stars)
+    # a first pass over the pairs with a pivot that most likely link; the last step leaves out none
+    sizes = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"))
+    stars = members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), F.col("n_shingles").alias("n")).join(sizes, "b")
+    first = _compared(docs, _sharing(stars.filter(_near_sizes("n", "m")), F.col("n"), F.col("m")))
     links = first.filter("linked").select("a", "b")
     measured = first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "distance")
     members = written(members.join(measured, ["doc_id", "pivot"], "left").withColumn("distance", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("distance"))))
@@ -248,19 +254,16 @@ def links_of(docs: DataFrame, signed: DataFrame) -> DataFrame:
             break
         draw = F.xxhash64("doc_id", F.lit(level))
         pivots = crowd.groupBy("key", F.pmod(draw, F.lit(PIVOTS)).alias("part")).agg(F.min_by(F.struct("doc_id", "component", "n_shingles", "distance"), draw).alias("q"))
-        pairs = _window(crowd.join(pivots.select("key", "q"), "key"), "q.").filter("doc_id <> q.doc_id").select(F.greatest("doc_id", "q.doc_id").alias("a"), F.least("doc_id", "q.doc_id").alias("b"))
-        links = written(links.union(_compared(docs, pairs.distinct()).filter("linked").select("a", "b")))
+        pairs = _window(crowd.join(pivots.select("key", "q"), "key"), "q.").filter("doc_id <> q.doc_id").select(F.greatest("doc_id", "q.doc_id").alias("a"), F.least("doc_id", "q.doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("q.n_shingles").alias("m"))
+        links = written(links.union(_compared(docs, _sharing(pairs, F.col("n"), F.col("m"))).filter("linked").select("a", "b")))
     rest = _labelled(members, links)
     counted = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d")
     counted = written(counted.select("key", (F.col("n") > SMALL).alias("crowded")))
     small = rest.join(counted.filter("not crowded").select("key"), "key")
     other = small.select("key", F.struct("doc_id", "component", "n_shingles", "distance").alias("q"))
     pairs = _window(small.join(other, "key").filter("doc_id > q.doc_id"), "q.")
-    n, m = F.col("n_shingles"), F.col("q.n_shingles")
-    beyond = lambda x: F.ceil(x * SIMILARITY / 100) - 1  # noqa: E731  shingles behind the prefix
-    need = F.ceil((n + m) * SIMILARITY / (100 + SIMILARITY) - 1e-6) - F.greatest(beyond(n), beyond(m))
-    pairs = pairs.groupBy(F.col("doc_id").alias("a"), F.col("q.doc_id").alias("b")).agg(F.count("*").alias("shared"), F.max(need).alias("need"))
-    near = _compared(docs, pairs.filter("shared >= need").select("a", "b")).filter("linked").select("a", "b")
+    pairs = pairs.select(F.col("doc_id").alias("a"), F.col("q.doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("q.n_shingles").alias("m"))
+    near = _compared(docs, _sharing(pairs, F.col("n"), F.col("m"))).filter("linked").select("a", "b")
     crowd = rest.join(counted.filter("crowded").select("key"), "key").select("pivot", "doc_id", "n_shingles", "distance", "component").distinct()
     return links.union(near).union(_block_links(docs, crowd))
 
