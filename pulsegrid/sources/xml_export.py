@@ -62,7 +62,7 @@ def cleaned(raw: DataFrame) -> DataFrame:
         F.col("_value").alias("raw_value"),
         M.moment(F.col("_startDate")).alias("start_ts"),
         M.moment(F.col("_endDate")).alias("end_ts"),
-        F.monotonically_increasing_id().alias("place"),
+        (F.lit(0).cast("long") if raw.isStreaming else F.monotonically_increasing_id()).alias("place"),
     )
 
 
