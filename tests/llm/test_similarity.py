@@ -45,7 +45,7 @@ def test_join_of_nothing(docs):
 def brute_hits(rows, items):
     windows = {}
     for i, t in items:
-        w = words(t, ALNUM)
+        w = words(t, ALNUM) if i is not None else []
         n = min(10, len(w))
         for a in range(len(w) - n + 1 if n else 0):
             windows.setdefault(tuple(w[a : a + n]), set()).add(str(i))
