@@ -276,6 +276,35 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN a >= 75 THEN 'maintain' WHEN a >= 50 THEN 'watch' ELSE 'maintain' END AS action_kind, 'high' AS sample_quality FROM i)""",
             "state, action_kind, sample_quality, direction, c_score, b_score",
         ),
+        "run_economy": _composite(
+            {
+                f"{n}{k}": f"(SELECT avg(p.{c}) FROM perf p JOIN workouts w ON w.id = p.id WHERE w.type = 'Running' AND {_span(win, 'w.start_ts')})"
+                for n, c in (("v", "speed"), ("w", "power"), ("o", "vertical_oscillation_cm"), ("g", "ground_contact_time_ms"), ("s", "stride_length_m"))
+                for k, win in (("", "cur"), ("0", "base"))
+            }
+            | {f"h{k}": f"(SELECT avg(bpm) FROM hr WHERE type = 'Running' AND {_span(win, 'start_ts')})" for k, win in (("", "cur"), ("0", "base"))},
+            f""", t AS (SELECT *, v / nullif(w, 0) AS a, v0 / nullif(w0, 0) AS a0, v / nullif(h, 0) AS b, v0 / nullif(h0, 0) AS b0,
+              coalesce(greatest(0, o - 10), 0) + coalesce(greatest(0, g - 300), 0) / 20 + coalesce(greatest(0, 1 - s), 0) * 10 AS m,
+              coalesce(greatest(0, o0 - 10), 0) + coalesce(greatest(0, g0 - 300), 0) / 20 + coalesce(greatest(0, 1 - s0), 0) * 10 AS m0 FROM i),
+            k AS (SELECT *, {_trend('a', 'a0')} AS ta, {_trend('b', 'b0')} AS tb, {_trend('m', 'm0', False)} AS tm,
+              CASE WHEN v IS NULL OR h IS NULL THEN 'poor' WHEN v0 IS NULL OR h0 IS NULL OR w IS NULL OR w0 IS NULL THEN 'mixed' ELSE 'high' END AS sample_quality FROM t),
+            q AS (SELECT *, CASE WHEN sample_quality = 'poor' THEN 'insufficient data' WHEN tm = 'declining' OR m - m0 >= 1 THEN 'mechanics' WHEN ta = 'improving' AND tb = 'improving' THEN 'fitness'
+              WHEN ta = 'declining' AND tb <> 'improving' THEN 'output' ELSE 'mixed economy' END AS state FROM k),
+            r AS (SELECT state, sample_quality, round(m, 6) AS c_penalty, round(m0, 6) AS b_penalty, CASE state WHEN 'insufficient data' THEN 'retest' WHEN 'mechanics' THEN 'watch' ELSE 'maintain' END AS action_kind FROM q)""",
+            "state, action_kind, sample_quality, c_penalty, b_penalty",
+        ),
+        "run_fatigue_flags": _with(
+            f""", rd AS (SELECT CAST(ts AS DATE) AS day, avg(bpm) AS v FROM resting_hr GROUP BY 1), vd AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS v FROM hrv GROUP BY 1),
+            f AS (SELECT w.id, w.start_ts, q.sample_quality, d.drift_pct, c.decoupling_pct, a.speed_fade_pct, a.power_fade_pct, x.context_label,
+              (SELECT v FROM rd WHERE day = CAST(w.start_ts AS DATE)) AS r1, (SELECT avg(v) FROM rd WHERE day BETWEEN CAST(w.start_ts AS DATE) - 7 AND CAST(w.start_ts AS DATE) - 1) AS r0,
+              (SELECT v FROM vd WHERE day = CAST(w.start_ts AS DATE)) AS v1, (SELECT avg(v) FROM vd WHERE day BETWEEN CAST(w.start_ts AS DATE) - 7 AND CAST(w.start_ts AS DATE) - 1) AS v0
+              FROM workouts w JOIN qualities q ON q.workout_id = w.id JOIN drifts d ON d.id = w.id JOIN decouplings c ON c.id = w.id JOIN fades a ON a.id = w.id JOIN contexts x ON x.workout_id = w.id WHERE w.type = 'Running'),
+            g AS (SELECT *, CASE WHEN sample_quality = 'poor' THEN 'poor_sample_quality' WHEN coalesce(drift_pct, 0) >= 6 OR coalesce(decoupling_pct, 0) >= 6 THEN 'cardiac_drift'
+              WHEN coalesce(speed_fade_pct, 0) >= 5 OR coalesce(power_fade_pct, 0) >= 5 THEN 'pacing_fade'
+              WHEN {_trend('r1', 'r0', False)} = 'declining' OR {_trend('v1', 'v0')} = 'declining' THEN 'under_recovered' ELSE 'clean_aerobic' END AS diagnosis FROM f)
+            SELECT id AS workout_id, start_ts, diagnosis, sample_quality, context_label, {_r('drift_pct', 'decoupling_pct', 'speed_fade_pct', 'power_fade_pct')},
+              CASE diagnosis WHEN 'clean_aerobic' THEN 'maintain' WHEN 'poor_sample_quality' THEN 'retest' ELSE 'run_easier' END AS action_kind, {CONF} FROM g"""
+        ).replace(") , rd AS", "), rd AS"),
         "dashboard_series_summary": _with(
             ", d AS ("
             + " UNION ALL ".join(
