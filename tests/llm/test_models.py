@@ -77,7 +77,7 @@ def test_base_scores_equal_brute_force_and_the_model_is_better(spark, docs):
 
 def test_model_probabilities_add_up():
     keys = np.array([1 << 16 | 2, 1 << 16 | 3, 1 << 16, 17 << 16 | 2], np.uint32)
-    trie = lm_scoring.Trie({1: lm_scoring.build_levels(keys, np.array([5.0, 1, 2, 1]), 10)})
+    trie = lm_scoring.Trie({1: lm_scoring.build_levels(keys, np.array([5.0, 1, 2, 1]), 10)}, 16)
     p, weight = trie.pair(np.array([1, 1, 17, 5]), np.array([2, 3, 2, 2]))
     assert p[0] + p[1] + weight[0] == pytest.approx(1, abs=1e-4)
     assert p[2] + weight[2] == pytest.approx(1, abs=1e-4)
