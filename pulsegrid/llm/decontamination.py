@@ -298,7 +298,8 @@ def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         parts += 1
     if found is None:
         return _digest(_counted(docs), joined=False)
-    return _digest(found, joined=parts > 1)
+    # written, so that no task holds two Python workers
+    return _digest(found if parts > 1 else written(found), joined=parts > 1)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
