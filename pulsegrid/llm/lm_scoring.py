@@ -1,25 +1,25 @@
-"""LM scoring: an interpolated n-gram model in an Elias-Fano trie, and exact unigram statistics of the whole corpus.
+"""LM scoring: an interpolated model of word pairs in Elias-Fano tries, and exact unigram statistics of the whole corpus.
 
 Texts become blocks: for each slice of documents the sorted hashes of its distinct words and the text as places in
-that list, both compressed; the block table is written once. Each block sends its words with their training counts
-to shards by hash; a shard adds up what all blocks sent and answers each block, so every word's exact count comes back
-without a vocabulary in any one place. No block sends a word twice, so frequent words are no larger than rare ones.
-
-The trie holds pairs of the ``TRIE_WORDS`` most frequent words (and the start of a text). All training pairs are
-counted; of these the most frequent of each shard are kept, ``TRIE_PAIRS`` in all, which bounds the model (about 4 bytes each) whatever the input, and the rest
-falls to the unigram level by an exact back-off weight, so probabilities add up to one. First level: contexts, with monotone
-Elias-Fano pointers and back-off weights. Second level: successors, made monotone by their context's rank, and absolute-discounted
-probabilities quantised to 8 bits. Workers map the levels from a file and search a successor within its context's range.
-
-Null text counts as empty: one token, its end. A null doc_id is learned from and not held out; repeated rows are
-counted and scored one by one; an empty table gives an empty result; other columns are ignored. Words are told apart by 64-bit hashes.
+that list, both compressed; the block table is written once. Each block sends its words with their training counts,
+and the successors of each word with theirs, to shards by the word's hash; a shard adds up what all blocks sent and
+answers each block, so every exact count comes back without a vocabulary or a model in any one place. No block sends a
+word or a pair twice.
+
+Each shard is a trie of all words and pairs counted, so the model grows with the input and nothing is cut. First level: words,
+with monotone Elias-Fano pointers. Second level: successors, made monotone by their context's rank, with exact counts. A pair's
+probability is absolute-discounted with one discount for the corpus; what the discount takes goes to the unigram level, so
+probabilities add up to one, and scores do not depend on the number of shards.
+
+Null text counts as empty: one token, its end. The end of a text is also the context of a first word. A null doc_id is learned
+from and not held out; repeated rows are counted and scored one by one; an empty table gives an empty result; other columns are
+ignored. Words are told apart by 64-bit hashes, successors of one word by ``CHILD_BITS`` bits of these.
 """
 
 from __future__ import annotations
 
 import mmap
 import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +33,9 @@ from pulsegrid.llm.textops import SPACED, slices, word_hashes, words
 
 FOLDS = 10
 ALPHA = 0.1
-TRIE_WORDS = 65_000
-TRIE_PAIRS = 2_000_000
-MIN_TRIE_SHARDS, MAX_TRIE_SHARDS = 16, 1024
 SHARD_WORDS = 400_000
 BLOCK_BYTES = 4 << 20
+CHILD_BITS = 42
 #: Stands for the end of a text among word hashes.
 END = np.uint64(0x0E4D0F7E87000001)
 FLOOR = 1e-7  # the least probability that a code stands for
@@ -106,11 +104,24 @@ def _training(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return places, learned, begins
 
 
-ANSWERS = "block long, shard long, counts binary, word long, n long, distinct long"
+def _successors(vocab: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order of context and successor: the context's place and the successor's bits; and for each token its pair and context.
+
+    The text before ends where a text begins, so the end is the context of each first word.
+    """
+    before = np.empty_like(places)
+    before[1:] = places[:-1]
+    before[:1] = places[-1:]
+    child, rank = np.unique((vocab >> np.uint64(64 - CHILD_BITS)).astype(np.int64), return_inverse=True)
+    keys, back = np.unique(before * len(child) + rank[places], return_inverse=True)
+    return keys // len(child), child[keys % len(child)], back, before
+
+
+ANSWERS = "block long, shard long, counts binary, kinds binary, pairs binary, n long, distinct long, ones long, twos long"
 
 
 def word_answers(table: DataFrame, shards: int) -> DataFrame:
-    """For each block and shard the counts of the block's words; and for each shard its totals and most frequent words."""
+    """For each block and shard the counts of the block's words, how many successors each has, and the counts of its pairs; and each shard's totals."""
     shift = np.uint64(64 - (shards.bit_length() - 1))
 
     def ask(batches):
@@ -119,43 +130,50 @@ def word_answers(table: DataFrame, shards: int) -> DataFrame:
                 vocab = _unpack_sorted(row["vocab"], np.uint64)
                 places, learned, _ = _training(row)
                 counts = np.bincount(places[learned], minlength=len(vocab)).astype(np.uint32)
+                context, child, back, _ = _successors(vocab, places)
+                pairs = np.bincount(back[learned], minlength=len(context)).astype(np.uint32)
+                heads = np.searchsorted(context, np.arange(len(vocab) + 1))
                 edges = np.searchsorted((vocab >> shift).astype(np.int64) if shards > 1 else np.zeros(len(vocab), np.int64), np.arange(shards + 1))
-                live = [k for k in range(shards) if edges[k] < edges[k + 1]]
-                yield pa.record_batch(
-                    [
-                        pa.array(live, pa.int64()),
-                        pa.array([row["block"]] * len(live), pa.int64()),
-                        pa.array([_pack_sorted(vocab[edges[k] : edges[k + 1]]) for k in live], pa.binary()),
-                        pa.array([_pack(counts[edges[k] : edges[k + 1]]) for k in live], pa.binary()),
-                    ],
-                    ["shard", "block", "words", "counts"],
-                )
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    a, b = edges[k], edges[k + 1]
+                    own = slice(heads[a], heads[b])
+                    packed = [_pack_sorted(vocab[a:b]), _pack(counts[a:b]), _pack(np.diff(heads[a : b + 1]).astype(np.uint32)), _pack(child[own]), _pack(pairs[own])]
+                    yield pa.record_batch(
+                        [pa.array([k], pa.int64()), pa.array([row["block"]], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)],
+                        ["shard", "block", "words", "counts", "sizes", "children", "pairs"],
+                    )
 
     def answer(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
-        asked = [_unpack_sorted(x.as_py(), np.uint64) for x in group.column("words")]
-        sent = [_unpack(x.as_py(), np.uint32) for x in group.column("counts")]
+        column = lambda name, unpack, kind: [unpack(x.as_py(), kind) for x in group.column(name)]
+        asked = column("words", _unpack_sorted, np.uint64)
         known, back = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(back, np.concatenate(sent).astype(float)).astype(np.uint64)
-        ends = np.cumsum([len(a) for a in asked])
-        counts = [_pack(total[back[e - len(a) : e]]) for e, a in zip(ends, asked)]
-        most = np.argsort(total, kind="stable")[::-1][: 4 * TRIE_WORDS // shards + 16]
-        most = most[total[most] > 0]
+        total = np.bincount(back, np.concatenate(column("counts", _unpack, np.uint32)).astype(float)).astype(np.uint64)
+        if len(known) << CHILD_BITS >= 1 << 63:
+            raise ValueError("too many words in a shard")
+        context = np.repeat(back, np.concatenate(column("sizes", _unpack, np.uint32)))
+        children = column("children", _unpack, np.int64)
+        wanted = context << CHILD_BITS | np.concatenate(children)
+        sent = np.concatenate(column("pairs", _unpack, np.uint32))
+        trie = ShardTrie.of(wanted[sent > 0], sent[sent > 0], len(known))
+        kinds, found = trie.kinds(), trie.counts(wanted)
+        ends, pair_ends = np.cumsum([len(a) for a in asked]), np.cumsum([len(c) for c in children])
         n = len(asked)
-        none = [None] * len(most)
         return pa.table(
             {
-                "block": pa.array(group.column("block").to_pylist() + [None] + none, pa.int64()),
-                "shard": pa.array([shard] * (n + 1 + len(most)), pa.int64()),
-                "counts": pa.array(counts + [None] + none, pa.binary()),
-                "word": pa.array([None] * (n + 1) + known[most].view(np.int64).tolist(), pa.int64()),
-                "n": pa.array([None] * n + [int(total.sum())] + total[most].astype(np.int64).tolist(), pa.int64()),
-                "distinct": pa.array([None] * n + [int((total > 0).sum())] + none, pa.int64()),
+                "block": pa.array(group.column("block").to_pylist() + [None], pa.int64()),
+                "shard": pa.array([group.column("shard")[0].as_py()] * (n + 1), pa.int64()),
+                "counts": pa.array([_pack(total[back[e - len(a) : e]]) for e, a in zip(ends, asked)] + [None], pa.binary()),
+                "kinds": pa.array([_pack(kinds[back[e - len(a) : e]]) for e, a in zip(ends, asked)] + [None], pa.binary()),
+                "pairs": pa.array([_pack(found[e - len(c) : e]) for e, c in zip(pair_ends, children)] + [None], pa.binary()),
+                "n": pa.array([None] * n + [int(total.sum())], pa.int64()),
+                "distinct": pa.array([None] * n + [int((total > 0).sum())], pa.int64()),
+                "ones": pa.array([None] * n + [int((trie.n == 1).sum())], pa.int64()),
+                "twos": pa.array([None] * n + [int((trie.n == 2).sum())], pa.int64()),
             }
         )
 
-    asked = table.select("block", "held", "sizes", "vocab", "places").mapInArrow(ask, "shard long, block long, words binary, counts binary")
-    return asked.groupBy("shard").applyInArrow(answer, ANSWERS)
+    asks = "shard long, block long, words binary, counts binary, sizes binary, children binary, pairs binary"
+    return table.select("block", "held", "sizes", "vocab", "places").mapInArrow(ask, asks).groupBy("shard").applyInArrow(answer, ANSWERS)
 
 
 class EliasFano:
@@ -169,15 +187,47 @@ class EliasFano:
         values = values.astype(np.int64)
         n = len(values)
         low_bits = max(0, int(np.log2(max(1, (int(values[-1]) + 1) / n)))) if n else 0
-        low = (values[:, None] >> np.arange(low_bits)) & 1
+        low = np.empty((n, low_bits), np.uint8)
+        for k in range(low_bits):  # bit by bit, so that no array of 64-bit bits arises
+            low[:, k] = (values >> k) & 1
         high = np.zeros(n + (int(values[-1]) >> low_bits) + 1 if n else 0, np.uint8)
         high[(values >> low_bits) + np.arange(n)] = 1
-        return cls(n, low_bits, np.packbits(low.astype(np.uint8).reshape(-1)), np.packbits(high))
+        return cls(n, low_bits, np.packbits(low.reshape(-1)), np.packbits(high))
 
     def values(self) -> np.ndarray:
         at = np.flatnonzero(np.unpackbits(self.high))[: self.n] - np.arange(self.n)
-        low = np.unpackbits(self.low)[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return (at << self.low_bits) + (low << np.arange(self.low_bits)).sum(1)
+        low = np.unpackbits(self.low)[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+        out = at << self.low_bits
+        for k in range(self.low_bits):
+            out |= low[:, k].astype(np.int64) << k
+        return out
+
+
+class ShardTrie:
+    """All pairs of one shard: pointers of contexts, successors under their context's rank, and exact counts."""
+
+    def __init__(self, pointers: EliasFano, successors: EliasFano, n: np.ndarray):
+        self.pointers, self.successors, self.n = pointers, successors, n
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray, contexts: int) -> ShardTrie:
+        """From pairs (rank of context << CHILD_BITS | successor), which may repeat, and counts."""
+        kept, back = np.unique(keys, return_inverse=True)
+        n = np.bincount(back, counts.astype(float), minlength=len(kept)).astype(np.uint64)
+        heads = np.searchsorted(kept >> CHILD_BITS, np.arange(contexts + 1))
+        return cls(EliasFano.of(heads), EliasFano.of(kept), n)
+
+    def kinds(self) -> np.ndarray:
+        """The number of successors of each context."""
+        return np.diff(self.pointers.values()).astype(np.uint32)
+
+    def counts(self, wanted: np.ndarray) -> np.ndarray:
+        """The count of each pair, 0 for those not in training."""
+        kept = self.successors.values()
+        if not len(kept):
+            return np.zeros(len(wanted), np.uint64)
+        at = np.minimum(np.searchsorted(kept, wanted), len(kept) - 1)
+        return np.where(kept[at] == wanted, self.n[at], np.uint64(0))
 
 
 def _code(p: np.ndarray) -> np.ndarray:
@@ -261,91 +311,21 @@ class Trie:
         return p, weight
 
 
-def _ids(vocab: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """Trie ids of words: 2 and up for those in the trie, 0 for others; 1 is the start of a text."""
-    if not len(top):
-        return np.zeros(len(vocab), np.int64)
-    at = np.minimum(np.searchsorted(top, vocab), len(top) - 1)
-    return np.where(top[at] == vocab, at + 2, 0)
-
-
-def _contexts(ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[begins] = 1
-    return before
-
-
-def trie_levels(table: DataFrame, top: np.ndarray, shards: int) -> dict[int, bytes]:
-    """Count pairs in all training texts and build each shard's levels; their size is bounded by TRIE_PAIRS.
-
-    Contexts are dealt over ``shards``, so that what one task gathers does not grow with the input.
-    """
-    shared = table.sparkSession.sparkContext.broadcast(top)
-
-    def count(batches):
-        keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-        def emit():
-            shard = (keys >> np.uint32(16)).astype(np.int64) % shards
-            order = np.argsort(shard, kind="stable")  # keys stay sorted within a shard
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            for k in np.flatnonzero(np.diff(edges)).tolist():
-                own = order[edges[k] : edges[k + 1]]
-                yield pa.record_batch(
-                    [pa.array([k], pa.int64()), pa.array([_pack_sorted(keys[own])], pa.binary()), pa.array([_pack(counts[own].astype(np.uint32))], pa.binary())], ["shard", "pairs", "counts"]
-                )
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                places, learned, begins = _training(row)
-                ids = _ids(_unpack_sorted(row["vocab"], np.uint64), shared.value)[places]
-                before = _contexts(ids, begins)
-                use = learned & (before > 0)
-                new, n = np.unique((before[use] << 16 | ids[use]).astype(np.uint32), return_counts=True)
-                keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
-                if len(keys) > 4_000_000:
-                    yield from emit()
-                    keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        yield from emit()
-
-    def build(group: pa.Table) -> pa.Table:
-        keys = np.concatenate([_unpack_sorted(x.as_py(), np.uint32) for x in group.column("pairs")])
-        n = np.concatenate([_unpack(x.as_py(), np.uint32) for x in group.column("counts")])
-        keys, back = np.unique(keys, return_inverse=True)
-        levels = build_levels(keys, np.bincount(back, n.astype(float)), TRIE_PAIRS // shards)
-        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int64()), "levels": pa.array([levels], pa.binary())})
-
-    sent = table.select("held", "sizes", "vocab", "places").mapInArrow(count, "shard long, pairs binary, counts binary")
-    rows = sent.groupBy("shard").applyInArrow(build, "shard long, levels binary").orderBy("shard").collect()
-    return {r["shard"]: bytes(r["levels"]) for r in rows}
-
-
-#: The trie that this worker has mapped, by the name of its model.
-_TRIES: dict[str, Trie] = {}
-
-
-def scored(table: DataFrame, answers: DataFrame, levels: dict[int, bytes], trie_shards: int, top: np.ndarray, tokens: int, distinct: int) -> DataFrame:
+def scored(table: DataFrame, answers: DataFrame, tokens: int, distinct: int, discount: float) -> DataFrame:
     """Scores of all documents of all blocks."""
-    shared = table.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, levels, top))
     bottom = tokens + ALPHA * (distinct + 1)
 
     def run(batches):
         for batch in batches:
-            model, levels, top = shared.value
-            if model not in _TRIES:
-                _TRIES.clear()
-                _TRIES[model] = Trie(levels, trie_shards)
-            trie = _TRIES[model]
             for row in batch.to_pylist():
-                counts = np.concatenate([_unpack(x["counts"], np.uint64) for x in row["found"]]).astype(float)
+                whole = lambda name, kind: np.concatenate([_unpack(x[name], kind) for x in row["found"]]).astype(float)  # noqa: B023, E731
+                counts, kinds, pairs = whole("counts", np.uint64), whole("kinds", np.uint32), whole("pairs", np.uint64)
                 places, _, begins = _training(row)
                 p1 = ((counts + ALPHA) / bottom)[places]
-                ids = _ids(_unpack_sorted(row["vocab"], np.uint64), top)[places]
-                p, weight = trie.pair(_contexts(ids, begins), ids)
+                _, _, back, before = _successors(_unpack_sorted(row["vocab"], np.uint64), places)
+                p = mixed(pairs[back], counts[before], kinds[before], p1, discount)
                 heads = np.flatnonzero(begins)
-                per = lambda x: np.add.reduceat(x, heads)
+                per = lambda x: np.add.reduceat(x, heads)  # noqa: B023, E731
                 yield pa.record_batch(
                     [
                         pa.array(row["docs"], pa.int64()),
@@ -354,16 +334,21 @@ def scored(table: DataFrame, answers: DataFrame, levels: dict[int, bytes], trie_
                         pa.array(per((counts[places] > 0).astype(np.int64)), pa.int64()),
                         pa.array([tokens] * len(heads), pa.int64()),
                         pa.array(per(np.log10(p1))),
-                        pa.array(per(np.log10(np.maximum(p + weight * p1, 1e-300)))),
+                        pa.array(per(np.log10(np.maximum(p, 1e-300)))),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    found = answers.filter("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "counts"))).alias("found"))
+    found = answers.filter("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "counts", "kinds", "pairs"))).alias("found"))
     joined = table.select("block", "docs", "held", "sizes", "vocab", "places").join(found, "block")
     return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def mixed(pairs: np.ndarray, totals: np.ndarray, kinds: np.ndarray, p1: np.ndarray, discount: float) -> np.ndarray:
+    """Probabilities from counts of pairs, of their contexts, and of the contexts' successors; unigram ones after unknown contexts."""
+    return np.where(totals > 0, (np.maximum(pairs - discount, 0) + discount * kinds * p1) / np.maximum(totals, 1), p1)
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
@@ -371,8 +356,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     size = table.agg(F.sum("n_words")).first()[0] or 0
     shards = 1 << max(4, (size // SHARD_WORDS).bit_length())
     answers = written(word_answers(table, shards))
-    totals = answers.filter("distinct is not null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
-    rows = answers.filter("word is not null").orderBy(F.desc("n"), "word").limit(TRIE_WORDS).select("word").toPandas()
-    top = np.sort(rows["word"].to_numpy(np.int64).view(np.uint64))
-    trie_shards = min(MAX_TRIE_SHARDS, max(MIN_TRIE_SHARDS, shards))
-    return scored(table, answers, trie_levels(table, top, trie_shards), trie_shards, top, totals["n"], totals["v"])
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "distinct", "ones", "twos")]
+    totals = answers.filter("distinct is not null").agg(*sums).first()
+    discount = min(0.9, max(0.1, totals["ones"] / max(1, totals["ones"] + 2 * totals["twos"])))
+    return scored(table, answers, totals["n"], totals["distinct"], discount)

@@ -84,6 +84,32 @@ def test_model_probabilities_add_up():
     assert (p[3], weight[3]) == (0, 1)
 
 
+@pytest.mark.parametrize("shard_words", [400_000, 50])
+def test_scores_use_every_pair_of_the_corpus(docs, monkeypatch, shard_words):
+    monkeypatch.setattr(lm_scoring, "SHARD_WORDS", shard_words)
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 3000)
+    # a model of a fixed number of pairs scores most of these like unigrams
+    monkeypatch.setattr(lm_scoring, "TRIE_WORDS", 40, raising=False)
+    monkeypatch.setattr(lm_scoring, "TRIE_PAIRS", 32, raising=False)
+    rows = sample() + [(500 + i, "the cat sat on the " + prose(i, 20)) for i in range(60)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    tokens = {i: words(t) + [None] for i, t in rows}
+    learned = [t for i, t in tokens.items() if not held(i)]
+    ones = Counter(w for t in learned for w in t)
+    twos = Counter(pair for t in learned for pair in zip([None] + t, t))
+    after = Counter(a for a, _ in twos)
+    n1, n2 = (sum(n == k for n in twos.values()) for k in (1, 2))
+    d = min(0.9, max(0.1, n1 / (n1 + 2 * n2)))
+    bottom = ones.total() + 0.1 * (len(ones) + 1)
+
+    def p(a, w):
+        low = (ones[w] + 0.1) / bottom
+        return (max(twos[a, w] - d, 0) + d * after[a] * low) / ones[a] if ones[a] else low
+
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs(rows)).collect()}
+    assert got == {i: pytest.approx(sum(math.log10(p(a, w)) for a, w in zip([None] + t, t))) for i, t in tokens.items()}
+
+
 def test_language_of_held_out_texts(spark):
     spoken = {"en": "the and of with this that", "de": "der und die nicht mit schön", "fr": "le les et dans où être"}
     rows = []
