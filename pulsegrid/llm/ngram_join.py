@@ -13,6 +13,8 @@ what shingles with the same pivot gather. The distance of every member to its pi
   only. Small regions give pairs, kept if the shingles that both prefixes share suffice for a link; crowded regions are dealt
   out in blocks of bounded size, each compared within one task that returns links alone.
 
+With ``whole`` every document is its own component throughout, so the same windows and blocks give all links.
+
 Distances are computed for sizes that the threshold allows; others have no link.
 
 The order of shingles puts those frequent in a hash sample of one in ``SAMPLE`` documents last, then goes by hash. The order
@@ -225,8 +227,8 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return written(members.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
 
 
-def links_of(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(a, b): links between different sets that make all components; by representatives."""
+def links_of(docs: DataFrame, signed: DataFrame, whole: bool = False) -> DataFrame:
+    """(a, b): links between different sets that make all components, or with ``whole`` every link, a > b; by representatives."""
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(hot_shingles(docs))
     regions = written(
@@ -246,7 +248,7 @@ def links_of(docs: DataFrame, signed: DataFrame) -> DataFrame:
     links = first.filter("linked").select("a", "b")
     measured = first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "distance")
     members = written(members.join(measured, ["doc_id", "pivot"], "left").withColumn("distance", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("distance"))))
-    for level in range(LEVELS):
+    for level in range(0 if whole else LEVELS):
         open_ = _labelled(members, links)
         crowded = open_.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d")).filter((F.col("n") > SMALL) & (F.col("c") < F.col("d")))
         crowd = written(open_.join(crowded.select("key"), "key"))
@@ -256,7 +258,8 @@ def links_of(docs: DataFrame, signed: DataFrame) -> DataFrame:
         pivots = crowd.groupBy("key", F.pmod(draw, F.lit(PIVOTS)).alias("part")).agg(F.min_by(F.struct("doc_id", "component", "n_shingles", "distance"), draw).alias("q"))
         pairs = _window(crowd.join(pivots.select("key", "q"), "key"), "q.").filter("doc_id <> q.doc_id").select(F.greatest("doc_id", "q.doc_id").alias("a"), F.least("doc_id", "q.doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("q.n_shingles").alias("m"))
         links = written(links.union(_compared(docs, _sharing(pairs, F.col("n"), F.col("m"))).filter("linked").select("a", "b")))
-    rest = _labelled(members, links)
+    # with every document as its own component no pair is left out
+    rest = members.withColumn("component", F.col("doc_id")) if whole else _labelled(members, links)
     counted = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d")
     counted = written(counted.select("key", (F.col("n") > SMALL).alias("crowded")))
     small = rest.join(counted.filter("not crowded").select("key"), "key")
@@ -265,17 +268,18 @@ def links_of(docs: DataFrame, signed: DataFrame) -> DataFrame:
     pairs = pairs.select(F.col("doc_id").alias("a"), F.col("q.doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("q.n_shingles").alias("m"))
     near = _compared(docs, _sharing(pairs, F.col("n"), F.col("m"))).filter("linked").select("a", "b")
     crowd = rest.join(counted.filter("crowded").select("key"), "key").select("pivot", "doc_id", "n_shingles", "distance", "component").distinct()
-    return links.union(near).union(_block_links(docs, crowd))
+    found = links.union(near).union(_block_links(docs, crowd, whole))
+    return written(found.distinct()) if whole else found
 
 
-def _block_links(docs: DataFrame, crowd: DataFrame) -> DataFrame:
-    """(a, b): links between components of each crowded region, compared block by block.
+def _block_links(docs: DataFrame, crowd: DataFrame, whole: bool = False) -> DataFrame:
+    """(a, b): links between components of each crowded region, or with ``whole`` all links, compared block by block.
 
     Members outside the largest known component (that of the pivot, else the least) are dealt into blocks by their
     shingles in all, as are all members; each pair of blocks is one task's work.
     """
     main = crowd.groupBy("pivot").agg(F.coalesce(F.min(F.when(F.col("distance") <= 1 - SIMILARITY / 100, F.col("component"))), F.min("component")).alias("main"))
-    crowd = written(crowd.join(main, "pivot").withColumn("outer", F.col("component") != F.col("main")))
+    crowd = written(crowd.join(main, "pivot").withColumn("outer", F.lit(whole) | (F.col("component") != F.col("main"))))
     blocks = crowd.groupBy("pivot").agg(
         F.ceil(F.sum(F.when(F.col("outer"), F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES).alias("outer_blocks"),
         F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("all_blocks"),
@@ -303,7 +307,7 @@ def _block_links(docs: DataFrame, crowd: DataFrame) -> DataFrame:
         for k in range(len(ids)):
             own = flat[bounds[k] - bounds[0] : bounds[k + 1] - bounds[0]]
             apart = np.abs(dist[k] - dist2)
-            ok = (comps2 != comps[k]) & (100 * np.minimum(sizes2, len(own)) >= SIMILARITY * np.maximum(sizes2, len(own)))
+            ok = (comps2 < comps[k] if whole else comps2 != comps[k]) & (100 * np.minimum(sizes2, len(own)) >= SIMILARITY * np.maximum(sizes2, len(own)))
             ok &= np.isnan(apart) | (apart <= 1 - SIMILARITY / 100 + 1e-9)
             if not ok.any():
                 continue
@@ -335,16 +339,32 @@ def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(compared(pairs, written(sets_of(docs, ids))))
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document, and whether it stands for its component."""
+def ngram_links(docs: DataFrame) -> DataFrame:
+    """(a, b) with a > b: every link between different sets, by the least document of each; classes of equal sets are in ``ngram_join``."""
+    return links_of(docs, written(signatures(docs)), whole=True)
+
+
+def ngram_join(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and class_id of each document.
+
+    With ``whole`` all links are found, not only those that make the components, and ``n_links`` counts the
+    other documents that each is linked with, equal ones included.
+    """
     signed = written(signatures(docs))
-    classes = written(
-        signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")).filter("copies > 1")
-    )
-    labels = components(links_of(docs, signed)).withColumnRenamed("node", "class_id")
-    return (
+    every = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    classes = written(every if whole else every.filter("copies > 1"))
+    links = links_of(docs, signed, whole)
+    labels = components(links).withColumnRenamed("node", "class_id")
+    found = (
         signed.join(classes, ["n_shingles", "s1", "s2"], "left")
         .withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
         .join(labels, "class_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
     )
+    digest = ["doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id"]
+    if not whole:
+        return found.select(*digest)
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    copies = classes.groupBy(F.col("class_id").alias("b")).agg(F.sum("copies").alias("n"))
+    near = both.join(copies, "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("near"))
+    n_links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("near", F.lit(0)))
+    return found.join(near, "class_id", "left").select(*digest, n_links.alias("n_links"))

@@ -14,7 +14,7 @@ def op1_warc(spark, sf_dir):
 def op2_ngram_join(spark, sf_dir):
     from pulsegrid.llm.ngram_join import ngram_join
 
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op3_quality_rules(spark, sf_dir):

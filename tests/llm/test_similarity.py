@@ -38,6 +38,23 @@ def test_components_equal_brute_force(docs, monkeypatch, small):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("small", [32, 2])
+def test_all_links_equal_brute_force(docs, monkeypatch, small):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 600)
+    rows = sample() + [(None, "one")]
+    sets = [(i, shingles(t)) for i, t in rows]
+    near = lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y)
+    least = {frozenset(x): min(i for i, y in sets if y == x and i is not None) for _, x in sets if x}
+    links = {(a, b) for x, a in least.items() for y, b in least.items() if a > b and near(x, y)}
+    assert len(links) > len({a for a, _ in links})  # more than what makes the components
+    assert sorted(tuple(r) for r in ngram_join.ngram_links(docs(rows)).collect()) == sorted(links)
+    counts = {i: sum(j not in (i, None) and bool(near(x, y)) for j, y in sets) if i is not None else 0 for i, x in sets}
+    found = ngram_join.ngram_join(docs(rows), whole=True).collect()
+    assert {r.doc_id: r.n_links for r in found} == counts
+    assert sorted((tuple(r)[:3] for r in found), key=str) == brute_components(rows)
+
+
 def test_join_of_nothing(docs):
     assert ngram_join.ngram_join(docs(sample()).filter("false")).count() == 0
 
