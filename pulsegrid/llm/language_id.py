@@ -6,8 +6,8 @@ for each letter. A prediction is rejected when its cross-entropy lies more than
 of training texts of the same predicted language and about the same length.
 
 Letters are lower-cased one by one, and any run of other signs is one blank. Training triples are summed in each task
-before the shuffle; the models (at most ``MAX_LANGUAGES`` labels and ``MAX_TRIPLES`` triples each, the most frequent, so
-their size has a bound; rarer triples fall back on pairs) go through the driver. Whole texts are counted and scored.
+before the shuffle; the models hold every label and every triple counted, and go through the driver, so they
+grow with the distinct triples of the labels. Whole texts are counted and scored.
 
 Null text and text without a letter are ``und`` with score 0 and rejected; repeated rows are judged one by one; an empty
 table gives an empty result; without labelled training texts all are ``und``. Ties go to the first label by name.
@@ -19,14 +19,12 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.shared import written
 from pulsegrid.llm.textops import slices
 
-MAX_LANGUAGES = 200
-MAX_TRIPLES = 200_000
 REJECT = 10.0
 FOLDS = 5
 DENSE = 160
@@ -174,12 +172,8 @@ class Model:
 
 def trained(docs: DataFrame) -> dict[str, Model]:
     """A model for each label."""
-    counts = triple_counts(docs)
-    kept = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "triple"))).filter(F.col("rank") <= MAX_TRIPLES)
-    sizes = written(kept.select("lang", "triple", "n"))
-    names = [r["lang"] for r in sizes.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    found = sizes.filter(F.col("lang").isin(names)).toPandas() if names else None
-    if found is None:
+    found = written(triple_counts(docs)).toPandas()
+    if found.empty:
         return {}
     triples = found["triple"].to_numpy()
     alphabet = len(np.unique(np.concatenate([triples >> 2 * _BITS, triples >> _BITS & _LOW, triples & _LOW]))) + 1

@@ -129,6 +129,15 @@ def test_language_of_held_out_texts(spark):
     assert language_id.language_id(unlabelled.filter("false")).count() == 0
 
 
+def test_models_keep_all_labels_and_triples(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_TRIPLES", 3, raising=False)
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 1, raising=False)
+    rows = [("abcab", "x"), ("abcab", "x"), ("dedf", "y")]
+    models = language_id.trained(spark.createDataFrame([(t, lang) for t, lang in rows], "text string, lang string"))
+    want = {lang: {p[i : i + 3] for t, own in rows if own == lang for p in [f" {t} "] for i in range(len(p) - 2)} for lang in "xy"}
+    assert {lang: len(m.tri[0]) for lang, m in models.items()} == {lang: len(w) for lang, w in want.items()}
+
+
 def test_symbols_of_rows():
     from pulsegrid.llm.textops import slices
 
