@@ -1,11 +1,13 @@
-"""License scans: exact set-similarity join of text blocks (lines) with license templates.
+"""License scans: exact set-similarity join of text blocks (lines and runs of lines) with license templates.
 
 A block matches a template when it holds at least ``THRESHOLD`` of the template's distinct words. Words of the
 templates are ordered by how often they occur in the whole corpus, the rarest first; a block that meets the threshold
 must hold one of the first ``n - need + 1`` words of the template (prefix filter), have at least ``need`` words
 (length filter), and its first common word must leave enough words behind it in the template's order (positional
-filter). What passes is compared word by word, so the join is exact. A block takes the label of its nearest templates. Beside it stand the base labels: phrases whose
-words follow one another.
+filter). What passes is compared word by word, so the join is exact. Blocks are all lines and, for each template,
+all runs of lines over which it can be wrapped: consecutive lines with words, of which those between the first and the last hold fewer
+words than the template. A block takes the labels of all templates that it meets, but not of one whose words in the block a
+template of a higher score covers. Beside it stand the base labels: phrases whose words follow one another.
 
 The templates are a fixed list of bounded size, and so are their corpus counts, the only rows that reach the driver.
 Null text counts as empty and has no labels (an empty string) and score 0; repeated rows are scanned one by one; an
@@ -74,21 +76,22 @@ class Templates:
     """Ordered templates with an index of their prefix words."""
 
     def __init__(self, counts: dict[int, int], threshold: float = THRESHOLD):
-        self.sets, self.need, index = [], [], {}
+        self.sets, self.need, self.lengths, index = [], [], [], {}
         for k, h in enumerate(text_hashes([t for _, t in TEMPLATES], ALNUM)):
             ordered = sorted(set(h.view(np.int64).tolist()), key=lambda w: (counts.get(w, 0), w))
             need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
             self.sets.append({w: i for i, w in enumerate(ordered)})
             self.need.append(need)
+            self.lengths.append(len(h))
             for w in ordered[: len(ordered) - need + 1]:
                 index.setdefault(w, []).append(k)
         self.index = index
         self.keys = np.sort(np.array(list(index), np.int64).view(np.uint64))
 
     def scores(self, block: list[int]) -> dict[int, float]:
-        """Containment of each template that the block meets."""
+        """Containment of each template that the block meets, without those that a better one covers."""
         have = set(block)
-        out = {}
+        out, covers = {}, {}
         for k in {k for w in have if w in self.index for k in self.index[w]}:
             places, need = self.sets[k], self.need[k]
             if len(have) < need:
@@ -96,7 +99,8 @@ class Templates:
             common = sorted(places[w] for w in have if w in places)
             if 1 + min(len(places) - common[0] - 1, len(have) - 1) >= need and len(common) >= need:
                 out[k] = len(common) / len(places)
-        return out
+                covers[k] = have & places.keys()
+        return {k: x for k, x in out.items() if not any(out[j] > x and covers[j] >= covers[k] for j in out)}
 
 
 def license_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -121,6 +125,20 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
+def _runs(m: int, length: int, next_to: np.ndarray, heads: np.ndarray):
+    """First and last of the longest runs of two lines and more around line ``m`` that a template of ``length`` words can fill."""
+    i = m
+    while i == m or (next_to[i] and heads[m] - heads[i + 1] <= length - 2):
+        j = m
+        while j < len(next_to) and next_to[j] and heads[j + 1] - heads[min(i + 1, j + 1)] <= length - 2:
+            j += 1
+        if j > i:
+            yield i, j
+        i -= 1
+        if i < 0:
+            return
+
+
 def _scan(s, templates, phrases) -> list[tuple]:
     starts, _, bounds = words(s, ALNUM)
     h = word_hashes(s, starts, ALNUM)
@@ -145,13 +163,21 @@ def _scan(s, templates, phrases) -> list[tuple]:
         line = np.searchsorted(np.union1d(np.flatnonzero(s.data == 0x0A), s.offsets - 1), starts, "left")
         key = templates.keys[np.minimum(np.searchsorted(templates.keys, h), len(templates.keys) - 1)]
         signed = h.view(np.int64)
+        ids, heads = np.unique(line, return_index=True)
+        next_to = (np.diff(ids) == 1) & (np.diff(row_of[heads]) == 0)
+        heads = np.append(heads, len(h))
         for n in np.unique(line[key == h]).tolist():
             a, b = np.searchsorted(line, [n, n + 1])
             row = int(row_of[a])
             met = templates.scores(signed[a:b].tolist())
-            top = max(met.values(), default=0.0)
-            best[row] = max(best.get(row, 0.0), top)
-            found.setdefault(row, set()).update(TEMPLATES[k][0] for k, score in met.items() if score == top)
+            m = int(np.searchsorted(ids, n))
+            for k in {k for w in set(signed[a:b].tolist()) if w in templates.index for k in templates.index[w]}:
+                for i, j in _runs(m, templates.lengths[k], next_to, heads):
+                    score = templates.scores(signed[heads[i] : heads[j + 1]].tolist()).get(k, 0.0)
+                    if score > 0:
+                        met[k] = max(met.get(k, 0.0), score)
+            best[row] = max(best.get(row, 0.0), *met.values(), 0.0)
+            found.setdefault(row, set()).update(TEMPLATES[k][0] for k in met)
     counts = np.diff(bounds)
     out = []
     for i in range(rows):

@@ -58,6 +58,17 @@ def test_license_places(docs):
     assert license_scan.license_scan(docs(rows).filter("false")).count() == 0
 
 
+def test_wrapped_and_several_licenses(docs):
+    rows = [
+        (1, "x\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files\ny"),
+        (2, "# Redistribution and use in source and binary forms,\n# with or without modification, are permitted\n# provided that the following conditions are met:"),
+        (3, "Licensed under CC BY-NC 4.0. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and documentation"),
+        (4, "Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software and associated documentation files"),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(docs(rows)).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("cc-by,cc-by-nc,mit", 1.0), 4: ("", 0.0)}
+
+
 def brute_url(url):
     at = (url or "").find("://")
     rest = url[at + 3 :] if at >= 0 else ""
