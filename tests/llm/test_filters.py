@@ -36,6 +36,18 @@ def test_quality_verdicts(spark):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_rare_labels_have_a_reference(spark):
+    rare = [(2000 + i, "кот сидел на ковре и день был хорош для всех " * 20 + " ".join(f"д{i}о{k}м" for k in range(200)), "ru") for i in range(5)]
+    clean = [(i, "The cat sat on the mat and it was a good day for all of them. " * 2 + prose(i, 40), "en") for i in range(60)]
+    common = spark.createDataFrame(clean + rare, "doc_id long, text string, lang string")
+    counted = quality_rules.features(common)
+    refs = quality_rules.references(counted)
+    assert set(refs) == {"en", "ru"} and all(abs(sum(x) - 1) < 1e-9 for r in refs.values() for x in r)
+    alone = {r.doc_id: r for r in quality_rules.quality_rules(common.filter("lang = 'ru'")).collect()}
+    beside = {r.doc_id: r for r in quality_rules.quality_rules(common).collect()}
+    assert {i for i, r in beside.items() if r.kept} >= {i for i, r in alone.items() if r.kept}
+
+
 def test_license_places(docs):
     rows = sample() + [(600, "All rights RESERVED. x all rights\nreserved"), (601, "Licensed under CC BY-NC 4.0."), (602, "GNU General Public License"), (603, prose(1, 30) + "\nReleased under the MIT License.\n" + prose(2, 30))]
     got = {r.doc_id: r for r in license_scan.license_scan(docs(rows)).collect()}
