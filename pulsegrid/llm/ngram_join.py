@@ -1,35 +1,39 @@
 """N-gram Jaccard join: an exact metric-space join of shingle sets by pivots and Voronoi regions.
 
-Jaccard distance is a metric. Sets that are equal become one class. Two sets within the distance ``1 - SIMILARITY``
-share one of the first ``n - ceil(SIMILARITY * n) + 1`` shingles of each in any fixed order of shingles, so shingles of these
-prefixes open regions: the pivot of a shingle is the least document that has it in its prefix, and a region is
-what shingles with the same pivot gather. The distance of every member to its pivot is computed exactly. Then
-
-* members within the threshold of the pivot are linked to it, and with one another through it;
-* while a region of over ``SMALL`` members holds several components, it is split once more: ``PIVOTS`` new pivots of its own,
-  at most ``LEVELS`` times;
-* what is left are the pairs of a region that lie in different components. By the triangle inequality a link joins
-  members whose distances to the pivot differ by at most the threshold, so each boundary document meets this window
-  only. Small regions give pairs, kept if the shingles that both prefixes share suffice for a link; crowded regions are dealt
-  out in blocks of bounded size, each compared within one task that returns links alone.
-
-With ``whole`` every document is its own component throughout, so the same windows and blocks give all links.
-
-Distances are computed for sizes that the threshold allows; others have no link.
+Jaccard distance is a metric, and two sets link when their distance is at most ``T = 1 - SIMILARITY``. Equal sets are one class,
+stood for by its least document.
+
+* **Opening.** From almost any pivot almost all sets lie at distance 1, where no triangle inequality tells them apart. So
+  the first regions are opened by shingles: two linked sets share one of the first ``n - ceil(SIMILARITY * n) + 1`` shingles of each in
+  any fixed order. The pivot of a shingle is the least document that has it in this prefix; a region gathers the members of all
+  shingles with the same pivot. Linked sets meet in a region at least once.
+* **Voronoi regions.** A region of over ``SMALL`` members draws ``PIVOTS`` pivots among them and computes the exact distance of every member to
+  each. A member within ``CORE`` of its nearest pivot has its home there. It visits each other pivot's region where a link may reach across
+  the boundary: where its distance exceeds that to its nearest pivot by at most ``2 T``, and ``CORE`` by at most ``T``.
+  Members further out have their home in a region of their own, and visit alike. So any two linked members meet at the home of one.
+* **Recursion.** New regions above ``LEAF_ROWS`` members or ``BLOCK_SHINGLES`` shingles are divided again, unless nearly all of the members of the region
+  came along, which new pivots would not part.
+* **Leaves.** Members whose distances to a common pivot differ by over ``T`` are not compared (window). A leaf of many shingles is cut into bands
+  of distance and parts of bounded size; parts of bands within ``T`` meet pairwise. Many leaves share a task, and each task holds a bounded number of
+  shingles. It gives a row for each member with its number of links and the least member that it reaches, not a row for each pair.
+
+A pair is compared where it belongs alone: in the least first region that both share, and there at one home (``_valid``). So
+links are counted once.
 
 The order of shingles puts those frequent in a hash sample of one in ``SAMPLE`` documents last, then goes by hash. The order
-decides how large regions are, not what they find.
+decides how large first regions get, not what is found.
 
-Null text and text without words have no shingles and no links; repeated rows and rows with a null doc_id count as
-documents (those of equal doc_id fall in one class only if their sets are equal; a null doc_id is never linked); an empty table gives an
-empty result; other columns are ignored. Shingles are told apart by 64-bit hashes, equal sets by two 64-bit sums of these.
+Null text and text without words have no shingles and no links. Repeated rows count as documents. Rows with a null doc_id are never
+linked. Rows of one doc_id are one node of the links, so they share a component, also if their texts differ. Very long texts
+take part whole, as one set. Ties between pivots go to the least document; an empty table gives an empty result; other columns
+are ignored. Shingles are told apart by 64-bit hashes, equal sets by two 64-bit sums of these.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.components import components
@@ -38,15 +42,23 @@ from pulsegrid.llm.textops import SPACED, grams, mix, slices, word_hashes, words
 
 N = 5
 SIMILARITY = 80  # per cent
+T = 1 - SIMILARITY / 100
+CORE = 0.5
 SAMPLE = 16
 HOT_SEEN = 2
 MAX_HOT = 300_000
 SMALL = 32
 PIVOTS = 8
-LEVELS = 1
+LEAF_ROWS = 256
+STUCK = 0.75  # a new region with more than this share of the old one's members is a leaf
+SALT_ROWS = 2_000
 BLOCK_SHINGLES = 200_000
-FILTER_WORDS = 1 << 18  # 64-bit words of the bit filters: 2 MB at any size of the input
+BANDS = 20
+#: Bits for each key of a filter, and the most 64-bit words of one: 16 MB. A fuller filter lets more rows through to the exact join.
+KEY_BITS, FILTER_WORDS = 12, 1 << 21
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
+_EPS = 1e-9
+HOME, VISITOR_FAR, VISITOR = 2, 1, 0
 
 
 def shingle_sets(s, n: int = N):
@@ -82,23 +94,13 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and two sums that equal sets share."""
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), _signed(np.concatenate([np.zeros(0, np.uint64), *found])))
 
-    def run(batches):
-        for batch in batches:
-            n, one, two = [], [], []
-            for s in slices(batch.column("text")):
-                for x in shingle_sets(s):
-                    n.append(len(x))
-                    one.append(int(mix(x).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0)
-                    two.append(int(mix(x ^ _OTHER).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0)
-            yield pa.record_batch(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
-                ["doc_id", "n_shingles", "s1", "s2"],
-            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
+def _sum(x: np.ndarray) -> int:
+    return int(mix(x).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0
 
 
 def hot_shingles(docs: DataFrame) -> np.ndarray:
@@ -116,68 +118,87 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, two sums that equal sets share, and the prefix shingles: texts are read for these once."""
+    order = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
+
+    def run(batches):
+        hot = order.value
+        for batch in batches:
+            ids = batch.column("doc_id").cast(pa.int64())
+            for s in slices(batch.column("text")):
+                found = list(shingle_sets(s))
+                yield pa.record_batch(
+                    [
+                        ids.slice(s.first, len(found)),
+                        pa.array([len(x) for x in found], pa.int64()),
+                        pa.array([_sum(x) for x in found], pa.int64()),
+                        pa.array([_sum(x ^ _OTHER) for x in found], pa.int64()),
+                        _lists([prefix(x, hot) for x in found]),
+                    ],
+                    ["doc_id", "n_shingles", "s1", "s2", "keys"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
+
+
 class BitFilter:
-    """A Bloom filter of fixed size over longs, gathered as OR of words."""
+    """A Bloom filter over longs, gathered as OR of words."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
     @staticmethod
-    def places(x: np.ndarray) -> list[np.ndarray]:
+    def places(x: np.ndarray, size: int) -> list[np.ndarray]:
         x = x.astype(np.int64).view(np.uint64)
-        return [mix(x ^ np.uint64(k * 0x1234567)) & np.uint64(FILTER_WORDS * 64 - 1) for k in (1, 2, 3)]
-
-    def __contains__(self, x):
-        raise TypeError
+        return [mix(x ^ np.uint64(k * 0x1234567)) & np.uint64(size * 64 - 1) for k in (1, 2, 3)]
 
     def might_hold(self, x: np.ndarray) -> np.ndarray:
         ok = np.ones(len(x), bool)
-        for p in self.places(x):
+        for p in self.places(x, len(self.bits)):
             ok &= (self.bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
         return ok
 
 
 def bit_filter(keys: DataFrame) -> BitFilter:
-    """The filter over the only column of ``keys``; each task sends the words that it has set."""
+    """The filter over the only column of ``keys``, a written table; each task sends the words that it has set."""
+    size = 1 << max(6, min(FILTER_WORDS, keys.count() * KEY_BITS // 64).bit_length())
+    size = min(size, FILTER_WORDS)
 
     def run(batches):
-        bits = np.zeros(FILTER_WORDS, np.uint64)
+        bits = np.zeros(size, np.uint64)
         for batch in batches:
             x = np.asarray(batch.column(0))
-            for p in BitFilter.places(x):
+            for p in BitFilter.places(x, size):
                 np.bitwise_or.at(bits, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
         at = np.flatnonzero(bits)
         yield pa.record_batch([pa.array(at), _signed(bits[at])], ["word", "bits"])
 
     rows = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    bits = np.zeros(FILTER_WORDS, np.uint64)
+    bits = np.zeros(size, np.uint64)
     bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return BitFilter(bits)
 
 
-def prefix_keys(docs: DataFrame, hot, only=None) -> DataFrame:
-    """(key, doc_id): prefix shingles of each document, all or those that a filter may hold."""
+def shared_keys(signed: DataFrame, only) -> DataFrame:
+    """(key, doc_id, s1, n_shingles) of the prefix shingles that a filter may hold."""
 
     def run(batches):
-        order, wanted = hot.value, only.value if only is not None else None
+        wanted = only.value
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id").cast(pa.int64()))
-            for s in slices(batch.column("text")):
-                found = [prefix(x, order) for x in shingle_sets(s)]
-                keys = np.concatenate(found).view(np.int64)
-                owner = np.repeat(ids[s.first : s.first + len(found)], [len(x) for x in found])
-                if wanted is not None:
-                    keep = wanted.might_hold(keys)
-                    keys, owner = keys[keep], owner[keep]
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(owner, pa.int64())], ["key", "doc_id"])
+            lists = batch.column("keys")
+            keys = np.asarray(lists.flatten())
+            owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+            keep = wanted.might_hold(keys)
+            owner = pa.array(owner[keep])
+            yield pa.record_batch([pa.array(keys[keep]), *(batch.column(c).take(owner) for c in ("doc_id", "s1", "n_shingles"))], ["key", "doc_id", "s1", "n_shingles"])
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "key long, doc_id long")
+    return signed.select("keys", "doc_id", "s1", "n_shingles").mapInArrow(run, "key long, doc_id long, s1 long, n_shingles long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the documents in ``ids`` (doc_id), which a bit filter finds before the join."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bit_filter(ids))
+    """(doc_id, s1, shingles), sorted as longs, of documents among which are all in ``ids``; a bit filter finds them before the join."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ids))
 
     def run(batches):
         wanted = shared.value
@@ -186,185 +207,255 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array(keep))
             names = batch.column("doc_id").cast(pa.int64())
             for s in slices(batch.column("text")):
-                found = list(shingle_sets(s))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                yield pa.record_batch([names.slice(s.first, len(found)), pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))], ["doc_id", "shingles"])
-
-    # what the filter lets through beside the ids meets no pair; a doc_id with several texts is compared by each
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, shingles array<long>")
-
-
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, distance): exact Jaccard distance of each pair; null where a set is missing."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    counted = joined.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("both"))
-    union = F.col("both") - F.col("common")
-    return counted.select("a", "b", (1 - F.col("common") / union).alias("distance"), (100 * F.col("common") >= SIMILARITY * union).alias("linked"))
-
-
-def _near_sizes(a: str, b: str):
-    return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
-
-
-def _sharing(rows: DataFrame, n, m) -> DataFrame:
-    """Pairs (a, b) of rows (a, b, sizes n and m), one for each shared prefix shingle, that are enough for a link.
-
-    Shingles behind the shorter of both prefixes are all that two sets can share beside those.
-    """
-    beyond = lambda x: F.ceil(x * SIMILARITY / 100) - 1
-    need = F.ceil((n + m) * SIMILARITY / (100 + SIMILARITY) - 1e-6) - F.greatest(beyond(n), beyond(m))
-    counted = rows.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max(need).alias("need"))
-    return counted.filter("shared >= need").select("a", "b")
-
-
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with their component so far."""
-    found = components(links).withColumnRenamed("node", "doc_id")
-    return written(members.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-
-
-def links_of(docs: DataFrame, signed: DataFrame, whole: bool = False) -> DataFrame:
-    """(a, b): links between different sets that make all components, or with ``whole`` every link, a > b; by representatives."""
-    spark = docs.sparkSession
-    hot = spark.sparkContext.broadcast(hot_shingles(docs))
-    regions = written(
-        prefix_keys(docs, hot).filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last").select("key", "pivot")
+                found = [np.sort(x.view(np.int64)).view(np.uint64) for x in shingle_sets(s)]
+                yield pa.record_batch([names.slice(s.first, len(found)), pa.array([_sum(x) for x in found], pa.int64()), _lists(found)], ["doc_id", "s1", "shingles"])
+
+    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, s1 long, shingles array<long>")
+
+
+def first_regions(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(g, doc_id, s1, n_shingles, copies): members of each first region, classes by their representatives."""
+    known = signed.filter("n_shingles > 0 and doc_id is not null")
+    keys = known.select(F.explode("keys").alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("g"), F.max("doc_id").alias("last"))
+    keys = written(keys.filter("g < last").select("key", "g"))
+    only = signed.sparkSession.sparkContext.broadcast(bit_filter(keys.select("key")))
+    found = shared_keys(known, only).join(keys, "key").select("g", "doc_id", "s1", "n_shingles").distinct()
+    reps = classes.select(F.col("class_id").alias("doc_id"), "s1", "copies")
+    members = written(found.join(reps, ["doc_id", "s1"]))
+    several = members.groupBy("g").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("total")).filter("rows > 1")
+    return written(members.join(written(several), "g"))
+
+
+def _distance(a: Column, b: Column, n: Column, m: Column) -> Column:
+    """Exact Jaccard distance."""
+    common = F.size(F.array_intersect(a, b))
+    return 1 - common / (n + m - common)
+
+
+def divided(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """The members of new regions around pivots drawn in each region of ``rows``, at their homes and where they visit."""
+    sizes = written(rows.groupBy("region").agg(F.count("*").alias("old_rows"), F.ceil(F.count("*") / SALT_ROWS).alias("salts")))
+    draw = F.xxhash64("doc_id", "s1", F.lit(level))
+    drawn = rows.groupBy("region", F.pmod(draw, F.lit(PIVOTS)).alias("part")).agg(F.min_by(F.struct("doc_id", "s1", "n_shingles"), F.struct(draw, "doc_id")).alias("q"))
+    pivots = (
+        drawn.select("region", F.col("q.doc_id").alias("doc_id"), F.col("q.s1").alias("s1"), F.col("q.n_shingles").alias("m"))
+        .join(sets, ["doc_id", "s1"])
+        .groupBy("region")
+        .agg(F.sort_array(F.collect_list(F.struct("doc_id", "s1", "m", "shingles"))).alias("qs"))  # at most PIVOTS
+        .join(sizes, "region")
+        .select("region", "old_rows", "qs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     )
-    reps = written(
-        signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "n_shingles")
+    dealt = rows.join(sizes.select("region", "salts"), "region").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "salts"))
+    met = dealt.join(sets, ["doc_id", "s1"]).join(pivots, ["region", "salt"])
+    far = F.transform("qs", lambda q, i: F.struct(_distance(F.col("shingles"), q.shingles, F.col("n_shingles"), q.m).alias("d"), i.alias("i"), F.concat_ws(":", q.doc_id, q.s1).alias("name")))
+    met = written(met.select(*rows.columns, "old_rows", F.array_sort(far).alias("at")))
+    least = F.col("at")[0]["d"]
+    at_home = least <= CORE + _EPS
+    visits = F.filter("at", lambda q: (q.d <= F.least(least + 2 * T, F.lit(CORE + T)) + _EPS) & ~(at_home & (q.i == F.col("at")[0]["i"])))
+    spot = lambda q, role: F.struct(q["name"].alias("name"), q["d"].alias("d"), F.lit(role).alias("role"))
+    # those without a near pivot stay together, and know their distance to the first pivot
+    first = F.filter("at", lambda q: q.i == 0)[0]
+    home = F.when(at_home, spot(F.col("at")[0], HOME)).otherwise(F.struct(F.lit("-").alias("name"), first["d"].alias("d"), F.lit(HOME).alias("role")))
+    places = F.concat(F.array(home), F.transform(visits, lambda q: F.struct(q["name"].alias("name"), q["d"].alias("d"), F.when(at_home, VISITOR).otherwise(VISITOR_FAR).alias("role"))))
+    return met.withColumn("place", F.explode(places)).select(
+        "g", "doc_id", "s1", "n_shingles", "copies", F.concat_ws("/", "region", "place.name").alias("region"), F.array_append("roles", F.col("place.role")).alias("roles"), F.col("place.d").alias("d"), "old_rows"
     )
-    only = spark.sparkContext.broadcast(bit_filter(regions.select("key")))
-    members = written(
-        prefix_keys(docs, hot, only).join(regions, "key").join(reps, "doc_id").select("key", "pivot", "doc_id", "n_shingles").distinct()
-    )
-    # a first pass over the pairs with a pivot that most likely link; the last step leaves out none
-    sizes = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"))
-    stars = members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), F.col("n_shingles").alias("n")).join(sizes, "b")
-    first = _compared(docs, _sharing(stars.filter(_near_sizes("n", "m")), F.col("n"), F.col("m")))
-    links = first.filter("linked").select("a", "b")
-    measured = first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "distance")
-    members = written(members.join(measured, ["doc_id", "pivot"], "left").withColumn("distance", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("distance"))))
-    for level in range(0 if whole else LEVELS):
-        open_ = _labelled(members, links)
-        crowded = open_.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d")).filter((F.col("n") > SMALL) & (F.col("c") < F.col("d")))
-        crowd = written(open_.join(crowded.select("key"), "key"))
-        if crowd.isEmpty():
-            break
-        draw = F.xxhash64("doc_id", F.lit(level))
-        pivots = crowd.groupBy("key", F.pmod(draw, F.lit(PIVOTS)).alias("part")).agg(F.min_by(F.struct("doc_id", "component", "n_shingles", "distance"), draw).alias("q"))
-        pairs = _window(crowd.join(pivots.select("key", "q"), "key"), "q.").filter("doc_id <> q.doc_id").select(F.greatest("doc_id", "q.doc_id").alias("a"), F.least("doc_id", "q.doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("q.n_shingles").alias("m"))
-        links = written(links.union(_compared(docs, _sharing(pairs, F.col("n"), F.col("m"))).filter("linked").select("a", "b")))
-    # with every document as its own component no pair is left out
-    rest = members.withColumn("component", F.col("doc_id")) if whole else _labelled(members, links)
-    counted = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d")
-    counted = written(counted.select("key", (F.col("n") > SMALL).alias("crowded")))
-    small = rest.join(counted.filter("not crowded").select("key"), "key")
-    other = small.select("key", F.struct("doc_id", "component", "n_shingles", "distance").alias("q"))
-    pairs = _window(small.join(other, "key").filter("doc_id > q.doc_id"), "q.")
-    pairs = pairs.select(F.col("doc_id").alias("a"), F.col("q.doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("q.n_shingles").alias("m"))
-    near = _compared(docs, _sharing(pairs, F.col("n"), F.col("m"))).filter("linked").select("a", "b")
-    crowd = rest.join(counted.filter("crowded").select("key"), "key").select("pivot", "doc_id", "n_shingles", "distance", "component").distinct()
-    found = links.union(near).union(_block_links(docs, crowd, whole))
-    return written(found.distinct()) if whole else found
-
-
-def _block_links(docs: DataFrame, crowd: DataFrame, whole: bool = False) -> DataFrame:
-    """(a, b): links between components of each crowded region, or with ``whole`` all links, compared block by block.
-
-    Members outside the largest known component (that of the pivot, else the least) are dealt into blocks by their
-    shingles in all, as are all members; each pair of blocks is one task's work.
-    """
-    main = crowd.groupBy("pivot").agg(F.coalesce(F.min(F.when(F.col("distance") <= 1 - SIMILARITY / 100, F.col("component"))), F.min("component")).alias("main"))
-    crowd = written(crowd.join(main, "pivot").withColumn("outer", F.lit(whole) | (F.col("component") != F.col("main"))))
-    blocks = crowd.groupBy("pivot").agg(
-        F.ceil(F.sum(F.when(F.col("outer"), F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES).alias("outer_blocks"),
-        F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("all_blocks"),
-    ).filter("outer_blocks > 0")
-    dealt = crowd.join(blocks, "pivot").withColumn("draw", F.xxhash64("doc_id"))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = dealt.filter("outer").select("pivot", "doc_id", "distance", "component", F.lit(True).alias("is_left"), F.pmod("draw", "outer_blocks").alias("i"), every("all_blocks").alias("j"))
-    right = dealt.select("pivot", "doc_id", "distance", "component", F.lit(False).alias("is_left"), F.pmod("draw", "all_blocks").alias("j"), every("outer_blocks").alias("i"))
-    work = written(left.unionByName(right))
-    if work.isEmpty():
-        return work.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-    sets = written(sets_of(docs, written(work.select("doc_id").distinct())))
-
-    def run(group: pa.Table) -> pa.Table:
-        is_left = np.asarray(group.column("is_left"))
-        sides = []
-        for rows in (group.filter(pa.array(is_left)), group.filter(pa.array(~is_left))):
-            column = rows.column("shingles").combine_chunks()
-            bounds = np.asarray(column.offsets, np.int64)
-            distance = rows.column("distance").to_numpy(zero_copy_only=False).astype(float)
-            sides.append((np.asarray(rows.column("doc_id")), np.asarray(rows.column("component")), distance, bounds, np.asarray(column.values)[bounds[0] : bounds[-1]]))
-        (ids, comps, dist, bounds, flat), (ids2, comps2, dist2, bounds2, flat2) = sides
+
+
+def leaves(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of all leaf regions: g, region, doc_id, s1, n_shingles, copies, roles, distance d to a common pivot."""
+    columns = ["g", "region", "doc_id", "s1", "n_shingles", "copies", "roles", "d", "total"]
+    members = members.withColumn("region", F.col("g").cast("string")).withColumn("roles", F.array().cast("array<int>")).withColumn("d", F.lit(None).cast("double"))
+    done = members.filter(F.col("rows") <= SMALL).select(*columns)
+    open_ = members.filter(F.col("rows") > SMALL).select(*columns[:-1])
+    level = 0
+    while not open_.isEmpty():
+        new = written(divided(open_, sets, level))
+        sizes = new.groupBy("region").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("total"), F.max("old_rows").alias("old"), F.max(F.element_at("roles", -1)).alias("role"))
+        again = ((F.col("rows") > LEAF_ROWS) | (F.col("total") > BLOCK_SHINGLES)) & (F.col("rows") <= STUCK * F.col("old")) & (F.col("rows") > SMALL)
+        # a region of one member, or of visitors alone, has no pair
+        sizes = written(sizes.filter((F.col("rows") > 1) & (F.col("role") == HOME)).select("region", "total", again.alias("again")))
+        new = written(new.join(sizes, "region"))
+        done = done.unionByName(new.filter("not again").select(*columns))
+        open_ = new.filter("again").select(*columns[:-1])
+        level += 1
+    return done
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Leaf members in units of bounded size: pairs (i, j) of parts, each of a band of distances, that may hold a link."""
+    bands = F.when(F.col("d").isNull(), 1).otherwise(F.least(F.lit(BANDS), F.ceil(F.col("total") / BLOCK_SHINGLES)))
+    rows = rows.withColumn("bands", bands.cast("int")).withColumn("band", F.least(F.floor(F.coalesce("d", F.lit(0.0)) * F.col("bands")), F.col("bands") - 1).cast("int"))
+    parts = rows.groupBy("region", "band").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    large = written(rows.filter(F.col("total") > BLOCK_SHINGLES).select("region").distinct())
+    parts = parts.join(large, "region")
+    known = written(parts.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("band", "parts"))).alias("known")))  # at most BANDS
+    small = rows.join(known.select("region"), "region", "left_anti").select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"))
+    big = rows.join(known, "region")
+    before = lambda band: F.aggregate(F.filter("known", lambda k: k.band < band), F.lit(0), lambda a, k: a + k.parts)
+    mine = F.filter("known", lambda k: k.band == F.col("band"))[0]["parts"]
+    big = big.withColumn("own", (before(F.col("band")) + F.pmod(F.xxhash64("doc_id", "s1"), mine)).cast("int"))
+    # bands whose least distance is within T
+    near = lambda k: (F.abs(k.band - F.col("band")) - 1) / F.col("bands") <= T + _EPS
+    others = F.flatten(F.transform(F.filter("known", near), lambda k: F.sequence(before(k.band), before(k.band) + k.parts - 1)))
+    big = big.withColumn("other", F.explode(others)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "known")
+    return small.unionByName(big)
+
+
+def _valid(x: np.ndarray, others: np.ndarray, less: np.ndarray) -> np.ndarray:
+    """Whether a pair of roles belongs here at each level: at the common home, at the one home, or at the home of the less of two."""
+    ok = np.ones(len(others), bool)
+    for level in range(len(x)):
+        y = others[:, level]
+        if x[level] == HOME:
+            ok &= (y == HOME) | (y == VISITOR_FAR) | ((y == VISITOR) & less)
+        elif x[level] == VISITOR_FAR:
+            ok &= y == HOME
+        else:
+            ok &= (y == HOME) & ~less
+    return ok
+
+
+class Unit:
+    """The members of one unit of comparison."""
+
+    def __init__(self, table: pa.Table):
+        get = lambda c: np.asarray(table.column(c))
+        self.g = int(get("g")[0])
+        self.ids, self.s1, self.own, self.i, self.j = get("doc_id"), get("s1"), get("own"), int(get("i")[0]), int(get("j")[0])
+        self.d = table.column("d").to_numpy(zero_copy_only=False).astype(float)
+        column = table.column("shingles").combine_chunks()
+        bounds = np.asarray(column.offsets, np.int64)
+        self.flat, self.bounds = np.asarray(column.values)[bounds[0] : bounds[-1]], bounds - bounds[0]
+        self.size = np.diff(self.bounds)
+        roles = table.column("roles").combine_chunks()
+        self.roles = np.asarray(roles.flatten()).reshape(len(self.ids), -1)
+        self.lower = [[h for h in gs if h < self.g] for gs in table.column("gs").to_pylist()]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs that belong to this unit, as row numbers."""
         a, b = [], []
-        sizes2 = np.diff(bounds2)
-        for k in range(len(ids)):
-            own = flat[bounds[k] - bounds[0] : bounds[k + 1] - bounds[0]]
-            apart = np.abs(dist[k] - dist2)
-            ok = (comps2 < comps[k] if whole else comps2 != comps[k]) & (100 * np.minimum(sizes2, len(own)) >= SIMILARITY * np.maximum(sizes2, len(own)))
-            ok &= np.isnan(apart) | (apart <= 1 - SIMILARITY / 100 + 1e-9)
-            if not ok.any():
+        for k in range(len(self.ids)):
+            if self.i == self.j:
+                c = np.arange(k + 1, len(self.ids))
+            elif self.own[k] == self.i:
+                c = np.flatnonzero(self.own == self.j)
+            else:
+                continue
+            n, m = self.size[k], self.size[c]
+            ok = 100 * np.minimum(n, m) >= SIMILARITY * np.maximum(n, m)
+            apart = np.abs(self.d[k] - self.d[c])
+            ok &= np.isnan(apart) | (apart <= T + _EPS)
+            if self.roles.shape[1] and ok.any():
+                less = (self.ids[k] < self.ids[c]) | ((self.ids[k] == self.ids[c]) & (self.s1[k] < self.s1[c]))
+                ok &= _valid(self.roles[k], self.roles[c], less)
+            c, m = c[ok], m[ok]
+            if not len(c):
                 continue
-            chosen = np.flatnonzero(ok)
-            starts = np.concatenate([[0], np.cumsum(sizes2[chosen])])
-            places = np.repeat(bounds2[chosen] - bounds2[0] - starts[:-1], sizes2[chosen]) + np.arange(starts[-1])
-            held = flat2[places]
-            hit = own[np.minimum(np.searchsorted(own, held), len(own) - 1)] == held
+            own = self.flat[self.bounds[k] : self.bounds[k + 1]]
+            starts = np.concatenate([[0], np.cumsum(m)])
+            held = self.flat[np.repeat(self.bounds[c] - starts[:-1], m) + np.arange(starts[-1])]
+            hit = own[np.minimum(np.searchsorted(own, held), n - 1)] == held
             common = np.add.reduceat(hit.astype(np.int64), starts[:-1])
-            linked = 100 * common >= SIMILARITY * (len(own) + sizes2[chosen] - common)
-            a += [int(ids[k])] * int(linked.sum())
-            b += ids2[chosen[linked]].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            c = c[100 * common >= SIMILARITY * (n + m - common)]
+            if self.lower[k]:  # pairs that share a lesser first region are counted there
+                mine = set(self.lower[k])
+                c = c[[mine.isdisjoint(self.lower[x]) for x in c.tolist()]] if len(c) else c
+            a.append(np.full(len(c), k)), b.append(c)
+        none = np.zeros(0, np.int64)
+        return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def _least(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each of ``n`` rows the least id that it reaches over pairs (a, b)."""
+    label = ids.copy()
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        if (before == label).all():
+            return label
+
+
+LINKS = "doc_id long, s1 long, links long, root long"
+
+
+def compared(units: DataFrame, pairs: bool = False) -> DataFrame:
+    """For each member with links in a unit: how many documents it is linked with, and the least that it reaches; or all linked pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("region", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        region = np.unique(np.array(table.column("region").to_pylist(), str), return_inverse=True)[1]
+        i, j = np.asarray(table.column("i")), np.asarray(table.column("j"))
+        change = (np.diff(region) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(region)]
+        copies = np.asarray(table.column("copies"))
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for begin, end in zip(edges, edges[1:]):
+            if end - begin < 2:
+                continue
+            unit = Unit(table.slice(begin, end - begin))
+            a, b = unit.pairs()
+            if not len(a):
+                continue
+            if pairs:
+                columns = [np.maximum(unit.ids[a], unit.ids[b]), np.minimum(unit.ids[a], unit.ids[b])]
+            else:
+                weight = copies[begin:end]
+                links = np.bincount(a, weight[b], minlength=end - begin) + np.bincount(b, weight[a], minlength=end - begin)
+                held = np.flatnonzero(links)
+                root = _least(end - begin, a, b, unit.ids)
+                columns = [unit.ids[held], unit.s1[held], links[held].astype(np.int64), root[held]]
+            for x, c in zip(out, columns):
+                x.append(c)
+        columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in out]
+        return pa.table(dict(zip(("a", "b") if pairs else ("doc_id", "s1", "links", "root"), columns)))
 
-    # shingles are sorted as signed longs within tasks
-    rows = work.join(sets.select("doc_id", F.sort_array("shingles").alias("shingles")), "doc_id")
-    return written(rows.groupBy("pivot", "i", "j").applyInArrow(run, "a long, b long").distinct())
+    total = units.agg(F.sum("n_shingles")).first()[0] or 0
+    tasks = max(1, -(-total // BLOCK_SHINGLES))
+    grouped = units.drop("n_shingles", "total", "band", "bands").withColumn("task", F.pmod(F.xxhash64("region", "i", "j"), F.lit(tasks)))
+    return grouped.groupBy("task").applyInArrow(run, "a long, b long" if pairs else LINKS)
 
 
-def _window(pairs: DataFrame, other: str) -> DataFrame:
-    """Pairs of one region that may hold a link between components."""
-    apart = F.abs(F.col("distance") - F.col(other + "distance")) <= 1 - SIMILARITY / 100 + 1e-9
-    return pairs.filter((F.col("component") != F.col(other + "component")) & _near_sizes("n_shingles", other + "n_shingles") & F.coalesce(apart, F.lit(True)))
+def _classes(signed: DataFrame) -> DataFrame:
+    return written(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
 
 
-def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    pairs = written(pairs)
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    return written(compared(pairs, written(sets_of(docs, ids))))
+def _repeated(signed: DataFrame) -> DataFrame:
+    """doc_ids of more than one row."""
+    return written(signed.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+
+
+def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, repeated: DataFrame, pairs: bool = False) -> DataFrame:
+    members = first_regions(signed, classes)
+    sets = sets_of(docs, written(members.select("doc_id").distinct()))
+    sets = written(sets if repeated.isEmpty() else sets.dropDuplicates(["doc_id", "s1"]))
+    units = written(dealt(leaves(members, sets)))
+    belongs = members.groupBy("doc_id", "s1").agg(F.sort_array(F.collect_list("g")).alias("gs"))
+    return written(compared(units.join(sets.join(belongs, ["doc_id", "s1"]), ["doc_id", "s1"]), pairs))
 
 
 def ngram_links(docs: DataFrame) -> DataFrame:
     """(a, b) with a > b: every link between different sets, by the least document of each; classes of equal sets are in ``ngram_join``."""
-    return links_of(docs, written(signatures(docs)), whole=True)
-
+    signed = written(signatures(docs))
+    return _links(docs, signed, _classes(signed), _repeated(signed), pairs=True).filter("a <> b").distinct()
 
-def ngram_join(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id of each document.
 
-    With ``whole`` all links are found, not only those that make the components, and ``n_links`` counts the
-    other documents that each is linked with, equal ones included.
-    """
+def ngram_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id and n_links (other documents linked with it, equal ones included) of each document."""
     signed = written(signatures(docs))
-    every = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    classes = written(every if whole else every.filter("copies > 1"))
-    links = links_of(docs, signed, whole)
-    labels = components(links).withColumnRenamed("node", "class_id")
-    found = (
-        signed.join(classes, ["n_shingles", "s1", "s2"], "left")
-        .withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
-        .join(labels, "class_id", "left")
-    )
-    digest = ["doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id"]
-    if not whole:
-        return found.select(*digest)
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = classes.groupBy(F.col("class_id").alias("b")).agg(F.sum("copies").alias("n"))
-    near = both.join(copies, "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("near"))
-    n_links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("near", F.lit(0)))
-    return found.join(near, "class_id", "left").select(*digest, n_links.alias("n_links"))
+    classes, repeated = _classes(signed), _repeated(signed)
+    links = _links(docs, signed, classes, repeated)
+    edges = links.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
+    if not repeated.isEmpty():  # rows of one doc_id are one node
+        nodes = signed.join(repeated, "doc_id").join(classes, ["n_shingles", "s1", "s2"])
+        edges = edges.union(nodes.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
+    labels = components(edges.filter("a <> b")).withColumnRenamed("node", "class_id")
+    near = links.groupBy(F.col("doc_id").alias("class_id"), "s1").agg(F.sum("links").alias("near"))
+    n_links = F.col("copies") - 1 + F.coalesce("near", F.lit(0))
+    told = classes.join(labels, "class_id", "left").join(near, ["class_id", "s1"], "left")
+    told = told.select("n_shingles", "s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component_id"), n_links.alias("n_links"))
+    found = signed.drop("keys").join(told, ["n_shingles", "s1", "s2"], "left")
+    own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c)
+    links_of = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")
+    return found.select("doc_id", "n_shingles", own("component_id"), own("class_id"), links_of)

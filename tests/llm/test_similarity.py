@@ -50,11 +50,40 @@ def test_all_links_equal_brute_force(docs, monkeypatch, small):
     assert len(links) > len({a for a, _ in links})  # more than what makes the components
     assert sorted(tuple(r) for r in ngram_join.ngram_links(docs(rows)).collect()) == sorted(links)
     counts = {i: sum(j not in (i, None) and bool(near(x, y)) for j, y in sets) if i is not None else 0 for i, x in sets}
-    found = ngram_join.ngram_join(docs(rows), whole=True).collect()
+    found = ngram_join.ngram_join(docs(rows)).collect()
     assert {r.doc_id: r.n_links for r in found} == counts
     assert sorted((tuple(r)[:3] for r in found), key=str) == brute_components(rows)
 
 
+@pytest.mark.parametrize("limits", [dict(SMALL=3, PIVOTS=2, LEAF_ROWS=4, STUCK=0.95, BLOCK_SHINGLES=300), dict(SMALL=8, PIVOTS=3, LEAF_ROWS=10, STUCK=0.9, BLOCK_SHINGLES=2000, SALT_ROWS=4)])
+def test_regions_of_many_levels_lose_no_link(docs, monkeypatch, limits):
+    """One passage in all texts opens one region of many groups, some mutually far."""
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = []
+    for k in range(12):
+        base = prose(k, 50).split()
+        for i in range(9):
+            text = list(base)
+            for j in range(i % 4):
+                text[(7 * i + 13 * j) % len(text)] = f"y{i}"
+            rows.append((len(rows), "all of these share one and the same passage " + " ".join(text[: 50 - i % 3])))
+    sets = [(i, shingles(t)) for i, t in rows]
+    near = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    counts = {i: sum(j != i and near(x, y) for j, y in sets) for i, x in sets}
+    # all hashes alike in front of the order: the shared passage is in each prefix
+    monkeypatch.setattr(ngram_join, "prefix", lambda x, hot: x)
+    found = ngram_join.ngram_join(docs(rows)).collect()
+    assert {r.doc_id: r.n_links for r in found} == counts
+    assert sorted((tuple(r)[:3] for r in found), key=str) == brute_components(rows)
+
+
+def test_rows_of_one_id_are_one_node(docs):
+    a, b = prose(1, 40), prose(2, 40)
+    found = ngram_join.ngram_join(docs([(1, a), (7, a), (7, b), (9, b), (11, prose(3, 40)), (11, prose(4, 40))])).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in found) == [(1, 1, 1), (7, 1, 1), (7, 1, 1), (9, 1, 1), (11, 11, 0), (11, 11, 0)]
+
+
 def test_join_of_nothing(docs):
     assert ngram_join.ngram_join(docs(sample()).filter("false")).count() == 0
 
