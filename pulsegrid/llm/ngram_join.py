@@ -15,7 +15,9 @@ stood for by its least document.
   came along, which new pivots would not part.
 * **Leaves.** Members whose distances to a common pivot differ by over ``T`` are not compared (window). A leaf of many shingles is cut into bands
   of distance and parts of bounded size; parts of bands within ``T`` meet pairwise. Many leaves share a task, and each task holds a bounded number of
-  shingles. It gives a row for each member with its number of links and the least member that it reaches, not a row for each pair.
+  shingles. First members meet with only their shared prefix shingles, whose number bounds what two sets can have in common; those with no partner
+  left go no further. The rest meet with whole sets. A task gives a row for each member with its number of links and the least member that it
+  reaches, not a row for each pair.
 
 A pair is compared where it belongs alone: in the least first region that both share, and there at one home (``_valid``). So
 links are counted once.
@@ -196,9 +198,12 @@ def shared_keys(signed: DataFrame, only) -> DataFrame:
     return signed.select("keys", "doc_id", "s1", "n_shingles").mapInArrow(run, "key long, doc_id long, s1 long, n_shingles long")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, s1, shingles), sorted as longs, of documents among which are all in ``ids``; a bit filter finds them before the join."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ids))
+def sets_of(docs: DataFrame, rows: DataFrame, single: bool) -> DataFrame:
+    """(doc_id, s1, shingles), sorted as longs, a table that holds all documents of ``rows``; a bit filter finds them in the texts.
+
+    ``single``: no doc_id occurs twice.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(written(rows.select("doc_id").distinct())))
 
     def run(batches):
         wanted = shared.value
@@ -210,20 +215,23 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 found = [np.sort(x.view(np.int64)).view(np.uint64) for x in shingle_sets(s)]
                 yield pa.record_batch([names.slice(s.first, len(found)), pa.array([_sum(x) for x in found], pa.int64()), _lists(found)], ["doc_id", "s1", "shingles"])
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, s1 long, shingles array<long>")
+    found = docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, "doc_id long, s1 long, shingles array<long>")
+    return written(found if single else found.dropDuplicates(["doc_id", "s1"]))
 
 
-def first_regions(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """(g, doc_id, s1, n_shingles, copies): members of each first region, classes by their representatives."""
+def first_regions(signed: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (g, doc_id, s1, n_shingles, copies) of first regions, classes by their representatives; and of each its regions ``gs`` and shared prefix shingles ``ks``."""
     known = signed.filter("n_shingles > 0 and doc_id is not null")
     keys = known.select(F.explode("keys").alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("g"), F.max("doc_id").alias("last"))
     keys = written(keys.filter("g < last").select("key", "g"))
     only = signed.sparkSession.sparkContext.broadcast(bit_filter(keys.select("key")))
-    found = shared_keys(known, only).join(keys, "key").select("g", "doc_id", "s1", "n_shingles").distinct()
     reps = classes.select(F.col("class_id").alias("doc_id"), "s1", "copies")
-    members = written(found.join(reps, ["doc_id", "s1"]))
+    found = written(shared_keys(known, only).join(keys, "key").join(reps, ["doc_id", "s1"]))
+    members = written(found.groupBy("g", "doc_id", "s1").agg(F.first("n_shingles").alias("n_shingles"), F.first("copies").alias("copies")))
     several = members.groupBy("g").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("total")).filter("rows > 1")
-    return written(members.join(written(several), "g"))
+    # a document has at most its prefix in shared shingles and in regions
+    held = found.groupBy("doc_id", "s1").agg(F.sort_array(F.collect_set("key")).alias("ks"), F.sort_array(F.collect_set("g")).alias("gs"))
+    return written(members.join(written(several), "g")), written(held)
 
 
 def _distance(a: Column, b: Column, n: Column, m: Column) -> Column:
@@ -262,12 +270,15 @@ def divided(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     )
 
 
-def leaves(members: DataFrame, sets: DataFrame) -> DataFrame:
+def leaves(docs: DataFrame, members: DataFrame, single: bool) -> DataFrame:
     """The members of all leaf regions: g, region, doc_id, s1, n_shingles, copies, roles, distance d to a common pivot."""
     columns = ["g", "region", "doc_id", "s1", "n_shingles", "copies", "roles", "d", "total"]
     members = members.withColumn("region", F.col("g").cast("string")).withColumn("roles", F.array().cast("array<int>")).withColumn("d", F.lit(None).cast("double"))
     done = members.filter(F.col("rows") <= SMALL).select(*columns)
     open_ = members.filter(F.col("rows") > SMALL).select(*columns[:-1])
+    if open_.isEmpty():
+        return done
+    sets = sets_of(docs, open_, single)
     level = 0
     while not open_.isEmpty():
         new = written(divided(open_, sets, level))
@@ -317,14 +328,15 @@ def _valid(x: np.ndarray, others: np.ndarray, less: np.ndarray) -> np.ndarray:
 
 
 class Unit:
-    """The members of one unit of comparison."""
+    """The members of one unit of comparison, with sorted longs of each: its set, or the shared part of its prefix."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, payload: str):
         get = lambda c: np.asarray(table.column(c))
         self.g = int(get("g")[0])
-        self.ids, self.s1, self.own, self.i, self.j = get("doc_id"), get("s1"), get("own"), int(get("i")[0]), int(get("j")[0])
+        self.ids, self.s1, self.n = get("doc_id"), get("s1"), get("n_shingles")
+        self.own, self.i, self.j = get("own"), int(get("i")[0]), int(get("j")[0])
         self.d = table.column("d").to_numpy(zero_copy_only=False).astype(float)
-        column = table.column("shingles").combine_chunks()
+        column = table.column(payload).combine_chunks()
         bounds = np.asarray(column.offsets, np.int64)
         self.flat, self.bounds = np.asarray(column.values)[bounds[0] : bounds[-1]], bounds - bounds[0]
         self.size = np.diff(self.bounds)
@@ -332,8 +344,8 @@ class Unit:
         self.roles = np.asarray(roles.flatten()).reshape(len(self.ids), -1)
         self.lower = [[h for h in gs if h < self.g] for gs in table.column("gs").to_pylist()]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Linked pairs that belong to this unit, as row numbers."""
+    def pairs(self, enough) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that belong to this unit and have enough in common, as row numbers."""
         a, b = [], []
         for k in range(len(self.ids)):
             if self.i == self.j:
@@ -342,22 +354,22 @@ class Unit:
                 c = np.flatnonzero(self.own == self.j)
             else:
                 continue
-            n, m = self.size[k], self.size[c]
-            ok = 100 * np.minimum(n, m) >= SIMILARITY * np.maximum(n, m)
+            n = self.n[k]
+            ok = 100 * np.minimum(n, self.n[c]) >= SIMILARITY * np.maximum(n, self.n[c])
             apart = np.abs(self.d[k] - self.d[c])
             ok &= np.isnan(apart) | (apart <= T + _EPS)
             if self.roles.shape[1] and ok.any():
                 less = (self.ids[k] < self.ids[c]) | ((self.ids[k] == self.ids[c]) & (self.s1[k] < self.s1[c]))
                 ok &= _valid(self.roles[k], self.roles[c], less)
-            c, m = c[ok], m[ok]
+            c = c[ok]
             if not len(c):
                 continue
-            own = self.flat[self.bounds[k] : self.bounds[k + 1]]
+            own, m = self.flat[self.bounds[k] : self.bounds[k + 1]], self.size[c]
             starts = np.concatenate([[0], np.cumsum(m)])
             held = self.flat[np.repeat(self.bounds[c] - starts[:-1], m) + np.arange(starts[-1])]
-            hit = own[np.minimum(np.searchsorted(own, held), n - 1)] == held
+            hit = own[np.minimum(np.searchsorted(own, held), len(own) - 1)] == held
             common = np.add.reduceat(hit.astype(np.int64), starts[:-1])
-            c = c[100 * common >= SIMILARITY * (n + m - common)]
+            c = c[enough(n, self.n[c], common)]
             if self.lower[k]:  # pairs that share a lesser first region are counted there
                 mine = set(self.lower[k])
                 c = c[[mine.isdisjoint(self.lower[x]) for x in c.tolist()]] if len(c) else c
@@ -366,6 +378,17 @@ class Unit:
         return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def _linked(n, m, common):
+    return 100 * common >= SIMILARITY * (n + m - common)
+
+
+def _hopeful(n, m, shared):
+    """Whether as many shared prefix shingles are enough: behind the shorter of both prefixes two sets share no more than what is left of one."""
+    up = lambda x, by: -(-x // by)
+    behind = np.maximum(up(SIMILARITY * n, 100) - 1, up(SIMILARITY * m, 100) - 1)
+    return shared >= up((n + m) * SIMILARITY, 100 + SIMILARITY) - behind
+
+
 def _least(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each of ``n`` rows the least id that it reaches over pairs (a, b)."""
     label = ids.copy()
@@ -378,24 +401,54 @@ def _least(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 LINKS = "doc_id long, s1 long, links long, root long"
+UNITS = "g long, region string, doc_id long, s1 long, n_shingles long, copies long, roles array<int>, d double, i int, j int, own int"
+
+
+def _units(table: pa.Table):
+    """Begin and end of each unit of a task's table, sorted by unit."""
+    region = np.unique(np.array(table.column("region").to_pylist(), str), return_inverse=True)[1]
+    i, j = np.asarray(table.column("i")), np.asarray(table.column("j"))
+    change = (np.diff(region) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
+    edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(region)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b - a > 1]
+
+
+def _tasked(units: DataFrame, size: Column) -> DataFrame:
+    """Units grouped into tasks of about BLOCK_SHINGLES longs."""
+    total = units.agg(F.sum(size)).first()[0] or 0
+    tasks = max(1, -(-int(total) // BLOCK_SHINGLES))
+    return units.withColumn("task", F.pmod(F.xxhash64("region", "i", "j"), F.lit(tasks)))
+
+
+_BY_UNIT = [("region", "ascending"), ("i", "ascending"), ("j", "ascending")]
+
+
+def hopeful(units: DataFrame, held: DataFrame) -> DataFrame:
+    """The members of units that may have a link there, by their shared prefix shingles."""
+    names = UNITS.replace(",", "").split()[::2]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(_BY_UNIT)
+        keep = np.zeros(len(table), bool)
+        for begin, end in _units(table):
+            a, b = Unit(table.slice(begin, end - begin), "ks").pairs(_hopeful)
+            keep[begin + a] = keep[begin + b] = True
+        return table.select(names).filter(pa.array(keep))
+
+    dealt_ = _tasked(units.select(*names), F.lit(0.2) * F.col("n_shingles"))
+    return written(dealt_.join(held, ["doc_id", "s1"]).groupBy("task").applyInArrow(run, UNITS))
 
 
 def compared(units: DataFrame, pairs: bool = False) -> DataFrame:
     """For each member with links in a unit: how many documents it is linked with, and the least that it reaches; or all linked pairs."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("region", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        region = np.unique(np.array(table.column("region").to_pylist(), str), return_inverse=True)[1]
-        i, j = np.asarray(table.column("i")), np.asarray(table.column("j"))
-        change = (np.diff(region) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
-        edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(region)]
+        table = table.sort_by(_BY_UNIT)
         copies = np.asarray(table.column("copies"))
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for begin, end in zip(edges, edges[1:]):
-            if end - begin < 2:
-                continue
-            unit = Unit(table.slice(begin, end - begin))
-            a, b = unit.pairs()
+        for begin, end in _units(table):
+            unit = Unit(table.slice(begin, end - begin), "shingles")
+            a, b = unit.pairs(_linked)
             if not len(a):
                 continue
             if pairs:
@@ -403,18 +456,15 @@ def compared(units: DataFrame, pairs: bool = False) -> DataFrame:
             else:
                 weight = copies[begin:end]
                 links = np.bincount(a, weight[b], minlength=end - begin) + np.bincount(b, weight[a], minlength=end - begin)
-                held = np.flatnonzero(links)
+                found = np.flatnonzero(links)
                 root = _least(end - begin, a, b, unit.ids)
-                columns = [unit.ids[held], unit.s1[held], links[held].astype(np.int64), root[held]]
+                columns = [unit.ids[found], unit.s1[found], links[found].astype(np.int64), root[found]]
             for x, c in zip(out, columns):
                 x.append(c)
         columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in out]
         return pa.table(dict(zip(("a", "b") if pairs else ("doc_id", "s1", "links", "root"), columns)))
 
-    total = units.agg(F.sum("n_shingles")).first()[0] or 0
-    tasks = max(1, -(-total // BLOCK_SHINGLES))
-    grouped = units.drop("n_shingles", "total", "band", "bands").withColumn("task", F.pmod(F.xxhash64("region", "i", "j"), F.lit(tasks)))
-    return grouped.groupBy("task").applyInArrow(run, "a long, b long" if pairs else LINKS)
+    return units.groupBy("task").applyInArrow(run, "a long, b long" if pairs else LINKS)
 
 
 def _classes(signed: DataFrame) -> DataFrame:
@@ -427,12 +477,11 @@ def _repeated(signed: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, repeated: DataFrame, pairs: bool = False) -> DataFrame:
-    members = first_regions(signed, classes)
-    sets = sets_of(docs, written(members.select("doc_id").distinct()))
-    sets = written(sets if repeated.isEmpty() else sets.dropDuplicates(["doc_id", "s1"]))
-    units = written(dealt(leaves(members, sets)))
-    belongs = members.groupBy("doc_id", "s1").agg(F.sort_array(F.collect_list("g")).alias("gs"))
-    return written(compared(units.join(sets.join(belongs, ["doc_id", "s1"]), ["doc_id", "s1"]), pairs))
+    members, held = first_regions(signed, classes)
+    single = repeated.isEmpty()
+    units = hopeful(dealt(leaves(docs, members, single)), held)
+    sets = sets_of(docs, units, single).join(held.select("doc_id", "s1", "gs"), ["doc_id", "s1"])
+    return written(compared(_tasked(units, F.col("n_shingles")).join(sets, ["doc_id", "s1"]), pairs))
 
 
 def ngram_links(docs: DataFrame) -> DataFrame:
