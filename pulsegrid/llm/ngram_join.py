@@ -53,7 +53,6 @@ SMALL = 32
 PIVOTS = 8
 LEAF_ROWS = 256
 STUCK = 0.75  # a new region with more than this share of the old one's members is a leaf
-SALT_ROWS = 2_000
 BLOCK_SHINGLES = 200_000
 BANDS = 20
 #: Bits for each key of a filter, and the most 64-bit words of one: 16 MB. A fuller filter lets more rows through to the exact join.
@@ -234,37 +233,59 @@ def first_regions(signed: DataFrame, classes: DataFrame) -> tuple[DataFrame, Dat
     return written(members.join(written(several), "g")), written(held)
 
 
-def _distance(a: Column, b: Column, n: Column, m: Column) -> Column:
-    """Exact Jaccard distance."""
-    common = F.size(F.array_intersect(a, b))
-    return 1 - common / (n + m - common)
+def _distances(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Rows with their exact distances ``at`` to the pivots of their region and salt, the nearest first."""
+    names = rows.columns
+    schema = f"{UNITS.split(', i int')[0]}, old_rows long, at array<struct<d:double,i:int,name:string>>"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({c: pa.array([], t) for c, t in zip(columns, kinds)})
+        sets = left.column("shingles").combine_chunks()
+        flat, bounds = np.asarray(sets.flatten()), np.asarray(sets.offsets, np.int64)
+        bounds, size = bounds - bounds[0], np.asarray(left.column("n_shingles"))
+        right = right.sort_by([("pivot", "ascending"), ("pivot_s1", "ascending")])
+        found, labels = [], []
+        for q in right.to_pylist():
+            own = np.array(q["set"], np.int64)
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            common = np.add.reduceat(hit.astype(np.int64), bounds[:-1])
+            found.append(1 - common / (len(own) + size - common))
+            labels.append(f"{q['pivot']}:{q['pivot_s1']}")
+        found = np.stack(found, 1)
+        order = np.argsort(found, axis=1, kind="stable")
+        at = [[{"d": float(found[k, i]), "i": i, "name": labels[i]} for i in row] for k, row in enumerate(order.tolist())]
+        kept = [left.column(c) for c in names if c in columns]
+        return pa.table([*kept, pa.array([q["old"]] * len(left), pa.int64()), pa.array(at, kinds[-1])], names=columns)
+
+    columns = [*[c for c in names if c not in ("salt", "shingles")], "old_rows", "at"]
+    place = pa.struct([("d", pa.float64()), ("i", pa.int32()), ("name", pa.string())])
+    types = {"region": pa.string(), "roles": pa.list_(pa.int32()), "d": pa.float64(), "at": pa.list_(place)}
+    kinds = [types.get(c, pa.int64()) for c in columns]
+    return rows.groupBy("region", "salt").cogroup(pivots.groupBy("around", "part")).applyInArrow(run, schema)
 
 
 def divided(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     """The members of new regions around pivots drawn in each region of ``rows``, at their homes and where they visit."""
-    sizes = written(rows.groupBy("region").agg(F.count("*").alias("old_rows"), F.ceil(F.count("*") / SALT_ROWS).alias("salts")))
+    sizes = written(rows.groupBy("region").agg(F.count("*").alias("old_rows"), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("salts")))
     draw = F.xxhash64("doc_id", "s1", F.lit(level))
-    drawn = rows.groupBy("region", F.pmod(draw, F.lit(PIVOTS)).alias("part")).agg(F.min_by(F.struct("doc_id", "s1", "n_shingles"), F.struct(draw, "doc_id")).alias("q"))
+    drawn = rows.groupBy("region", F.pmod(draw, F.lit(PIVOTS)).alias("part")).agg(F.min_by(F.struct("doc_id", "s1"), F.struct(draw, "doc_id")).alias("q"))
     pivots = (
-        drawn.select("region", F.col("q.doc_id").alias("doc_id"), F.col("q.s1").alias("s1"), F.col("q.n_shingles").alias("m"))
+        drawn.select("region", F.col("q.doc_id").alias("doc_id"), F.col("q.s1").alias("s1"))
         .join(sets, ["doc_id", "s1"])
-        .groupBy("region")
-        .agg(F.sort_array(F.collect_list(F.struct("doc_id", "s1", "m", "shingles"))).alias("qs"))  # at most PIVOTS
         .join(sizes, "region")
-        .select("region", "old_rows", "qs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        .select(F.col("region").alias("around"), F.col("old_rows").alias("old"), F.col("doc_id").alias("pivot"), F.col("s1").alias("pivot_s1"), F.col("shingles").alias("set"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("part"))
     )
-    dealt = rows.join(sizes.select("region", "salts"), "region").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "salts"))
-    met = dealt.join(sets, ["doc_id", "s1"]).join(pivots, ["region", "salt"])
-    far = F.transform("qs", lambda q, i: F.struct(_distance(F.col("shingles"), q.shingles, F.col("n_shingles"), q.m).alias("d"), i.alias("i"), F.concat_ws(":", q.doc_id, q.s1).alias("name")))
-    met = written(met.select(*rows.columns, "old_rows", F.array_sort(far).alias("at")))
+    dealt_ = rows.join(sizes.select("region", "salts"), "region").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "salts")).drop("salts")
+    met = written(_distances(dealt_.join(sets, ["doc_id", "s1"]).select(*rows.columns, "salt", "shingles"), pivots))
     least = F.col("at")[0]["d"]
     at_home = least <= CORE + _EPS
     visits = F.filter("at", lambda q: (q.d <= F.least(least + 2 * T, F.lit(CORE + T)) + _EPS) & ~(at_home & (q.i == F.col("at")[0]["i"])))
-    spot = lambda q, role: F.struct(q["name"].alias("name"), q["d"].alias("d"), F.lit(role).alias("role"))
+    spot = lambda q, role: F.struct(q["name"].alias("name"), q["d"].alias("d"), role.alias("role"))
     # those without a near pivot stay together, and know their distance to the first pivot
     first = F.filter("at", lambda q: q.i == 0)[0]
-    home = F.when(at_home, spot(F.col("at")[0], HOME)).otherwise(F.struct(F.lit("-").alias("name"), first["d"].alias("d"), F.lit(HOME).alias("role")))
-    places = F.concat(F.array(home), F.transform(visits, lambda q: F.struct(q["name"].alias("name"), q["d"].alias("d"), F.when(at_home, VISITOR).otherwise(VISITOR_FAR).alias("role"))))
+    home = F.when(at_home, spot(F.col("at")[0], F.lit(HOME))).otherwise(F.struct(F.lit("-").alias("name"), first["d"].alias("d"), F.lit(HOME).alias("role")))
+    places = F.concat(F.array(home), F.transform(visits, lambda q: spot(q, F.when(at_home, VISITOR).otherwise(VISITOR_FAR))))
     return met.withColumn("place", F.explode(places)).select(
         "g", "doc_id", "s1", "n_shingles", "copies", F.concat_ws("/", "region", "place.name").alias("region"), F.array_append("roles", F.col("place.role")).alias("roles"), F.col("place.d").alias("d"), "old_rows"
     )
