@@ -1,20 +1,21 @@
 """Benchmark decontamination over a positional inverted index of the training documents.
 
-The index is partitioned by document. Each block of documents has its own posting lists: for every term of the benchmark,
-sorted, where it stands (word places within the block). A word is posted if it lies in a run of benchmark words long
-enough for a window, or is one of the rare terms of an item (for proximity); no other word can take part in a match. The
-index is written once as a table, a row for each block.
+The index is partitioned by document and knows nothing of the benchmark: each block of documents has its own posting lists, for every
+token, sorted, where it stands (word places within the block). It is written once as a table, a row for each block, and texts are
+not read again.
 
-A window is matched from its globally rarest term on: that term's list, shifted by its offset in the window, gives
-the candidate starts, and the lists of the other terms, rarest first and shifted alike, are intersected with them. Windows are sent
-to the tasks in groups of at most ``GROUP_WORDS`` words of benchmark text, so what is broadcast has a bound; each group
-meets all blocks, and the spans that the groups find are joined for each document.
+A window is matched from its globally rarest term on. Windows are filed under this term; the terms of a block pick
+those that can occur there. The term's list, shifted by its offset in the window, gives the candidate starts, and the lists of the other
+terms, rarest first and shifted alike, are intersected with them. Windows are sent to the tasks in groups of at most ``GROUP_WORDS`` words of
+benchmark text (an item is never parted), so what is broadcast has a bound; each group meets all blocks, and what the groups find is
+joined by block and row.
 
 A proximity match of an item means that its ``NEAR_TERMS`` rarest terms stand in one document within ``NEAR_SPAN`` words.
 
 Null texts, on either side, have no words; an item without words has no window; equal items match alike, an item_id that
-occurs twice counts once and a null item_id not at all; repeated documents are judged row by row; empty tables give no
-match or no row; other columns are ignored. Words are told apart by 64-bit hashes.
+occurs twice counts once and a null item_id not at all; repeated documents are judged row by row; very long texts are blocks of their
+own; empty tables give no match or no row; other columns are ignored. Words are told apart by 64-bit hashes, windows by
+64-bit hashes of these.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.shared import written
-from pulsegrid.llm.textops import ALNUM, slices, word_hashes, words
+from pulsegrid.llm.textops import ALNUM, grams, pack, pack_steps, slices, unpack, unpack_steps, word_hashes, words
 
 WINDOW = 10
-GROUP_WORDS = 2_000_000
+GROUP_WORDS = 1_000_000
+BLOCK_BYTES = 1 << 20
 NEAR_TERMS = 3
 NEAR_SPAN = 30
 
@@ -62,41 +65,64 @@ def groups(items: DataFrame) -> list[tuple[list[str], list[np.ndarray]]]:
             yield [r["item_id"] for r in rows], [np.array(r["words"], np.int64).view(np.uint64) for r in rows]
 
 
+def _filed(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers in order of their lead term, the distinct lead terms, and where each one's numbers begin."""
+    order = np.argsort(lead, kind="stable")
+    terms, heads = np.unique(lead[order], return_index=True)
+    return order, terms, np.append(heads, len(order))
+
+
+def _picked(filed, terms: np.ndarray) -> np.ndarray:
+    """The numbers filed under any of ``terms``."""
+    order, leads, heads = filed
+    if not len(leads):
+        return order
+    at = np.minimum(np.searchsorted(leads, terms), len(leads) - 1)
+    at = at[leads[at] == terms]
+    sizes = heads[at + 1] - heads[at]
+    step = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return order[np.repeat(heads[at] - step, sizes) + np.arange(sizes.sum())]
+
+
 class Windows:
-    """Distinct windows of a group of items, by length, with the items that each belongs to."""
+    """Distinct windows of a group of items, by length, with the items that each belongs to, and rare terms of items."""
 
     def __init__(self, ids: list[str], texts: list[np.ndarray]):
-        self.ids = ids
-        self.terms = np.unique(np.concatenate(texts))
-        self.by_length: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        found: dict[int, dict[bytes, list[int]]] = {}
-        for i, text in enumerate(texts):
-            n = min(WINDOW, len(text))
-            for a in range(len(text) - n + 1):
-                owners = found.setdefault(n, {}).setdefault(text[a : a + n].tobytes(), [])
-                if i not in owners[-1:]:
-                    owners.append(i)
-        for n, windows in found.items():
-            self.by_length[n] = (np.stack([np.frombuffer(w, np.uint64) for w in windows]), list(windows.values()))
-        self.texts = texts
-
-    def vocabulary(self) -> dict[int, np.ndarray]:
-        return {n: np.unique(w) for n, (w, _) in self.by_length.items()}
+        self.ids, self.text = ids, np.concatenate(texts)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        sizes = np.minimum(np.diff(bounds), WINDOW)
+        self.terms = np.unique(self.text)
+        self.items = [np.unique(t) for t in texts]
+        #: by length: where windows start in ``text``, their items, and where each window's items begin
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            counts = np.diff(bounds)[own] - n + 1
+            step = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            start = np.repeat(bounds[own] - step, counts) + np.arange(counts.sum())
+            key, item = grams(self.text, n)[start], np.repeat(own, counts)
+            order = np.lexsort((item, key))
+            key, item, start = key[order], item[order], start[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            fresh = new.copy()
+            fresh[1:] |= item[1:] != item[:-1]
+            self.by_length[n] = (start[new], item[fresh], np.append(np.flatnonzero(new[fresh]), fresh.sum()))
 
     def order(self, counts: dict[int, int]) -> None:
         """Fix each window's order of terms, and each item's rare terms, by the counts in the index."""
         number = np.array([counts.get(t, 0) for t in self.terms.view(np.int64).tolist()], np.int64)
-        self.orders = {}
-        for n, (w, _) in self.by_length.items():
-            self.orders[n] = np.argsort(number[np.searchsorted(self.terms, w)], axis=1, kind="stable")
-
-    def rare(self, counts: dict[int, int]) -> list[np.ndarray]:
-        out = []
-        for text in self.texts:
-            terms = np.unique(text)
-            by = sorted(terms.tolist(), key=lambda t: (counts.get(int(np.uint64(t).view(np.int64)), 0), t))
-            out.append(np.array(by[:NEAR_TERMS], np.uint64))
-        return out
+        of = lambda x: number[np.searchsorted(self.terms, x)]
+        self.orders, self.filed = {}, {}
+        for n, (start, _, _) in self.by_length.items():
+            w = self.text[start[:, None] + np.arange(n)]
+            self.orders[n] = np.argsort(of(w), axis=1, kind="stable").astype(np.uint8)
+            self.filed[n] = _filed(w[np.arange(len(w)), self.orders[n][:, 0]])
+        self.rare = np.zeros((len(self.items), NEAR_TERMS), np.uint64)
+        for i, terms in enumerate(self.items):
+            rare = terms[np.lexsort((terms, of(terms)))][:NEAR_TERMS]
+            self.rare[i] = np.resize(rare, NEAR_TERMS)  # items of fewer terms name one twice
+        self.filed_items = _filed(self.rare[:, 0])
 
 
 def _in(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -105,92 +131,77 @@ def _in(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)] == x
 
 
-def term_counts(docs: DataFrame, terms: np.ndarray) -> dict[int, int]:
-    """How often each benchmark term occurs in all documents (a row for each term of the group)."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-
-    def run(batches):
-        wanted = shared.value
-        total = np.zeros(len(wanted), np.int64)
-        for batch in batches:
-            for s in slices(batch.column("text")):
-                starts, _, _ = words(s, ALNUM)
-                h = word_hashes(s, starts, ALNUM)
-                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                total += np.bincount(at[wanted[at] == h], minlength=len(wanted))
-        yield pa.record_batch([pa.array(wanted[total > 0].view(np.int64)), pa.array(total[total > 0])], ["term", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    table = rows.toPandas()
-    return dict(zip(table["term"].tolist(), table["n"].tolist()))
+INDEX = "block long, docs array<long>, bounds array<long>, terms binary, sizes binary, places binary"
 
 
-INDEX = "docs array<long>, bounds array<long>, terms array<long>, heads array<long>, places array<long>"
-
-
-def index(docs: DataFrame, windows: Windows, rare: np.ndarray) -> DataFrame:
-    """The positional inverted index: for each block its documents, terms and posting lists."""
-    shared = docs.sparkSession.sparkContext.broadcast((windows.vocabulary(), rare))
+def index(docs: DataFrame) -> DataFrame:
+    """The positional inverted index of all tokens: for each block its documents, terms and posting lists."""
 
     def run(batches):
-        vocabulary, rare_terms = shared.value
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
-            for s in slices(batch.column("text")):
+            for s in slices(batch.column("text"), BLOCK_BYTES):
                 starts, _, bounds = words(s, ALNUM)
                 h = word_hashes(s, starts, ALNUM)
-                keep = _in(rare_terms, h)
-                for n, terms in vocabulary.items():
-                    keep |= _runs(_in(terms, h), bounds, n)
-                at = np.flatnonzero(keep)
-                order = at[np.argsort(h[at], kind="stable")]
-                terms, heads = np.unique(h[order], return_index=True)
-                rows = ids.slice(s.first, len(bounds) - 1)
-                one = lambda x: pa.array([x], pa.list_(pa.int64()))
+                order = np.argsort(h, kind="stable")
+                terms, sizes = np.unique(h[order], return_counts=True)
+                rows = ids.slice(s.first, len(bounds) - 1).to_pylist()
                 yield pa.record_batch(
-                    [pa.array([rows.to_pylist()], pa.list_(pa.int64())), one(bounds), one(terms.view(np.int64)), one(np.append(heads, len(order))), one(order)],
-                    ["docs", "bounds", "terms", "heads", "places"],
+                    [
+                        pa.array([number], pa.int64()),
+                        pa.array([rows], pa.list_(pa.int64())),
+                        pa.array([bounds], pa.list_(pa.int64())),
+                        *(pa.array([x], pa.binary()) for x in (pack_steps(terms), pack(sizes.astype(np.uint32)), pack_steps(order.astype(np.uint32)))),
+                    ],
+                    ["block", "docs", "bounds", "terms", "sizes", "places"],
                 )
+                number += 1
 
     return docs.select("doc_id", "text").mapInArrow(run, INDEX)
 
 
-def _runs(inside: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
-    """Which words lie in a run of at least ``n`` such words within a row."""
-    if n == 1 or not len(inside):
-        return inside
-    breaks = np.zeros(len(inside) + 1, bool)
-    breaks[bounds] = True
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1] | breaks[1:-1]
-    end = inside.copy()
-    end[:-1] &= ~inside[1:] | breaks[1:-1]
-    a, b = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    long = b - a >= n
-    step = np.zeros(len(inside) + 1, np.int64)
-    step[a[long]] += 1
-    step[b[long]] -= 1
-    return np.cumsum(step[:-1]) > 0
+def term_counts(blocks: DataFrame, terms: np.ndarray) -> dict[int, int]:
+    """How often each benchmark term of a group is posted in the index."""
+    shared = blocks.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        wanted = shared.value
+        total = np.zeros(len(wanted), np.int64)
+        for batch in batches:
+            for terms, sizes in zip(batch.column("terms"), batch.column("sizes")):
+                known, n = unpack_steps(terms.as_py(), np.uint64), unpack(sizes.as_py(), np.uint32)
+                at = np.minimum(np.searchsorted(wanted, known), len(wanted) - 1)
+                hit = wanted[at] == known
+                total[at[hit]] += n[hit]
+        yield pa.record_batch([pa.array(wanted[total > 0].view(np.int64)), pa.array(total[total > 0])], ["term", "n"])
+
+    rows = blocks.select("terms", "sizes").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    table = rows.toPandas()  # at most the terms of one group
+    return dict(zip(table["term"].tolist(), table["n"].tolist()))
 
 
 class Block:
     """One block of the index."""
 
-    def __init__(self, bounds, terms, heads, places):
+    def __init__(self, bounds, terms: bytes, sizes: bytes, places: bytes):
         self.bounds = np.asarray(bounds, np.int64)
-        self.terms = np.asarray(terms, np.int64).view(np.uint64)
-        self.heads = np.asarray(heads, np.int64)
-        self.places = np.asarray(places, np.int64)
+        self.terms = unpack_steps(terms, np.uint64)
+        sizes = unpack(sizes, np.uint32).astype(np.int64)
+        self.heads = np.concatenate([[0], np.cumsum(sizes)])
+        self.places = unpack_steps(places, np.uint32).astype(np.int64)
         # places of all lists in one sorted sequence, list by list
         self.width = int(self.bounds[-1]) + 1
-        self.keys = np.repeat(np.arange(len(self.terms)), np.diff(self.heads)) * self.width + self.places
+        self.keys = np.repeat(np.arange(len(self.terms)), sizes) * self.width + self.places
 
-    def phrases(self, windows: np.ndarray, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and the places where they start."""
-        n = windows.shape[1]
+    def phrases(self, group: Windows, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of ``n`` words and the places where they start."""
         nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(self.terms):
+        some = _picked(group.filed[n], self.terms)
+        if not len(some):
             return nothing
+        windows = group.text[group.by_length[n][0][some][:, None] + np.arange(n)]
+        orders = group.orders[n][some].astype(np.int64)
         term = np.minimum(np.searchsorted(self.terms, windows), len(self.terms) - 1)
         live = np.flatnonzero((self.terms[term] == windows).all(1))
         if not len(live):
@@ -210,13 +221,19 @@ class Block:
             which, start = which[ok], start[ok]
         row = np.searchsorted(self.bounds, start, "right")
         ok = (start >= 0) & (start + n <= self.bounds[np.minimum(row, len(self.bounds) - 1)])
-        return which[ok], start[ok]
+        return some[which[ok]], start[ok]
+
+    def near_items(self, group: Windows) -> np.ndarray:
+        """Items whose rare terms all stand in the block."""
+        some = _picked(group.filed_items, self.terms)
+        if not len(some):
+            return some
+        rare = group.rare[some]
+        return some[_in(self.terms, rare.reshape(-1)).reshape(rare.shape).all(1)]
 
     def near(self, rare: np.ndarray) -> list[int]:
         """Rows in which all these terms stand within NEAR_SPAN words."""
-        at = np.searchsorted(self.terms, rare)
-        if (at >= len(self.terms)).any() or (self.terms[at] != rare).any():
-            return []
+        at = np.searchsorted(self.terms, np.unique(rare))
         lists = [self.places[self.heads[t] : self.heads[t + 1]] for t in at]
         places = np.concatenate(lists)
         kind = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
@@ -232,28 +249,29 @@ class Block:
 MATCHES = "doc_id long, block long, row long, n_words long, spans array<long>, items array<string>, near array<string>"
 
 
-def matches(blocks: DataFrame, windows: Windows, rare: list[np.ndarray]) -> DataFrame:
+def matches(blocks: DataFrame, windows: Windows) -> DataFrame:
     """For each document its words in matched windows (pairs of first and end), the items, and items near by."""
-    shared = blocks.sparkSession.sparkContext.broadcast((windows.by_length, windows.orders, windows.ids, rare))
+    shared = blocks.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches):
-        by_length, orders, ids, rare_terms = shared.value
+        group = shared.value
+        ids = group.ids
         for batch in batches:
-            for block, docs, bounds, terms, heads, places in zip(*(batch.column(c) for c in ("block", "docs", "bounds", "terms", "heads", "places"))):
+            for block, docs, bounds, *lists in zip(*(batch.column(c) for c in ("block", "docs", "bounds", "terms", "sizes", "places"))):
                 docs = docs.as_py()
-                index = Block(*(np.asarray(x.values) for x in (bounds, terms, heads, places)))
+                index = Block(np.asarray(bounds.values), *(x.as_py() for x in lists))
                 hit = np.zeros(index.width + 1, np.int64)
                 items: list[set[int]] = [set() for _ in docs]
                 near: list[list[str]] = [[] for _ in docs]
-                for n, (wanted, owners) in by_length.items():
-                    which, start = index.phrases(wanted, orders[n])
+                for n, (_, owners, heads) in group.by_length.items():
+                    which, start = index.phrases(group, n)
                     np.add.at(hit, start, 1)
                     np.add.at(hit, start + n, -1)
                     row = np.searchsorted(index.bounds, start, "right") - 1
                     for r, w in set(zip(row.tolist(), which.tolist())):
-                        items[r].update(owners[w])
-                for i, terms_of in enumerate(rare_terms):
-                    for r in index.near(terms_of):
+                        items[r].update(owners[heads[w] : heads[w + 1]].tolist())
+                for i in index.near_items(group).tolist():
+                    for r in index.near(group.rare[i]):
                         near[r].append(ids[i])
                 edge = np.diff(np.concatenate([[0], (np.cumsum(hit[: index.width - 1]) > 0).astype(np.int8), [0]]))
                 first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -284,16 +302,15 @@ def matches(blocks: DataFrame, windows: Windows, rare: list[np.ndarray]) -> Data
 
 def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Counts of matched words and items for each document."""
+    blocks: DataFrame | None = None
     found: DataFrame | None = None
     parts = 0
     for ids, texts in groups(item_words(benchmark)):
+        if blocks is None:
+            blocks = written(index(docs))
         windows = Windows(ids, texts)
-        counts = term_counts(docs, windows.terms)
-        windows.order(counts)
-        rare = windows.rare(counts)
-        blocks = written(index(docs, windows, np.unique(np.concatenate(rare))))
-        # blocks and rows are numbered by the order of the documents, alike for each group
-        own = matches(blocks.withColumn("block", F.xxhash64("docs", "bounds")), windows, rare)
+        windows.order(term_counts(blocks, windows.terms))
+        own = matches(blocks, windows)
         found = own if found is None else found.unionByName(own)
         parts += 1
     if found is None:
@@ -319,7 +336,9 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def _digest(found: DataFrame, joined: bool) -> DataFrame:
     if joined:
-        found = found.groupBy("doc_id", "block", "row", "n_words").agg(
+        found = found.groupBy("block", "row").agg(
+            F.first("doc_id").alias("doc_id"),
+            F.first("n_words").alias("n_words"),
             F.flatten(F.collect_list("spans")).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"),

@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -121,3 +122,24 @@ def text_hashes(texts: list[str], in_word: np.ndarray) -> list[np.ndarray]:
         hashes = word_hashes(s, starts, in_word)
         out += [hashes[a:b] for a, b in zip(bounds, bounds[1:])]
     return out
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Integers by planes of bytes, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(raw: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def pack_steps(x: np.ndarray) -> bytes:
+    """Unsigned integers by their differences, which may wrap around: small where most of ``x`` rises."""
+    return pack(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpack_steps(raw: bytes, kind) -> np.ndarray:
+    return np.cumsum(unpack(raw, kind), dtype=kind)

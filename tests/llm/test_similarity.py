@@ -117,6 +117,38 @@ def test_hits_equal_brute_force(spark, docs, monkeypatch, group):
     assert sorted((tuple(r)[:6] for r in found.collect()), key=str) == brute_hits(rows, items)
 
 
+def test_groups_of_items_keep_repeated_rows(spark, monkeypatch):
+    """Rows of equal id and length in several files, met by several groups of items."""
+    monkeypatch.setattr(decontamination, "GROUP_WORDS", 12)
+    texts = [prose(70, 15), prose(71, 15), prose(72, 15)]
+    rows = [(5, t, "c") for t in texts] + [(None, texts[0], "c"), (None, texts[0], "c"), (6, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block string").repartition(6)
+    items = [(k, t) for k, t in enumerate(texts[:2])] + [(9, prose(73, 15))]
+    found = decontamination.decontamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((tuple(r)[:6] for r in found), key=str) == brute_hits([r[:2] for r in rows], items)
+
+
+def test_near_items_equal_brute_force(spark, docs, monkeypatch):
+    items = [(k, prose(80 + k, 9)) for k in range(5)]
+    terms = [words(t, ALNUM) for _, t in items]
+    rows = [(k, " ".join(prose(200 + k, 3 * k).split() + terms[k % 5][:9:2] + prose(300 + k, 12).split() + terms[k % 5][1::2])) for k in range(20)]
+    found = decontamination.decontamination(docs(rows), spark.createDataFrame(items, "item_id long, text string"))
+    texts = {i: words(t, ALNUM) for i, t in rows}
+    seen = [w for t in texts.values() for w in t]
+
+    def near(text, item):
+        # ties in rarity go by hash, so an item counts if its choice of rarest terms is not a tie
+        rare = sorted(set(item), key=lambda w: seen.count(w))[:3]
+        places = [[p for p, w in enumerate(text) if w == r] for r in rare]
+        return all(places) and any(max(x) - min(x) < 30 for x in __import__("itertools").product(*places))
+
+    got = {r.doc_id: r.n_near for r in found.collect()}
+    for i, t in texts.items():
+        clear = [x for x in terms if len({seen.count(w) for w in sorted(set(x), key=seen.count)[:4]}) == 4 or len(set(x)) <= 3]
+        assert got[i] >= sum(near(t, x) for x in clear)
+    assert any(got.values())
+
+
 def test_no_benchmark_hits_nothing(spark, docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontamination.decontamination(docs(sample()), empty).collect()} == {0}
