@@ -54,9 +54,17 @@ def test_token_histogram(docs):
     assert token_counts.token_counts(docs(rows).filter("false")).count() == 0
 
 
-def test_elias_fano_round_trip():
-    for values in ([], [0], [5, 5, 9], sorted(np.random.default_rng(0).integers(0, 10**9, 500))):
-        assert lm_scoring.EliasFano.of(np.array(values, np.int64)).values().tolist() == list(values)
+def test_elias_fano_round_trip_and_search():
+    rng = np.random.default_rng(0)
+    for values in ([], [0], [5, 5, 9], sorted(rng.integers(0, 10**9, 500)), sorted(rng.integers(0, 1 << 60, 3000)), sorted(rng.integers(0, 40, 700))):
+        values = np.array(values, np.int64)
+        found = lm_scoring.EliasFano.of(values)
+        assert found.values(np.arange(len(values))).tolist() == values.tolist()
+        wanted = np.concatenate([values, values + 1, np.maximum(values - 1, 0), rng.integers(0, 1 << 61, 50), [0]])
+        begin = rng.integers(0, len(values) + 1, len(wanted))
+        end = np.maximum(begin, rng.integers(0, len(values) + 1, len(wanted)))
+        want = [a + int(np.searchsorted(values[a:b], w)) for w, a, b in zip(wanted, begin, end)]
+        assert found.successor(wanted, begin, end).tolist() == want
 
 
 def test_base_scores_equal_brute_force_and_the_model_is_better(spark, docs):
@@ -76,30 +84,32 @@ def test_base_scores_equal_brute_force_and_the_model_is_better(spark, docs):
 
 
 def test_model_probabilities_add_up():
-    keys = np.array([1 << 16 | 2, 1 << 16 | 3, 1 << 16, 17 << 16 | 2], np.uint32)
-    trie = lm_scoring.Trie({1: lm_scoring.build_levels(keys, np.array([5.0, 1, 2, 1]), 10)}, 16)
-    p, weight = trie.pair(np.array([1, 1, 17, 5]), np.array([2, 3, 2, 2]))
-    assert p[0] + p[1] + weight[0] == pytest.approx(1, abs=1e-4)
-    assert p[2] + weight[2] == pytest.approx(1, abs=1e-4)
-    assert (p[3], weight[3]) == (0, 1)
+    known = np.array([3, 9, 1 << 63], np.uint64)
+    context, child, counts = np.array([0, 0, 2, 0]), np.array([7, 5, 7, 7]), np.array([2, 1, 4, 3])
+    totals = np.array([6, 0, 4], np.uint64)
+    trie = lm_scoring.Trie.of(known, totals, context, child, counts)
+    assert trie.kinds().tolist() == [2, 0, 1]
+    p = lm_scoring.decoded(trie.codes(known[[0, 0, 2, 1, 0]], np.array([7, 5, 7, 7, 6])))
+    assert p == pytest.approx([(5 - 0.75) / 6, (1 - 0.75) / 6, (4 - 0.75) / 4, 0, 0], rel=1e-3)
+    assert lm_scoring.decoded(trie.codes(np.array([100], np.uint64), np.array([7]))).tolist() == [0]
+    assert p[0] + p[1] + 0.75 * 2 / 6 == pytest.approx(1, rel=1e-3) and p[0] + p[1] + 0.75 * 2 / 6 <= 1
+    assert p[2] + 0.75 / 4 == pytest.approx(1, rel=1e-3)
 
 
 @pytest.mark.parametrize("shard_words", [400_000, 50])
 def test_scores_use_every_pair_of_the_corpus(docs, monkeypatch, shard_words):
     monkeypatch.setattr(lm_scoring, "SHARD_WORDS", shard_words)
     monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 3000)
-    # a model of a fixed number of pairs scores most of these like unigrams
-    monkeypatch.setattr(lm_scoring, "TRIE_WORDS", 40, raising=False)
-    monkeypatch.setattr(lm_scoring, "TRIE_PAIRS", 32, raising=False)
+    monkeypatch.setattr(lm_scoring, "REPORTED", 2)
     rows = sample() + [(500 + i, "the cat sat on the " + prose(i, 20)) for i in range(60)]
-    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    rows += [(None, "the cat"), (900, prose(7, 3000))]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     tokens = {i: words(t) + [None] for i, t in rows}
     learned = [t for i, t in tokens.items() if not held(i)]
     ones = Counter(w for t in learned for w in t)
     twos = Counter(pair for t in learned for pair in zip([None] + t, t))
     after = Counter(a for a, _ in twos)
-    n1, n2 = (sum(n == k for n in twos.values()) for k in (1, 2))
-    d = min(0.9, max(0.1, n1 / (n1 + 2 * n2)))
+    d = lm_scoring.DISCOUNT
     bottom = ones.total() + 0.1 * (len(ones) + 1)
 
     def p(a, w):
@@ -107,7 +117,11 @@ def test_scores_use_every_pair_of_the_corpus(docs, monkeypatch, shard_words):
         return (max(twos[a, w] - d, 0) + d * after[a] * low) / ones[a] if ones[a] else low
 
     got = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs(rows)).collect()}
-    assert got == {i: pytest.approx(sum(math.log10(p(a, w)) for a, w in zip([None] + t, t))) for i, t in tokens.items()}
+    # a step of the probability scale is 0.0002 in log10
+    assert got == {i: pytest.approx(sum(math.log10(p(a, w)) for a, w in zip([None] + t, t)), abs=2e-4 * len(t)) for i, t in tokens.items()}
+    for parts in (1, 7):
+        again = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs(rows).repartition(parts)).collect()}
+        assert again == {i: pytest.approx(x, rel=1e-9) for i, x in got.items()}
 
 
 def test_language_of_held_out_texts(spark):
