@@ -1,17 +1,19 @@
-"""License scans: exact set-similarity join of text blocks (lines and runs of lines) with license templates.
+"""License scans: exact set-similarity join of text blocks with license templates.
 
-A block matches a template when it holds at least ``THRESHOLD`` of the template's distinct words. Words of the
-templates are ordered by how often they occur in the whole corpus, the rarest first; a block that meets the threshold
-must hold one of the first ``n - need + 1`` words of the template (prefix filter), have at least ``need`` words
-(length filter), and its first common word must leave enough words behind it in the template's order (positional
-filter). What passes is compared word by word, so the join is exact. Blocks are all lines and, for each template,
-all runs of lines over which it can be wrapped: consecutive lines with words, of which those between the first and the last hold fewer
-words than the template. A block takes the labels of all templates that it meets, but not of one whose words in the block a
-template of a higher score covers. Beside it stand the base labels: phrases whose words follow one another.
+The blocks of a text are all runs of consecutive words, over line ends, within a paragraph (lines without a word part paragraphs). A block
+meets a template when it holds at least ``THRESHOLD`` of the template's distinct words and is no longer than the template's length by
+``THRESHOLD``, so that words strewn over a long line meet nothing. Words of the templates are ordered by how often they occur in
+the whole corpus, the rarest first; a block that meets the threshold must hold one of the first ``n - need + 1`` words of the template (prefix
+filter), have ``need`` places of its words within the greatest length (length filter), and its rarest common word must leave
+``need`` words from it on in the template's order (positional filter). What passes is compared word by word, so the join is exact. It is enough to
+look at blocks that begin with a word of the template and have the greatest length: they hold what any other block holds.
+
+A text takes the labels of all templates that a block of it meets, unless for each such block a template of a higher score meets an overlapping
+block and holds all of its common words. Beside them stand the base labels: phrases whose words follow one another.
 
 The templates are a fixed list of bounded size, and so are their corpus counts, the only rows that reach the driver.
-Null text counts as empty and has no labels (an empty string) and score 0; repeated rows are scanned one by one; an
-empty table gives an empty result; other columns of the input are ignored.
+Null text counts as empty and has no labels (an empty string) and score 0; repeated rows are scanned one by one; very long texts are
+scanned whole; of equal scores all labels stay; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -73,34 +75,59 @@ def word_counts(docs: DataFrame) -> dict[int, int]:
 
 
 class Templates:
-    """Ordered templates with an index of their prefix words."""
+    """Templates over the ordered words of all, as tables: which words each has, their ranks in it, and its limits."""
 
     def __init__(self, counts: dict[int, int], threshold: float = THRESHOLD):
-        self.sets, self.need, self.lengths, index = [], [], [], {}
-        for k, h in enumerate(text_hashes([t for _, t in TEMPLATES], ALNUM)):
-            ordered = sorted(set(h.view(np.int64).tolist()), key=lambda w: (counts.get(w, 0), w))
-            need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
-            self.sets.append({w: i for i, w in enumerate(ordered)})
-            self.need.append(need)
-            self.lengths.append(len(h))
-            for w in ordered[: len(ordered) - need + 1]:
-                index.setdefault(w, []).append(k)
-        self.index = index
-        self.keys = np.sort(np.array(list(index), np.int64).view(np.uint64))
-
-    def scores(self, block: list[int]) -> dict[int, float]:
-        """Containment of each template that the block meets, without those that a better one covers."""
-        have = set(block)
-        out, covers = {}, {}
-        for k in {k for w in have if w in self.index for k in self.index[w]}:
-            places, need = self.sets[k], self.need[k]
-            if len(have) < need:
-                continue
-            common = sorted(places[w] for w in have if w in places)
-            if 1 + min(len(places) - common[0] - 1, len(have) - 1) >= need and len(common) >= need:
-                out[k] = len(common) / len(places)
-                covers[k] = have & places.keys()
-        return {k: x for k, x in out.items() if not any(out[j] > x and covers[j] >= covers[k] for j in out)}
+        texts = text_hashes([t for _, t in TEMPLATES], ALNUM)
+        self.words = _template_words()
+        number = np.array([counts.get(w, 0) for w in self.words.view(np.int64).tolist()])
+        self.rank = np.full((len(texts), len(self.words)), -1)
+        self.size, self.need, self.longest = [], [], []
+        for k, text in enumerate(texts):
+            at = np.unique(np.searchsorted(self.words, text))
+            self.rank[k, at[np.lexsort((self.words[at], number[at]))]] = np.arange(len(at))
+            self.size.append(len(at))
+            self.need.append(max(1, math.ceil(threshold * len(at) - 1e-9)))
+            self.longest.append(int(len(text) / threshold + 1e-9))
+
+    def blocks(self, k: int, place: np.ndarray, word: np.ndarray, paragraph: np.ndarray) -> list[tuple[int, int, frozenset]]:
+        """Begin, end and common words of all blocks that meet a template, from the places of its words, their numbers and paragraphs."""
+        need, n = self.need[k], len(place)
+        if n < need:
+            return []
+        rank = self.rank[k, word]
+        begin = np.arange(n)
+        end = np.minimum(np.searchsorted(place, place + self.longest[k]), np.searchsorted(paragraph, paragraph, "right"))
+        rare = np.concatenate([[0], np.cumsum(rank <= self.size[k] - need)])
+        ok = (end - begin >= need) & (rare[end] > rare[begin])
+        out = []
+        for a, b in zip(begin[ok].tolist(), end[ok].tolist()):
+            common = frozenset(word[a:b].tolist())
+            if len(common) >= need and int(rank[a:b].min()) <= self.size[k] - need:
+                out.append((int(place[a]), int(place[b - 1]) + 1, common))
+        return out
+
+    def met(self, place: np.ndarray, word: np.ndarray, paragraph: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """Template, begin, end and score of each block of a text that no better template covers."""
+        found = []
+        for k in range(len(self.size)):
+            own = np.flatnonzero(self.rank[k, word] >= 0)
+            found += [(a, b, k, common) for a, b, common in self.blocks(k, place[own], word[own], paragraph[own])]
+        found.sort(key=lambda x: x[:3])
+        score = [len(common) / self.size[k] for _, _, k, common in found]
+        reach = max(self.longest)
+        out, first = [], 0
+        for i, (a, b, k, common) in enumerate(found):
+            while found[first][0] <= a - reach:
+                first += 1
+            covered, j = False, first
+            while not covered and j < len(found) and found[j][0] < b:
+                _, end, other, theirs = found[j]
+                covered = end > a and other != k and score[j] > score[i] and theirs >= common
+                j += 1
+            if not covered:
+                out.append((k, a, b, score[i]))
+        return out
 
 
 def license_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -125,20 +152,6 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def _runs(m: int, length: int, next_to: np.ndarray, heads: np.ndarray):
-    """First and last of the longest runs of two lines and more around line ``m`` that a template of ``length`` words can fill."""
-    i = m
-    while i == m or (next_to[i] and heads[m] - heads[i + 1] <= length - 2):
-        j = m
-        while j < len(next_to) and next_to[j] and heads[j + 1] - heads[min(i + 1, j + 1)] <= length - 2:
-            j += 1
-        if j > i:
-            yield i, j
-        i -= 1
-        if i < 0:
-            return
-
-
 def _scan(s, templates, phrases) -> list[tuple]:
     starts, _, bounds = words(s, ALNUM)
     h = word_hashes(s, starts, ALNUM)
@@ -159,25 +172,17 @@ def _scan(s, templates, phrases) -> list[tuple]:
             base.setdefault(int(row_of[p]), set()).add(label)
     best: dict[int, float] = {}
     found: dict[int, set[str]] = {}
-    if len(h):
+    at = np.minimum(np.searchsorted(templates.words, h), len(templates.words) - 1)
+    place = np.flatnonzero(templates.words[at] == h)
+    if len(place):
         line = np.searchsorted(np.union1d(np.flatnonzero(s.data == 0x0A), s.offsets - 1), starts, "left")
-        key = templates.keys[np.minimum(np.searchsorted(templates.keys, h), len(templates.keys) - 1)]
-        signed = h.view(np.int64)
-        ids, heads = np.unique(line, return_index=True)
-        next_to = (np.diff(ids) == 1) & (np.diff(row_of[heads]) == 0)
-        heads = np.append(heads, len(h))
-        for n in np.unique(line[key == h]).tolist():
-            a, b = np.searchsorted(line, [n, n + 1])
+        breaks = np.ones(len(h), bool)
+        breaks[1:] = (np.diff(line) > 1) | (np.diff(row_of) != 0)
+        paragraph, word = np.cumsum(breaks)[place], at[place]
+        for k, a, _, score in templates.met(place, word, paragraph):
             row = int(row_of[a])
-            met = templates.scores(signed[a:b].tolist())
-            m = int(np.searchsorted(ids, n))
-            for k in {k for w in set(signed[a:b].tolist()) if w in templates.index for k in templates.index[w]}:
-                for i, j in _runs(m, templates.lengths[k], next_to, heads):
-                    score = templates.scores(signed[heads[i] : heads[j + 1]].tolist()).get(k, 0.0)
-                    if score > 0:
-                        met[k] = max(met.get(k, 0.0), score)
-            best[row] = max(best.get(row, 0.0), *met.values(), 0.0)
-            found.setdefault(row, set()).update(TEMPLATES[k][0] for k in met)
+            best[row] = max(best.get(row, 0.0), score)
+            found.setdefault(row, set()).add(TEMPLATES[k][0])
     counts = np.diff(bounds)
     out = []
     for i in range(rows):

@@ -81,6 +81,47 @@ def test_wrapped_and_several_licenses(docs):
     assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("cc-by,cc-by-nc,mit", 1.0), 4: ("", 0.0)}
 
 
+def brute_blocks(text):
+    """All runs of words against all templates: labels of those that no better one covers, and the best score."""
+    found = []
+    sets = [(set(words(t, ALNUM)), len(words(t, ALNUM)), label) for label, t in license_scan.TEMPLATES]
+    for paragraph in re.split(r"\n(?:[^a-zA-Z0-9\x80-\U0010ffff\n]*\n)+", text):
+        w = words(paragraph, ALNUM)
+        for k, (want, length, label) in enumerate(sets):
+            for a in range(len(w)):
+                for b in range(a + 1, min(len(w), a + int(length / 0.8 + 1e-9)) + 1):
+                    common = want & set(w[a:b])
+                    if 10 * len(common) >= 8 * len(want):
+                        found.append((paragraph, a, b, k, common, len(common) / len(want)))
+    kept = [x for x in found if not any(y[0] == x[0] and y[1] < x[2] and y[2] > x[1] and y[3] != x[3] and y[5] > x[5] and y[4] >= x[4] for y in found)]
+    return ",".join(sorted({sets[x[3]][2] for x in kept})), max((x[5] for x in kept), default=0.0)
+
+
+def test_blocks_equal_brute_force(docs):
+    import random
+
+    rows = []
+    for i in range(60):
+        rng = random.Random(i)
+        w = words(license_scan.TEMPLATES[i % len(license_scan.TEMPLATES)][1], ALNUM)
+        for _ in range(rng.randrange(4)):  # lost words, strange ones, changed places
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], ["qqq"], ["qqq", w[k]]])
+        if i % 5 == 0:
+            w = [x for y in w for x in ([y] + prose(i, rng.choice([0, 1, 3])).split())]
+        text = "".join(x + rng.choice([" ", " ", " ", "\n", ", "]) for x in w)
+        rows.append((i, prose(i, 5) + rng.choice(["\n", " ", "\n\n"]) + text + rng.choice(["\n", "\n--\n"]) + prose(i + 100, 4)))
+    strewn = "Licensed {} under {} CC {} BY {} 4 {} 0".format(*[prose(k, 90) for k in range(5)])
+    rows += [(900, strewn), (901, "x\nReleased\nunder the\nMIT License.")]
+    got = {r.doc_id: r for r in license_scan.license_scan(docs(rows)).collect()}
+    want = {i: brute_blocks(t) for i, t in rows}
+    for i, _ in rows:
+        more = set(got[i].labels.split(",")) - set(got[i].base_labels.split(","))
+        assert more <= set(want[i][0].split(",")) and set(want[i][0].split(",")) <= set(got[i].labels.split(",")), i
+        assert got[i].score == (1.0 if got[i].n_base else want[i][1])
+    assert want[900][1] == 0 and want[901][0] == "mit" and sum(bool(x) for x, _ in want.values()) > 20
+
+
 def brute_url(url):
     at = (url or "").find("://")
     rest = url[at + 3 :] if at >= 0 else ""
