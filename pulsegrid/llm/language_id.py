@@ -2,8 +2,12 @@
 
 Each language has counts of letter triples in sorted arrays of packed keys, from which modified counts of pairs and single
 letters follow; their discounted probabilities are interpolated. Texts go to the language of the lowest cross-entropy
-for each letter. A prediction is rejected when its cross-entropy lies more than ``REJECT`` standard deviations above that
-of training texts of the same predicted language and about the same length.
+for each letter.
+
+Rejection is calibrated on one in ``CALIBRATION`` of the training texts, which are left out of the counts: for each language and length
+class, else for the language, else for all, the limit lies as far above the entropy that all but ``FALSE_REJECTIONS`` of the rightly recognised
+texts keep as this lies above their median. No language or length goes without a limit if there is any such text. Letters that a
+model does not know have the least probability in it, so text in strange letters lies beyond the limit.
 
 Letters are lower-cased one by one, and any run of other signs is one blank. Training triples are summed in each task
 before the shuffle; the models hold every label and every triple counted, and go through the driver, so they
@@ -25,8 +29,13 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.shared import written
 from pulsegrid.llm.textops import slices
 
-REJECT = 10.0
 FOLDS = 5
+CALIBRATION = 8
+FALSE_REJECTIONS = 0.002
+#: Texts that a limit rests on at least, where a wider class has more.
+LEAST_TEXTS = 20
+#: Nats that a limit lies above the median at least, where texts hardly differ.
+LEAST_MARGIN = 0.3
 DENSE = 160
 _BITS = 21
 _LOW = (1 << _BITS) - 1
@@ -230,25 +239,37 @@ def scored(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
     )
 
 
-def language_id(docs: DataFrame, reject: float = REJECT) -> DataFrame:
+def _limits(found: DataFrame, *by: str) -> DataFrame:
+    """Entropy limits of recognised calibration texts by length class and language, by language, or of all."""
+    known = found.filter(F.col("calibrates") & (F.col("lang") == F.col("lang_pred")))
+    cuts = F.percentile_approx("entropy", [0.5, 1 - FALSE_REJECTIONS], 10_000)
+    rows = known.groupBy(*by).agg(cuts.alias("cut"), F.count("*").alias("n"))
+    margin = F.greatest(2 * (F.col("cut")[1] - F.col("cut")[0]), F.lit(LEAST_MARGIN))
+    return written(rows.filter(F.col("n") >= (LEAST_TEXTS if by else 1)).select(*by, (F.col("cut")[0] + margin).alias("limit")))
+
+
+def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy and ``rejected`` of each document."""
-    docs = docs.select("doc_id", "text", "lang").withColumn(
-        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
-    )
-    models = trained(docs.filter(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()))
+    draw = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(draw % FOLDS == 0, F.lit(False)))
+    learns = ~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    calibrates = F.coalesce(F.floor(draw / FOLDS) % CALIBRATION == 0, F.lit(False))
+    models = trained(docs.filter(learns & ~calibrates))
+    # labels with calibration texts alone are learned from these
+    rest = docs.filter(learns & calibrates & ~F.col("lang").isin(list(models)))
+    models |= trained(rest) if not rest.isEmpty() else {}
     found = written(scored(docs, models)).withColumn("size", F.floor(F.log2(F.greatest("n_symbols", F.lit(1)))))
-    usual = (
-        found.filter(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")))
-        .groupBy("lang_pred", "size")
-        .agg(F.avg("entropy").alias("mean"), F.coalesce(F.stddev_samp("entropy"), F.lit(0.0)).alias("sd"), F.count("*").alias("n"))
-        .filter("n >= 20")
-    )  # a row for each label and power of two
-    far = F.col("entropy") > F.col("mean") + reject * F.greatest(F.col("sd"), F.lit(0.01))
-    return found.join(F.broadcast(usual), ["lang_pred", "size"], "left").select(
+    found = found.withColumn("calibrates", ~F.col("held_out") & (F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / FOLDS) % CALIBRATION == 0))
+    # a row for each language and power of two, for each language, and one
+    whole = found.join(_limits(found, "lang_pred", "size").withColumnRenamed("limit", "of_class"), ["lang_pred", "size"], "left")
+    whole = whole.join(_limits(found, "lang_pred").withColumnRenamed("limit", "of_lang"), "lang_pred", "left")
+    whole = whole.join(F.broadcast(_limits(found).withColumnRenamed("limit", "of_all")), F.lit(True), "left")
+    beyond = F.greatest(F.col("entropy") - F.coalesce("of_class", "of_lang", "of_all"), F.lit(0.0))
+    return whole.select(
         "doc_id",
         "held_out",
         "lang_pred",
-        "score",
+        (F.col("score") * F.exp(-F.coalesce(beyond, F.lit(0.0)))).alias("score"),
         "entropy",
-        ((F.col("lang_pred") == "und") | F.coalesce(far, F.lit(False))).alias("rejected"),
+        ((F.col("lang_pred") == "und") | F.coalesce(beyond > 0, F.lit(False))).alias("rejected"),
     )
