@@ -177,8 +177,8 @@ def term_counts(blocks: DataFrame, terms: np.ndarray) -> dict[int, int]:
         yield pa.record_batch([pa.array(wanted[total > 0].view(np.int64)), pa.array(total[total > 0])], ["term", "n"])
 
     rows = blocks.select("terms", "sizes").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    table = rows.toPandas()  # at most the terms of one group
-    return dict(zip(table["term"].tolist(), table["n"].tolist()))
+    table = rows.toArrow()  # at most the terms of one group
+    return dict(zip(table["term"].to_pylist(), table["n"].to_pylist()))
 
 
 class Block:

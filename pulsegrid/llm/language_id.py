@@ -181,12 +181,13 @@ class Model:
 
 def trained(docs: DataFrame) -> dict[str, Model]:
     """A model for each label."""
-    found = written(triple_counts(docs)).toPandas()
-    if found.empty:
+    found = written(triple_counts(docs)).toArrow()
+    if not len(found):
         return {}
-    triples = found["triple"].to_numpy()
+    triples, langs = np.asarray(found["triple"]), found["lang"].combine_chunks().dictionary_encode()
+    counts, which, names = np.asarray(found["n"]), np.asarray(langs.indices), langs.dictionary.to_pylist()
     alphabet = len(np.unique(np.concatenate([triples >> 2 * _BITS, triples >> _BITS & _LOW, triples & _LOW]))) + 1
-    return {str(lang): Model(g["triple"].to_numpy(), g["n"].to_numpy(), alphabet) for lang, g in sorted(found.groupby("lang"))}
+    return {lang: Model(triples[which == k], counts[which == k], alphabet) for k, lang in sorted(enumerate(names), key=lambda x: x[1])}
 
 
 def scored(docs: DataFrame, models: dict[str, Model]) -> DataFrame:

@@ -115,8 +115,8 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
     sampled = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
     seen = sampled.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_SEEN)
-    rows = seen.orderBy(F.desc("n"), "shingle").limit(MAX_HOT).select("shingle").toPandas()
-    return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
+    rows = seen.orderBy(F.desc("n"), "shingle").limit(MAX_HOT).select("shingle").toArrow()
+    return np.sort(np.asarray(rows.column("shingle")).view(np.uint64))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -144,40 +144,37 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 class BitFilter:
-    """A Bloom filter over longs, gathered as OR of words."""
+    """A Bloom filter over longs: each key sets three bits of one 64-bit word."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
     @staticmethod
-    def places(x: np.ndarray, size: int) -> list[np.ndarray]:
-        x = x.astype(np.int64).view(np.uint64)
-        return [mix(x ^ np.uint64(k * 0x1234567)) & np.uint64(size * 64 - 1) for k in (1, 2, 3)]
+    def places(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(x.astype(np.int64).view(np.uint64) ^ _OTHER)
+        bit = lambda k: np.uint64(1) << (h >> np.uint64(k) & np.uint64(63))
+        return (h & np.uint64(size - 1)).astype(np.int64), bit(40) | bit(46) | bit(52)
 
     def might_hold(self, x: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(x), bool)
-        for p in self.places(x, len(self.bits)):
-            ok &= (self.bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return ok
+        word, mask = self.places(x, len(self.bits))
+        return self.bits[word] & mask == mask
 
 
 def bit_filter(keys: DataFrame) -> BitFilter:
     """The filter over the only column of ``keys``, a written table; each task sends the words that it has set."""
-    size = 1 << max(6, min(FILTER_WORDS, keys.count() * KEY_BITS // 64).bit_length())
-    size = min(size, FILTER_WORDS)
+    size = min(FILTER_WORDS, 1 << max(6, (keys.count() * KEY_BITS // 64).bit_length()))
 
     def run(batches):
-        bits = np.zeros(size, np.uint64)
         for batch in batches:
-            x = np.asarray(batch.column(0))
-            for p in BitFilter.places(x, size):
-                np.bitwise_or.at(bits, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
-        at = np.flatnonzero(bits)
-        yield pa.record_batch([pa.array(at), _signed(bits[at])], ["word", "bits"])
+            word, mask = BitFilter.places(np.asarray(batch.column(0)), size)
+            order = np.argsort(word)
+            at, first = np.unique(word[order], return_index=True)
+            bits = np.bitwise_or.reduceat(mask[order], first) if len(first) else mask
+            yield pa.record_batch([pa.array(at), _signed(bits)], ["word", "bits"])
 
-    rows = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(size, np.uint64)
-    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    bits[np.asarray(rows.column("word"))] = np.asarray(rows.column("bits")).view(np.uint64)
     return BitFilter(bits)
 
 
