@@ -5,9 +5,10 @@ magic stands, also inside payloads, so large files are read by many tasks. Each
 byte offset and the offset of its successor (from the header's length and Content-Length). Runs of candidates whose
 successor is the next candidate of the block form segments; pointer jumping over segments, from the start of each file,
 keeps those that the chain reaches. Magic inside a payload is never reached. Payloads that hold the magic are put
-together again from their pieces.
+together again from their pieces, which a second scan finds by their length and 128 bits of hashes: no place of the first scan is used, since
+files may be split in another way when executors come or go.
 
-A null payload is empty; a null page_id or URL is written as an empty field and read as null; rows with the same page_id give
+Very long payloads are records like others; pages of equal payload and equal page_id are alike, so ties change nothing. A null payload is empty; a null page_id or URL is written as an empty field and read as null; rows with the same page_id give
 one record each, all of them the response if they hold the largest page_id of their payload; an empty table gives an empty archive and
 no rows; a file whose chain breaks keeps the records before the break. Other columns are ignored.
 """
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.shared import shared_dir, written
 
 MIN_REVISIT = 1000
+STRETCH = 1 << 20  # bytes of a file within which pieces meet their records
 END = "\r\n\r\n"
 MAGIC = "WARC/1.0\r\n"
 SEPARATOR = END + MAGIC
@@ -102,6 +104,8 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         _header("WARC-Payload-Digest").alias("declared"),
         _header("WARC-Payload-Length").alias("declared_size"),
         F.when(whole, F.sha1(body)).alias("digest"),
+        F.xxhash64("value").alias("h1"),
+        F.xxhash64("value", F.lit(1)).alias("h2"),
     )
     parsed = written(parsed)
     step = F.col("length") + len(SEPARATOR)
@@ -141,19 +145,25 @@ def reachable(found: DataFrame) -> DataFrame:
 
 def _joined_payloads(spark: SparkSession, path: str, records: DataFrame, found: DataFrame) -> DataFrame:
     """file, offset and digest of records whose payload holds the magic, from its pieces."""
-    broken = records.filter("digest is null and size is not null").select("file", F.col("offset").alias("owner"), (F.col("text") + F.col("head")).alias("begin"), (F.col("text") + F.col("head") + F.col("size")).alias("stop"))
+    stop = F.col("text") + F.col("head") + F.col("size")
+    broken = records.filter("digest is null and size is not null").select(
+        "file", F.col("offset").alias("owner"), (F.col("text") + F.col("head")).alias("begin"), stop.alias("stop"), F.explode(F.sequence(F.floor(F.col("text") / STRETCH), F.floor(stop / STRETCH))).alias("stretch")
+    )
     if broken.isEmpty():
         return None
-    ordered = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    owned = found.select("file", "place", "text", "length", "offset").join(broken.withColumnRenamed("owner", "offset"), ["file", "offset"], "left")
-    for c in ("begin", "stop"):
-        owned = owned.withColumn(c, F.last(c, ignorenulls=True).over(ordered))
-    owned = owned.withColumn("owner", F.last(F.when(F.col("offset").isNotNull() & F.col("begin").isNotNull() & (F.col("text") <= F.col("begin")), F.col("offset")), ignorenulls=True).over(ordered))
-    owned = written(owned.filter(F.col("begin").isNotNull() & (F.col("text") < F.col("stop"))))
-    pieces = spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("value"))
+    # records do not overlap, so a piece has one owner
+    pieces = found.select("file", "text", "length", "h1", "h2", F.floor(F.col("text") / STRETCH).alias("stretch"))
+    owned = pieces.join(broken, ["file", "stretch"]).filter((F.col("text") < F.col("stop")) & (F.col("text") + F.col("length") + len(SEPARATOR) > F.col("begin")))
+    owned = written(owned.drop("stretch"))
+    # pieces are found again by what they hold, so this scan may split files in another way than the first
+    wanted = written(owned.select("length", "h1", "h2").distinct())
+    again = spark.read.option("lineSep", SEPARATOR).text(path).select(
+        F.octet_length("value").cast("long").alias("length"), F.xxhash64("value").alias("h1"), F.xxhash64("value", F.lit(1)).alias("h2"), F.col("value").cast("binary").alias("value")
+    )
+    again = again.join(wanted, ["length", "h1", "h2"], "left_semi").dropDuplicates(["length", "h1", "h2"])
     part = F.expr("substring(concat(value, cast('\r\n\r\nWARC/1.0\r\n' as binary)), cast(greatest(begin - text, 0) + 1 as int), cast(stop - greatest(begin, text) as int))")
     return (
-        pieces.join(owned, ["file", "place"])
+        owned.join(again, ["length", "h1", "h2"])
         .select("file", "owner", "text", part.alias("part"))
         .groupBy("file", "owner")
         .agg(F.array_sort(F.collect_list(F.struct("text", "part"))).alias("parts"))
