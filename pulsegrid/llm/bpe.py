@@ -300,6 +300,17 @@ def encode_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def token_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """n_tokens of each document."""
+
+    def run(batches):
+        bpe = tokenizer(path or _default_path())
+        for batch in batches:
+            yield pa.record_batch([pa.array([len(ids) for ids, _ in bpe.encode(batch.column("text"))], pa.int64())], ["n_tokens"])
+
+    return docs.select("text").mapInArrow(run, "n_tokens long")
+
+
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of the ids and of the decoded text of each document."""
 
