@@ -54,9 +54,9 @@ def op8_language_id(spark, sf_dir):
 
 
 def op9_token_counts(spark, sf_dir):
-    from pulsegrid.llm.token_counts import token_counts
+    from pulsegrid.llm.token_counts import LIMITS, token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"))
+    return token_counts(table(spark, sf_dir, "documents"), limits=LIMITS)
 
 
 def op10_decontamination(spark, sf_dir):
@@ -69,5 +69,25 @@ def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: Pages as records: equal payloads of 1000 bytes and more are stored once, with the largest page_id.
+OP1 = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS most FROM p)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> most THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> most THEN most END AS refers_to, url, TRUE AS verified FROM m"""
+
+#: All pairs of documents by their shared shingles, and what each document reaches.
+OP2 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT p.a, p.b, c = x.n AND c = y.n AS equal FROM pairs p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, (SELECT min(b) FROM reached r WHERE r.a = d.doc_id)) AS component_id,
+  least(d.doc_id, (SELECT min(b) FROM links l WHERE l.a = d.doc_id AND l.equal)) AS class_id, (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
 def oracle_sql():
-    return {}
+    """SQL of the operators that it can express: the others learn models, or use a tokenizer or a sample."""
+    return {"op1_warc": OP1, "op2_ngram_join": OP2}

@@ -177,6 +177,39 @@ def test_archive_round_trip(spark, split):
     assert all(r.verified for r in found)
 
 
+def test_archives_split_anew_between_scans(spark):
+    """Files are cut in another way when executors come or go."""
+    rows = [(i, "u", f"{i}\r\n\r\n" + FAKE * (1 + i % 3) + "x" * (37 * i)) for i in range(24)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    path = warc.shared_dir(spark)
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        found = warc.written(warc.candidates(spark, path))
+        records = warc.reachable(found)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        whole = warc._joined_payloads(spark, path, records, found).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(r.whole for r in whole) == sorted(hashlib.sha1(h.encode()).hexdigest() for _, _, h in rows)
+
+
+def test_sql_equals_the_queries(spark, sf_dir):
+    import duckdb
+
+    from pulsegrid.llm import queries
+
+    db = duckdb.connect()
+    for name in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, sf_dir)
+        want = db.execute(sql)
+        names = [c[0] for c in want.description]
+        order = [names.index(c) for c in got.columns]
+        assert sorted((tuple(r) for r in got.collect()), key=str) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=str), name
+
+
 def test_pipeline_keeps_what_plain_stages_keep(spark, sf_dir):
     import corpus_pipeline
     from test_similarity import brute_components, brute_hits

@@ -12,7 +12,11 @@ from texts import ODD, prose, sample, words
 
 from pulsegrid.llm import bpe, language_id, lm_scoring, token_counts
 
-public_tokenizers = pytest.importorskip("public_tokenizers")
+try:
+    import public_tokenizers
+except ImportError:
+    public_tokenizers = None
+with_files = pytest.mark.skipif(public_tokenizers is None, reason="no tokenizer files")
 SIGNS = ["it's we're I'll 's 'sabc x's't \"'s ''s", "<|endoftext|>", "a<|endoftext|> b <|endoftext|><|endoftext|>", "don't'S 'llama", "1a2b 12,3!! ..", "x" * 500 + " " * 40 + "!" * 300, "\t\tx \ty\r\n z", "\x1c a\x1c", "ⅷ²x½", "😀 a😀'd"]
 
 
@@ -23,6 +27,7 @@ def library():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@with_files
 def test_ids_equal_the_library(docs, library):
     rows = [(i, t) for i, t in enumerate(ODD + SIGNS + [prose(1, 300)])]
     want = {}
@@ -35,12 +40,14 @@ def test_ids_equal_the_library(docs, library):
     assert all(full[i].decoded == (t or "") for i, t in rows)
 
 
+@with_files
 def test_long_pieces_take_the_same_merges():
     t = bpe.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     for raw in (b"abcabcabc" * 9, b"the" * 20, b"\xc3\xa9" * 30):
         assert t._long(raw).tolist() == t._short([raw])[0].tolist()
 
 
+@with_files
 def test_token_histogram(docs):
     rows = sample()
     lengths = [r.n_tokens for r in bpe.encoded(docs(rows)).collect()]
@@ -51,6 +58,13 @@ def test_token_histogram(docs):
         assert r.tokens_truncated == sum(min(n, limit) for n in lengths)
     q = token_counts.quantiles(token_counts.token_counts(docs(rows)), [0.5, 1.0]).first()
     assert (q["q0.5"], q["q1"]) == (sorted(lengths)[math.ceil(len(lengths) / 2) - 1], max(lengths))
+    shares = {r.n_tokens: r.quantiles for r in found.values() if r.quantiles}
+    for share in token_counts.QUANTILES:
+        assert str(share) in shares[sorted(lengths)[math.ceil(len(lengths) * share - 1e-9) - 1]].split(",")
+    asked = {r.n_tokens: r for r in token_counts.token_counts(docs(rows), limits=(0, 77, 10**6)).collect()}
+    assert {n: r for n, r in asked.items() if n in found} == found
+    assert (asked[77].n_docs == lengths.count(77), asked[77].docs_over, asked[77].tokens_truncated) == (True, sum(n > 77 for n in lengths), sum(min(n, 77) for n in lengths))
+    assert asked[10**6].docs_over == 0
     assert token_counts.token_counts(docs(rows).filter("false")).count() == 0
 
 
@@ -152,6 +166,53 @@ def test_models_keep_all_labels_and_triples(spark, monkeypatch):
     assert {lang: len(m.tri[0]) for lang, m in models.items()} == {lang: len(w) for lang, w in want.items()}
 
 
+def test_probabilities_equal_brute_force(spark):
+    rows = [("abcab dé", "x"), ("abba cab", "x"), ("dedf é", "y"), ("fed", "y")]
+    models = language_id.trained(spark.createDataFrame(rows, "text string, lang string"))
+    letters = {c for t, _ in rows for c in t} | {" "}
+    for lang, model in models.items():
+        tri = Counter(p[i : i + 3] for t, own in rows if own == lang for p in [f" {t} "] for i in range(len(p) - 2))
+        bi = Counter(t[1:] for t in tri)
+        uni = Counter(t[1:] for t in bi)
+
+        def discount(counts):
+            one, two = (sum(n == k for n in counts.values()) for k in (1, 2))
+            return min(0.9, max(0.1, one / (one + 2 * two))) if one else 0.5
+
+        def p(t):
+            d = discount(uni)
+            out = (max(uni[t[2]] - d, 0) + d * len(uni) / (len(letters) + 1)) / uni.total()
+            for counts, key in ((bi, t[1:]), (tri, t)):
+                of = {k: n for k, n in counts.items() if k[:-1] == key[:-1]}
+                if of:
+                    out = (max(counts[key] - discount(counts), 0) + discount(counts) * len(of) * out) / sum(of.values())
+            return math.log(out)
+
+        asked = [a + b + c for a in sorted(letters) for b in sorted(letters) for c in sorted(letters)] + ["abz", "zzz"]
+        code = lambda c: 0 if c == " " else ord(c)
+        keys = np.array([code(t[0]) << 42 | code(t[1]) << 21 | code(t[2]) for t in asked])
+        assert model.log_prob(keys) == pytest.approx([p(t) for t in asked])
+
+
+def test_strange_texts_are_rejected_and_clean_ones_stay(spark):
+    spoken = {"en": "the and of with this that have from they will would there their", "de": "der und die nicht mit schön sich auch werden haben eine durch", "es": "que los del las una por con para como pero sus"}
+    rows = []
+    for i in range(1500):
+        lang = list(spoken)[i % 3]
+        rng = np.random.default_rng(i)
+        size = int(rng.choice([3, 8, 30, 100])) if i % 50 else 900  # few long texts
+        rows.append((i, " ".join(rng.choice(spoken[lang].split(), size)), lang))
+    strange = [(5000 + i, "これは日本語の文章です 言語が違います" * (1 + 9 * i), None) for i in range(10)]
+    strange += [(6000 + i, prose(i, 10 + 60 * i).translate(str.maketrans("abcdefgh", "qxjzkvwy")), None) for i in range(20)]
+    df = spark.createDataFrame(rows + strange + [(None, "the and of", "en"), (1, "the and of", "en")], "doc_id long, text string, lang string").withColumn("size", __import__("pyspark").sql.functions.lit(1))
+    found = language_id.language_id(df).collect()
+    assert all(r.rejected for r in found if r.doc_id is not None and r.doc_id >= 5000)
+    clean = [r for r in found if r.doc_id is not None and r.doc_id < 5000]
+    kept = [not r.rejected for r in clean if r.held_out]
+    assert len(clean) == 1501 and sum(kept) >= 0.99 * len(kept)
+    assert sum(r.rejected for r in clean) <= 0.01 * len(clean)
+
+
 def test_symbols_of_rows():
     from pulsegrid.llm.textops import slices
 
