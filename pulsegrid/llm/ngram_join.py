@@ -15,8 +15,8 @@ stood for by its least document.
   came along, which new pivots would not part.
 * **Leaves.** Members whose distances to a common pivot differ by over ``T`` are not compared (window). A leaf of many shingles is cut into bands
   of distance and parts of bounded size; parts of bands within ``T`` meet pairwise. Many leaves share a task, and each task holds a bounded number of
-  shingles. First members meet with only their shared prefix shingles, whose number bounds what two sets can have in common; those with no partner
-  left go no further. The rest meet with whole sets. A task gives a row for each member with its number of links and the least member that it
+  shingles. Members first meet with only their shared prefix shingles, whose number bounds what two sets can have in common; those with no partner
+  left go no further (first regions of up to ``LIGHT_ROWS`` members are thinned out like this before they are divided). The rest meet with whole sets. A task gives a row for each member with its number of links and the least member that it
   reaches, not a row for each pair.
 
 A pair is compared where it belongs alone: in the least first region that both share, and there at one home (``_valid``). So
@@ -51,6 +51,7 @@ HOT_SEEN = 2
 MAX_HOT = 300_000
 SMALL = 32
 PIVOTS = 8
+LIGHT_ROWS = 4096
 LEAF_ROWS = 256
 STUCK = 0.75  # a new region with more than this share of the old one's members is a leaf
 BLOCK_SHINGLES = 200_000
@@ -288,16 +289,20 @@ def divided(rows: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     )
 
 
-def leaves(docs: DataFrame, members: DataFrame, single: bool) -> DataFrame:
-    """The members of all leaf regions: g, region, doc_id, s1, n_shingles, copies, roles, distance d to a common pivot."""
-    columns = ["g", "region", "doc_id", "s1", "n_shingles", "copies", "roles", "d", "total"]
-    members = members.withColumn("region", F.col("g").cast("string")).withColumn("roles", F.array().cast("array<int>")).withColumn("d", F.lit(None).cast("double"))
-    done = members.filter(F.col("rows") <= SMALL).select(*columns)
-    open_ = members.filter(F.col("rows") > SMALL).select(*columns[:-1])
+def _as_leaves(members: DataFrame) -> DataFrame:
+    """First regions as leaves: no home, no pivot known."""
+    return members.withColumn("region", F.col("g").cast("string")).withColumn("roles", F.array().cast("array<int>")).withColumn("d", F.lit(None).cast("double")).select(*LEAF)
+
+
+LEAF = ["g", "region", "doc_id", "s1", "n_shingles", "copies", "roles", "d", "total"]
+
+
+def voronoi(docs: DataFrame, open_: DataFrame, single: bool) -> DataFrame | None:
+    """The members of all leaf regions that first regions are divided into; none if there is nothing to divide."""
     if open_.isEmpty():
-        return done
-    sets = sets_of(docs, open_, single)
-    level = 0
+        return None
+    sets, done, level = sets_of(docs, open_, single), None, 0
+    open_ = open_.select(*LEAF[:-1])
     while not open_.isEmpty():
         new = written(divided(open_, sets, level))
         sizes = new.groupBy("region").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("total"), F.max("old_rows").alias("old"), F.max(F.element_at("roles", -1)).alias("role"))
@@ -305,8 +310,9 @@ def leaves(docs: DataFrame, members: DataFrame, single: bool) -> DataFrame:
         # a region of one member, or of visitors alone, has no pair
         sizes = written(sizes.filter((F.col("rows") > 1) & (F.col("role") == HOME)).select("region", "total", again.alias("again")))
         new = written(new.join(sizes, "region"))
-        done = done.unionByName(new.filter("not again").select(*columns))
-        open_ = new.filter("again").select(*columns[:-1])
+        closed = new.filter("not again").select(*LEAF)
+        done = closed if done is None else done.unionByName(closed)
+        open_ = new.filter("again").select(*LEAF[:-1])
         level += 1
     return done
 
@@ -497,7 +503,14 @@ def _repeated(signed: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, signed: DataFrame, classes: DataFrame, repeated: DataFrame, pairs: bool = False) -> DataFrame:
     members, held = first_regions(signed, classes)
     single = repeated.isEmpty()
-    units = hopeful(dealt(leaves(docs, members, single)), held)
+    light = hopeful(dealt(_as_leaves(members.filter(F.col("rows") <= LIGHT_ROWS))), held).select(*LEAF[:-1]).dropDuplicates(["g", "doc_id", "s1"])
+    sizes = light.groupBy("g").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("total"))
+    light = written(light.join(sizes, "g"))
+    small = dealt(light.filter(F.col("rows") <= SMALL).select(*LEAF))
+    names = UNITS.replace(",", "").split()[::2]
+    large = light.filter(F.col("rows") > SMALL).select(*LEAF).unionByName(_as_leaves(members.filter(F.col("rows") > LIGHT_ROWS)))
+    divided_ = voronoi(docs, large, single)
+    units = written(small.select(*names)) if divided_ is None else written(small.select(*names).unionByName(hopeful(dealt(divided_), held)))
     sets = sets_of(docs, units, single).join(held.select("doc_id", "s1", "gs"), ["doc_id", "s1"])
     return written(compared(_tasked(units, F.col("n_shingles")).join(sets, ["doc_id", "s1"]), pairs))
 

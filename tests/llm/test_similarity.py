@@ -55,7 +55,7 @@ def test_all_links_equal_brute_force(docs, monkeypatch, small):
     assert sorted((tuple(r)[:3] for r in found), key=str) == brute_components(rows)
 
 
-@pytest.mark.parametrize("limits", [dict(SMALL=3, PIVOTS=2, LEAF_ROWS=4, STUCK=0.95, BLOCK_SHINGLES=300), dict(SMALL=8, PIVOTS=3, LEAF_ROWS=10, STUCK=0.9, BLOCK_SHINGLES=2000)])
+@pytest.mark.parametrize("limits", [dict(SMALL=3, PIVOTS=2, LEAF_ROWS=4, STUCK=0.95, BLOCK_SHINGLES=300), dict(LIGHT_ROWS=20, SMALL=8, PIVOTS=3, LEAF_ROWS=10, STUCK=0.9, BLOCK_SHINGLES=2000)])
 def test_regions_of_many_levels_lose_no_link(docs, monkeypatch, limits):
     """One passage in all texts opens one region of many groups, some mutually far."""
     for name, value in limits.items():
