@@ -61,7 +61,11 @@ def half_up(c: Column) -> Column:
 
 
 def fixed(c: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", c)
+    """A number with so many decimals, ties away from zero; null stays null.
+
+    What sums of another order change in the last digits does not decide ties.
+    """
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", F.round(c, 9)))
 
 
 def signed(c: Column, digits: int, unit: str = "") -> Column:

@@ -87,12 +87,31 @@ def _score(t: str) -> str:
     return f"CASE {t} WHEN 'declining' THEN 1 WHEN 'improving' THEN -1 ELSE 0 END"
 
 
+def _fixed(x: str, digits: int, unit: str = "") -> str:
+    return f"(printf('%.{digits}f', round(round(({x})::DOUBLE, 9), {digits})) || '{unit}')"
+
+
+def _signed(x: str, digits: int, unit: str = "") -> str:
+    return f"(CASE WHEN {x} > 0 THEN '+' ELSE '' END || {_fixed(x, digits, unit)})"
+
+
+def _whole(x: str, unit: str = "") -> str:
+    return f"(CAST(CAST(floor({x} + 0.5::DOUBLE) AS BIGINT) AS VARCHAR) || '{unit}')"
+
+
+def _evidence(**items: str) -> str:
+    """Evidence as one text: label=value, numbers as ``n:`` with four digits; words of a label are joined by underscores here."""
+    one = lambda x: f"coalesce('n:' || printf('%.4f', ({x[2:]})::DOUBLE), 'none')" if x.startswith("n:") else f"coalesce({x}, 'none')"
+    return " || '; ' || ".join(f"'{name}=' || {one(x)}" for name, x in items.items()) + " AS evidence"
+
+
+PACE_TEXT = f"(CASE WHEN p - p0 > 0 THEN '+' ELSE '' END || {_whole('p - p0', ' sec/km')})"
 CONF = "CASE sample_quality WHEN 'high' THEN 'high' WHEN 'mixed' THEN 'medium' ELSE 'low' END AS confidence"
 
 
 def _composite(inputs: dict[str, str], body: str, columns: str) -> str:
     first = ", ".join(f"{sql} AS {name}" for name, sql in inputs.items())
-    return _with(f", i AS (SELECT {first}) {body}").replace(") , i AS", "), i AS") + f" SELECT {columns}, {CONF} FROM r"
+    return _with(f", i AS (SELECT {first}) {body}").replace(") , i AS", "), i AS") + f" SELECT {columns}, claim_strength, evidence, {CONF} FROM r"
 
 
 def _strain() -> dict[str, str]:
@@ -121,16 +140,21 @@ def _r(*columns: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
 
-def _consistency(w: str) -> str:
+def _consistency_parts(w: str, k: str) -> dict[str, str]:
     where = _span(w, "start_ts")
-    n = f"(SELECT count(*) FROM workouts WHERE {where})"
-    minutes = f"coalesce((SELECT sum(duration_sec) / 60 FROM workouts WHERE {where}), 0)"
-    steps = f"coalesce((SELECT avg(v) FROM (SELECT sum(count) AS v FROM steps WHERE {_span(w)} GROUP BY CAST(ts AS DATE))), 0)"
-    sleep_sd = f"(SELECT stddev_samp(epoch(s) % 86400) / 60 FROM (SELECT min(start_ts) AS s FROM sleep WHERE state = 'asleep' AND {where} GROUP BY {NIGHT}))"
-    rhr_sd = f"(SELECT stddev_samp(v) FROM (SELECT avg(bpm) AS v FROM resting_hr WHERE {_span(w)} GROUP BY CAST(ts AS DATE)))"
+    return {
+        f"n{k}": f"(SELECT count(*) FROM workouts WHERE {where})",
+        f"minutes{k}": f"coalesce((SELECT sum(duration_sec) / 60 FROM workouts WHERE {where}), 0)",
+        f"steps{k}": f"(SELECT avg(v) FROM (SELECT sum(count) AS v FROM steps WHERE {_span(w)} GROUP BY CAST(ts AS DATE)))",
+        f"sleep{k}": f"(SELECT stddev_samp(epoch(s) % 86400) / 60 FROM (SELECT min(start_ts) AS s FROM sleep WHERE state = 'asleep' AND {where} GROUP BY {NIGHT}))",
+        f"rhr{k}": f"(SELECT stddev_samp(v) FROM (SELECT avg(bpm) AS v FROM resting_hr WHERE {_span(w)} GROUP BY CAST(ts AS DATE)))",
+    }
+
+
+def _consistency(k: str) -> str:
     cap = lambda x, top: f"coalesce(least(1, greatest(0, {x})), 0) * {top}"
     inverse = lambda x, limit, top: f"CASE WHEN {x} IS NULL THEN 0 ELSE least(1, greatest(0, 1 - {x} / {limit})) * {top} END"
-    return f"{cap(n + ' / 3.0::DOUBLE', 25)} + {cap(minutes + ' / 150', 25)} + {cap(steps + ' / 7000', 20)} + {inverse(sleep_sd, 45, 15)} + {inverse(rhr_sd, 3, 15)}"
+    return f"{cap(f'n{k} / 3.0::DOUBLE', 25)} + {cap(f'minutes{k} / 150', 25)} + {cap(f'coalesce(steps{k}, 0) / 7000', 20)} + {inverse(f'sleep{k}', 45, 15)} + {inverse(f'rhr{k}', 3, 15)}"
 
 
 INGEST = """WITH rows AS (SELECT concat_ws('|', event_type, CAST(user_id AS VARCHAR), strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S.%g')) AS dedup_key, place, ts, event_type
@@ -159,7 +183,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT day, round((SELECT avg(b.v) FROM d b WHERE b.day BETWEEN a.day - 6 AND a.day), 6) AS avg_rhr_7d FROM d a WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'""",
         "workouts_list": oracle_ctes("workouts") + f" SELECT * FROM workouts WHERE type = 'Running' AND {IN_WEEK.format('start_ts')}",
         "workouts_page": oracle_ctes("workouts") + " SELECT * FROM workouts ORDER BY start_ts DESC, id LIMIT 20 OFFSET 40",
-        "workout_summary": oracle_ctes("workouts") + " SELECT * FROM workouts WHERE CAST(id AS BIGINT) % 10 = 0",
+        "workout_summary": oracle_ctes("workouts") + " SELECT * FROM workouts",
         "workout_hr_stream": _with("SELECT id, ts, bpm, source FROM hr"),
         "load_per_workout": _with(f"SELECT id, start_ts, {_r('duration_sec', 'avg_hr', 'load', digits=4)} FROM loads"),
         "drift_per_workout": _with(
@@ -225,7 +249,8 @@ def oracle_sql() -> dict[str, str]:
                 "l0": _total("base"),
             },
             f""", s AS (SELECT *, {_score(_trend('rhr', 'rhr0', False))} + {_score(_trend('hrv', 'hrv0'))} + {_score(_trend('l', 'l0', False))} + CASE WHEN h < 7 OR coalesce(e < 0.85, FALSE) THEN 1 WHEN h >= 8 THEN -1 ELSE 0 END AS score FROM i),
-            r AS (SELECT score, round(h, 6) AS sleep_hours_per_day, CASE WHEN score >= 2 THEN 'Strained' WHEN score <= -1 THEN 'Fresh' ELSE 'Normal' END AS state, CASE WHEN score >= 2 THEN 'reduce_intensity' WHEN score <= -1 THEN 'push' ELSE 'maintain' END AS action_kind,
+            r AS (SELECT 'suggests' AS claim_strength, {_evidence(Resting_HR=_signed('rhr - rhr0', 1, ' bpm'), HRV=_signed('hrv - hrv0', 1, ' ms'), Sleep=_fixed('h', 1, ' h/night'), Training_load=_signed('l - l0', 1))},
+              score, round(h, 6) AS sleep_hours_per_day, CASE WHEN score >= 2 THEN 'Strained' WHEN score <= -1 THEN 'Fresh' ELSE 'Normal' END AS state, CASE WHEN score >= 2 THEN 'reduce_intensity' WHEN score <= -1 THEN 'push' ELSE 'maintain' END AS action_kind,
               CASE WHEN rhr IS NULL OR hrv IS NULL THEN 'poor' WHEN rhr0 IS NULL OR hrv0 IS NULL THEN 'mixed' ELSE 'high' END AS sample_quality FROM s)""",
             "state, action_kind, sample_quality, score, sleep_hours_per_day",
         ),
@@ -233,17 +258,22 @@ def oracle_sql() -> dict[str, str]:
             _strain(),
             f""", s AS (SELECT *, CASE WHEN {_trend('rhr', 'rhr0', False)} = 'declining' THEN 1 ELSE 0 END + CASE WHEN {_trend('hrv', 'hrv0')} = 'declining' THEN 1 ELSE 0 END AS penalty FROM i),
             q AS (SELECT *, CASE WHEN load_ratio IS NULL THEN 'unclear' WHEN load_ratio > 1.3 OR penalty >= 2 OR (load_ratio > 1.1 AND penalty >= 1) THEN 'excessive' WHEN load_ratio >= 0.8 AND penalty = 0 THEN 'productive' ELSE 'moderate' END AS state FROM s),
-            r AS (SELECT state, penalty, round(load_ratio, 6) AS load_ratio, CASE state WHEN 'productive' THEN 'push' WHEN 'excessive' THEN 'reduce_intensity' ELSE 'maintain' END AS action_kind,
+            r AS (SELECT 'suggests' AS claim_strength, {_evidence(**{'Acute:chronic_load': 'n:round(load_ratio, 2)', 'Recovery_penalty': 'n:penalty', 'Resting_HR': _signed('rhr - rhr0', 1, ' bpm'), 'HRV': _signed('hrv - hrv0', 1, ' ms')})},
+              state, penalty, round(load_ratio, 6) AS load_ratio, CASE state WHEN 'productive' THEN 'push' WHEN 'excessive' THEN 'reduce_intensity' ELSE 'maintain' END AS action_kind,
               CASE WHEN load_ratio IS NULL THEN 'poor' WHEN rhr IS NULL OR rhr0 IS NULL OR hrv IS NULL OR hrv0 IS NULL THEN 'mixed' ELSE 'high' END AS sample_quality FROM q)""",
             "state, action_kind, sample_quality, penalty, load_ratio",
         ),
         "recovery_debt": _composite(
-            _strain() | {"d": f"greatest(0, 56 - coalesce({_slept('acute', 'asleep')} / 3600.0::DOUBLE, 0))"},
-            """, s AS (SELECT *, d + greatest(0, coalesce(rhr - rhr0, 0)) / 2 + greatest(0, -coalesce(hrv - hrv0, 0)) / 5 + greatest(0, coalesce(load_ratio, 1) - 1) * 4 AS score,
-              CASE WHEN d >= 4 THEN 1 ELSE 0 END + CASE WHEN coalesce(rhr - rhr0, 0) >= 3 THEN 1 ELSE 0 END + CASE WHEN coalesce(hrv - hrv0, 0) <= -8 THEN 1 ELSE 0 END + CASE WHEN coalesce(load_ratio, 0) >= 1.2 THEN 1 ELSE 0 END AS n FROM i),
-            q AS (SELECT *, CASE WHEN score >= 7 AND n >= 2 THEN 'accumulating' WHEN score >= 3 AND n <= 1 THEN 'short-term dip' WHEN score >= 3 THEN 'moderate' ELSE 'low' END AS state FROM s),
-            r AS (SELECT state, round(score, 6) AS debt_score, n AS fatigue_signals, CASE state WHEN 'accumulating' THEN 'reduce_intensity' WHEN 'short-term dip' THEN 'add_sleep' WHEN 'moderate' THEN 'run_easier' ELSE 'maintain' END AS action_kind,
-              CASE WHEN rhr0 IS NULL OR hrv0 IS NULL OR (acute IS NULL AND chronic IS NULL) THEN 'mixed' ELSE 'high' END AS sample_quality FROM q)""",
+            _strain() | {"hours": f"coalesce({_slept('acute', 'asleep')} / 3600.0::DOUBLE, 0)"},
+            f""", p AS (SELECT *, greatest(0, 56 - hours) AS d, NOT (hours > 0 OR rhr IS NOT NULL OR hrv IS NOT NULL) AND acute IS NULL AND chronic IS NULL AS poor FROM i),
+            s AS (SELECT *, CASE WHEN NOT poor THEN d + greatest(0, coalesce(rhr - rhr0, 0)) / 2 + greatest(0, -coalesce(hrv - hrv0, 0)) / 5 + greatest(0, coalesce(load_ratio, 1) - 1) * 4 END AS score,
+              CASE WHEN NOT poor THEN CASE WHEN d >= 4 THEN 1 ELSE 0 END + CASE WHEN coalesce(rhr - rhr0, 0) >= 3 THEN 1 ELSE 0 END + CASE WHEN coalesce(hrv - hrv0, 0) <= -8 THEN 1 ELSE 0 END + CASE WHEN coalesce(load_ratio, 0) >= 1.2 THEN 1 ELSE 0 END END AS n FROM p),
+            q AS (SELECT *, CASE WHEN poor THEN 'needs more data' WHEN score >= 7 AND n >= 2 THEN 'accumulating' WHEN score >= 3 AND n <= 1 THEN 'short-term dip' WHEN score >= 3 THEN 'moderate' ELSE 'low' END AS state FROM s),
+            m AS (SELECT *, CASE WHEN rhr - rhr0 IS NOT NULL OR hrv - hrv0 IS NOT NULL THEN coalesce('RHR ' || {_signed('rhr - rhr0', 1, ' bpm')}, 'RHR unknown') || ', ' || coalesce('HRV ' || {_signed('hrv - hrv0', 1, ' ms')}, 'HRV unknown') END AS markers FROM q),
+            r AS (SELECT CASE WHEN poor THEN 'worth_watching' ELSE 'suggests' END AS claim_strength, CASE WHEN poor THEN 'Sleep_deficit=none; Recovery_markers=none; Training_load=none'
+                ELSE {_evidence(Debt_score='n:round(score, 1)', Sleep_deficit=_fixed('d', 1, ' h'), Recovery_markers='markers', Training_load='n:round(load_ratio, 2)').removesuffix(' AS evidence')} END AS evidence,
+              state, round(score, 6) AS debt_score, n AS fatigue_signals, CASE state WHEN 'needs more data' THEN 'retest' WHEN 'accumulating' THEN 'reduce_intensity' WHEN 'short-term dip' THEN 'add_sleep' WHEN 'moderate' THEN 'run_easier' ELSE 'maintain' END AS action_kind,
+              CASE WHEN poor THEN 'poor' WHEN rhr0 IS NULL OR hrv0 IS NULL OR (acute IS NULL AND chronic IS NULL) THEN 'mixed' ELSE 'high' END AS sample_quality FROM m)""",
             "state, action_kind, sample_quality, debt_score, fatigue_signals",
         ),
         "fitness_trend": _composite(
@@ -252,28 +282,34 @@ def oracle_sql() -> dict[str, str]:
             f""", t AS (SELECT *, {_trend('vo2', 'vo20')} AS tv, {_trend('p', 'p0', False, 0.02)} AS tp, {_trend('pw', 'pw0')} AS tw, {_trend('rhr', 'rhr0', False)} AS tr FROM i),
             s AS (SELECT *, -({_score('tv')} + {_score('tp')} + {_score('tw')} + {_score('tr')}) AS score, CASE WHEN tv <> 'improving' THEN 'not leading' WHEN 'improving' IN (tp, tw, tr) THEN 'supported' ELSE 'isolated' END AS vo2_support FROM t),
             q AS (SELECT *, CASE WHEN score >= 2 THEN 'Improving' WHEN score <= -2 THEN 'Declining' WHEN tv = tp AND tp = tw AND tw = tr AND tr = 'insufficient_data' THEN 'Unclear' ELSE 'Flat' END AS state FROM s),
-            r AS (SELECT state, score, vo2_support, CASE WHEN state = 'Declining' THEN 'run_easier' WHEN state = 'Improving' AND vo2_support = 'supported' THEN 'maintain' WHEN vo2_support = 'isolated' THEN 'watch' ELSE 'maintain' END AS action_kind,
+            r AS (SELECT CASE WHEN state = 'Unclear' THEN 'worth_watching' ELSE 'suggests' END AS claim_strength,
+              {_evidence(VO2_Max=_signed('vo2 - vo20', 1), **{'Fixed-HR_pace': PACE_TEXT}, Power=_signed('pw - pw0', 1, ' W'), Resting_HR=_signed('rhr - rhr0', 1, ' bpm'))}, state, score, vo2_support, CASE WHEN state = 'Declining' THEN 'run_easier' WHEN state = 'Improving' AND vo2_support = 'supported' THEN 'maintain' WHEN vo2_support = 'isolated' THEN 'watch' ELSE 'maintain' END AS action_kind,
               CASE WHEN vo2 IS NULL AND p IS NULL THEN 'poor' WHEN vo20 IS NULL OR p0 IS NULL OR n < 2 OR n0 < 2 THEN 'mixed' ELSE 'high' END AS sample_quality FROM q)""",
             "state, action_kind, sample_quality, score, vo2_support",
         ),
         "aerobic_efficiency": _composite(
-            {"p": _runs("pace_sec_per_km", "paces", "cur"), "p0": _runs("pace_sec_per_km", "paces", "base"), "n": _runs("pace_sec_per_km", "paces", "cur", "count"), "n0": _runs("pace_sec_per_km", "paces", "base", "count"), "d": _runs("decoupling_pct", "decouplings", "cur"), "z": _z2("cur")},
+            {"p": _runs("pace_sec_per_km", "paces", "cur"), "p0": _runs("pace_sec_per_km", "paces", "base"), "n": _runs("pace_sec_per_km", "paces", "cur", "count"), "n0": _runs("pace_sec_per_km", "paces", "base", "count"), "d": _runs("decoupling_pct", "decouplings", "cur"), "z": _z2("cur"), "rhr": _mean("resting_hr", "bpm", "cur"), "rhr0": _mean("resting_hr", "bpm", "base")},
             f""", q AS (SELECT *, {_trend('p', 'p0', False, 0.02)} AS state FROM i),
-            r AS (SELECT state, round(p, 6) AS cur_pace, round(p0, 6) AS base_pace, round(d, 6) AS cur_decoupling, round(z, 6) AS z2_ratio, CASE state WHEN 'declining' THEN 'run_easier' WHEN 'insufficient_data' THEN 'retest' ELSE 'maintain' END AS action_kind,
+            r AS (SELECT CASE WHEN state = 'insufficient_data' THEN 'worth_watching' ELSE 'suggests' END AS claim_strength,
+              {_evidence(**{'Fixed-HR_pace': PACE_TEXT}, Decoupling=_fixed('d', 1, '%'), Z2_share=_whole('z * 100', '%'), Resting_HR=_signed('rhr - rhr0', 1, ' bpm'))}, state, round(p, 6) AS cur_pace, round(p0, 6) AS base_pace, round(d, 6) AS cur_decoupling, round(z, 6) AS z2_ratio, CASE state WHEN 'declining' THEN 'run_easier' WHEN 'insufficient_data' THEN 'retest' ELSE 'maintain' END AS action_kind,
               CASE WHEN p IS NULL OR p0 IS NULL THEN 'poor' WHEN n < 2 OR n0 < 2 THEN 'mixed' ELSE 'high' END AS sample_quality FROM q)""",
             "state, action_kind, sample_quality, cur_pace, base_pace, cur_decoupling, z2_ratio",
         ),
         "load_quality": _composite(
             {"lr": f"{_total('cur')} / ({_total('chronic')} / 4)", "z": _z2("cur"), "d": _runs("decoupling_pct", "decouplings", "cur"), "n": _runs("id", "paces", "cur", "count")},
-            """, q AS (SELECT *, CASE WHEN lr IS NULL OR z IS NULL THEN 'unclear' WHEN lr > 1.3 OR (z < 0.45 AND coalesce(d >= 6, FALSE)) THEN 'high-strain low-quality' WHEN z < 0.45 THEN 'junk intensity' WHEN z >= 0.6 AND coalesce(d < 6, TRUE) THEN 'productive aerobic' ELSE 'mixed' END AS state FROM i),
-            r AS (SELECT state, round(lr, 6) AS load_ratio, round(z, 6) AS z2_ratio, round(d, 6) AS cur_decoupling, CASE state WHEN 'productive aerobic' THEN 'maintain' WHEN 'junk intensity' THEN 'run_easier' WHEN 'high-strain low-quality' THEN 'reduce_intensity' ELSE 'watch' END AS action_kind,
+            f""", q AS (SELECT *, CASE WHEN lr IS NULL OR z IS NULL THEN 'unclear' WHEN lr > 1.3 OR (z < 0.45 AND coalesce(d >= 6, FALSE)) THEN 'high-strain low-quality' WHEN z < 0.45 THEN 'junk intensity' WHEN z >= 0.6 AND coalesce(d < 6, TRUE) THEN 'productive aerobic' ELSE 'mixed' END AS state FROM i),
+            r AS (SELECT 'suggests' AS claim_strength, {_evidence(**{'Acute:chronic_load': 'n:round(lr, 2)'}, Z2_share=_whole('z * 100', '%'), Decoupling=_fixed('d', 1, '%'), Run_consistency='n:n')}, state, round(lr, 6) AS load_ratio, round(z, 6) AS z2_ratio, round(d, 6) AS cur_decoupling, CASE state WHEN 'productive aerobic' THEN 'maintain' WHEN 'junk intensity' THEN 'run_easier' WHEN 'high-strain low-quality' THEN 'reduce_intensity' ELSE 'watch' END AS action_kind,
               CASE WHEN lr IS NULL OR z IS NULL OR n = 0 THEN 'poor' WHEN d IS NULL OR n < 2 THEN 'mixed' ELSE 'high' END AS sample_quality FROM q)""",
             "state, action_kind, sample_quality, load_ratio, z2_ratio, cur_decoupling",
         ),
         "consistency_index": _composite(
-            {"a": _consistency("cur"), "b": _consistency("base")},
-            f""", r AS (SELECT round(a, 6) AS c_score, round(b, 6) AS b_score, {_trend('a', 'b', True, 0.05)} AS direction, CASE WHEN a >= 75 THEN 'strong' WHEN a >= 50 THEN 'mixed' ELSE 'inconsistent' END AS state,
-              CASE WHEN a >= 75 THEN 'maintain' WHEN a >= 50 THEN 'watch' ELSE 'maintain' END AS action_kind, 'high' AS sample_quality FROM i)""",
+            _consistency_parts("cur", "") | _consistency_parts("base", "0"),
+            f""", q AS (SELECT *, {_consistency('')} AS a, {_consistency('0')} AS b FROM i),
+            m AS (SELECT *, CASE WHEN sleep IS NOT NULL OR rhr IS NOT NULL THEN coalesce({_whole('sleep', ' min sleep')}, 'sleep unknown') || ', ' || coalesce({_fixed('rhr', 1, ' bpm RHR')}, 'RHR unknown') END AS stability FROM q),
+            r AS (SELECT 'suggests' AS claim_strength, {_evidence(Consistency_score='n:floor(a + 0.5)', Training_rhythm=f"CAST(n AS VARCHAR) || ' workouts, ' || {_whole('minutes', ' min')}", Daily_basics='n:floor(steps + 0.5)', Recovery_stability='stability')},
+              round(a, 6) AS c_score, round(b, 6) AS b_score, {_trend('a', 'b', True, 0.05)} AS direction, CASE WHEN a >= 75 THEN 'strong' WHEN a >= 50 THEN 'mixed' ELSE 'inconsistent' END AS state,
+              CASE WHEN a >= 75 THEN 'maintain' WHEN a >= 50 THEN 'watch' ELSE 'maintain' END AS action_kind,
+              CASE WHEN steps IS NULL AND n = 0 THEN 'poor' WHEN steps0 IS NULL AND n0 = 0 THEN 'mixed' ELSE 'high' END AS sample_quality FROM m)""",
             "state, action_kind, sample_quality, direction, c_score, b_score",
         ),
         "run_economy": _composite(
@@ -290,7 +326,8 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN v IS NULL OR h IS NULL THEN 'poor' WHEN v0 IS NULL OR h0 IS NULL OR w IS NULL OR w0 IS NULL THEN 'mixed' ELSE 'high' END AS sample_quality FROM t),
             q AS (SELECT *, CASE WHEN sample_quality = 'poor' THEN 'insufficient data' WHEN tm = 'declining' OR m - m0 >= 1 THEN 'mechanics' WHEN ta = 'improving' AND tb = 'improving' THEN 'fitness'
               WHEN ta = 'declining' AND tb <> 'improving' THEN 'output' ELSE 'mixed economy' END AS state FROM k),
-            r AS (SELECT state, sample_quality, round(m, 6) AS c_penalty, round(m0, 6) AS b_penalty, CASE state WHEN 'insufficient data' THEN 'retest' WHEN 'mechanics' THEN 'watch' ELSE 'maintain' END AS action_kind FROM q)""",
+            r AS (SELECT CASE WHEN sample_quality = 'poor' THEN 'worth_watching' ELSE 'suggests' END AS claim_strength,
+              {_evidence(Speed_per_watt=_signed('a - a0', 4), Speed_per_bpm=_signed('b - b0', 4), Mechanics_penalty='n:round(m, 1)', Output=_fixed('w', 1, ' W'))}, state, sample_quality, round(m, 6) AS c_penalty, round(m0, 6) AS b_penalty, CASE state WHEN 'insufficient data' THEN 'retest' WHEN 'mechanics' THEN 'watch' ELSE 'maintain' END AS action_kind FROM q)""",
             "state, action_kind, sample_quality, c_penalty, b_penalty",
         ),
         "run_fatigue_flags": _with(
@@ -303,7 +340,10 @@ def oracle_sql() -> dict[str, str]:
               WHEN coalesce(speed_fade_pct, 0) >= 5 OR coalesce(power_fade_pct, 0) >= 5 THEN 'pacing_fade'
               WHEN {_trend('r1', 'r0', False)} = 'declining' OR {_trend('v1', 'v0')} = 'declining' THEN 'under_recovered' ELSE 'clean_aerobic' END AS diagnosis FROM f)
             SELECT id AS workout_id, start_ts, diagnosis, sample_quality, context_label, {_r('drift_pct', 'decoupling_pct', 'speed_fade_pct', 'power_fade_pct')},
-              CASE diagnosis WHEN 'clean_aerobic' THEN 'maintain' WHEN 'poor_sample_quality' THEN 'retest' ELSE 'run_easier' END AS action_kind, {CONF} FROM g"""
+              CASE diagnosis WHEN 'clean_aerobic' THEN 'maintain' WHEN 'poor_sample_quality' THEN 'retest' ELSE 'run_easier' END AS action_kind, diagnosis AS state, 'suggests' AS claim_strength, {CONF},
+              {_evidence(HR_drift=_fixed('drift_pct', 1, '%'), Decoupling=_fixed('decoupling_pct', 1, '%'),
+                **{'Pace/power_fade': f"nullif(concat_ws(', ', 'speed ' || {_fixed('speed_fade_pct', 1, '%')}, 'power ' || {_fixed('power_fade_pct', 1, '%')}), '')"},
+                **{'Pre-run_recovery': f"CASE WHEN r1 IS NULL AND v1 IS NULL THEN 'unknown' ELSE coalesce('RHR ' || {_signed('r1 - r0', 1, ' bpm')}, 'RHR unknown') || ', ' || coalesce('HRV ' || {_signed('v1 - v0', 1, ' ms')}, 'HRV unknown') END"})} FROM g"""
         ).replace(") , rd AS", "), rd AS"),
         "dashboard_series_summary": _with(
             ", d AS ("

@@ -24,8 +24,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    """A composite without its texts and with its evidence as numbers only where it has them."""
-    return df.drop("evidence", "recommendation", "claim_strength")
+    """A composite with its evidence as one text, label=value; the recommendation only words its action."""
+    number = lambda e: F.concat(F.lit("n:"), F.format_string("%.4f", e.value_num))
+    shown = lambda e: F.when(e.value_text.isNotNull(), e.value_text).when(e.value_num.isNotNull(), number(e)).otherwise("none")
+    told = F.array_join(F.transform("evidence", lambda e: F.concat(F.translate(e.label, " ", "_"), F.lit("="), shown(e))), "; ")
+    return df.drop("recommendation").withColumn("evidence", told)
 
 
 def _ingest_rows(spark, sf_dir) -> DataFrame:
@@ -86,7 +89,7 @@ def queries():
         "resting_hr_rolling_7d": lambda t: daily.resting_hr_rolling_7d(t, DateRange("2024-01-05", "2024-01-25")),
         "workouts_list": lambda t: W.listed(t, WEEK, "Running"),
         "workouts_page": lambda t: W.listed(t, limit=20, offset=40),
-        "workout_summary": lambda t: W.listed(t).filter(F.col("id").cast("long") % 10 == 0),
+        "workout_summary": W.listed,
         "workout_hr_stream": W.hr_stream,
         "load_per_workout": W.load,
         "drift_per_workout": W.drift,
@@ -118,8 +121,8 @@ def queries():
         "load_quality": lambda t: _flat(composites.load_quality(t, WEEK)),
         "consistency_index": lambda t: _flat(composites.consistency_index(t, WEEK)),
         "run_economy": lambda t: _flat(composites.run_economy(t, WEEK)),
-        "run_fatigue_flags": lambda t: _flat(composites.run_fatigue_flags(t)).drop("state"),
-        "advanced_report": lambda t: composites.advanced_report(t, WEEK).drop("evidence", "recommendation"),
+        "run_fatigue_flags": lambda t: _flat(composites.run_fatigue_flags(t)),
+        "advanced_report": lambda t: _flat(composites.advanced_report(t, WEEK)),
         "dashboard_series_summary": dashboard.series_summary,
         "run_context_coverage": dashboard.context_coverage,
         "dashboard_training_totals": lambda t: dashboard.training_totals(t, WEEK),

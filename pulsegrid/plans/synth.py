@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.schemas import TABLES
 
+#: Workouts of 5 minutes to 2 hours, and one in fifty of 5 hours.
+SECONDS = "(CASE WHEN event_id % 50 = 3 THEN 18000 ELSE 300 + event_id % 10 * 733 END)"
 #: One SELECT for each table, over events, orders and lineitem.
 VIEWS = {
-    "workouts": """SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 3 = 0 THEN 'Walking' ELSE 'Running' END AS type,
-        ts AS start_ts, ts + INTERVAL 1 HOUR AS end_ts, CAST(3600 AS DOUBLE) AS duration_sec, event_type AS source
+    "workouts": f"""SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 3 = 0 THEN 'Walking' ELSE 'Running' END AS type,
+        ts AS start_ts, ts + {SECONDS} * INTERVAL 1 SECOND AS end_ts, CAST({SECONDS} AS DOUBLE) AS duration_sec, event_type AS source
         FROM events WHERE event_type = 'signup'""",
     "heart_rate": """SELECT ts, CAST(90 + event_id % 80 AS DOUBLE) + CASE WHEN event_id % 7 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS bpm,
         event_type AS source FROM events WHERE event_type IN ('view', 'click')""",
