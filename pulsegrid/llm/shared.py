@@ -14,9 +14,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """A fresh folder below ``spark.checkpoint.dir``; a temporary one where that is unset and all runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="pulsegrid-"))
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
