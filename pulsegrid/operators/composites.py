@@ -58,11 +58,16 @@ def _load(t, r, name):
     return W.load(t, r).agg(F.sum("load").alias(name))
 
 
-def _pace(t, r, name):
-    """Mean pace and decoupling over running workouts, and how many have a pace."""
-    runs = t.running.filter(X.within("start_ts", r))
-    both = W.pace_at_hr(t, runs).join(W.decoupling(t, runs).select("id", "decoupling_pct"), "id")
-    return both.agg(F.avg("pace_sec_per_km").alias(f"{name}_pace"), F.avg("decoupling_pct").alias(f"{name}_decoupling"), F.count("pace_sec_per_km").alias(f"{name}_runs"))
+def _pace(t, **ranges: DateRange) -> DataFrame:
+    """Mean pace and decoupling over running workouts, and how many have a pace, for each named range; aligned once for all."""
+    inside = {name: X.within("start_ts", r) for name, r in ranges.items()}
+    runs = t.running.filter(reduce(lambda a, b: a | b, inside.values()))
+    means = lambda name, mine: (
+        F.avg(F.when(mine, c("pace_sec_per_km"))).alias(f"{name}_pace"),
+        F.avg(F.when(mine, c("decoupling_pct"))).alias(f"{name}_decoupling"),
+        F.count(F.when(mine, c("pace_sec_per_km"))).alias(f"{name}_runs"),
+    )
+    return W.pace_and_decoupling(t, runs).agg(*[x for name, mine in inside.items() for x in means(name, mine)])
 
 
 def _case(value: Column, **cases: str) -> Column:
@@ -190,7 +195,7 @@ def recovery_debt(t, r: DateRange) -> DataFrame:
 def fitness_trend(t, r: DateRange) -> DataFrame:
     w = composite_windows(r)
     mean = lambda f, value, name: [_mean(f(t, w.current), value, name), _mean(f(t, w.baseline), value, name + "0")]
-    df = _beside(*mean(daily.vo2max_daily, "avg_vo2max", "vo2"), *mean(daily.power_daily, "avg_power", "power"), *mean(daily.resting_hr_daily, "avg_rhr", "rhr"), _pace(t, w.current, "cur"), _pace(t, w.baseline, "base"))
+    df = _beside(*mean(daily.vo2max_daily, "avg_vo2max", "vo2"), *mean(daily.power_daily, "avg_power", "power"), *mean(daily.resting_hr_daily, "avg_rhr", "rhr"), _pace(t, cur=w.current, base=w.baseline))
     df = (
         df.withColumn("t_vo2", X.trend(c("vo2"), c("vo20")))
         .withColumn("t_pace", X.trend(c("cur_pace"), c("base_pace"), False, 0.02))
@@ -223,7 +228,7 @@ def fitness_trend(t, r: DateRange) -> DataFrame:
 
 def aerobic_efficiency(t, r: DateRange) -> DataFrame:
     w = composite_windows(r)
-    df = _beside(_pace(t, w.current, "cur"), _pace(t, w.baseline, "base"), W.z2_ratio_range(t, w.current), _rhr(t, w.current, "rhr"), _rhr(t, w.baseline, "rhr0"))
+    df = _beside(_pace(t, cur=w.current, base=w.baseline), W.z2_ratio_range(t, w.current), _rhr(t, w.current, "rhr"), _rhr(t, w.baseline, "rhr0"))
     state = X.trend(c("cur_pace"), c("base_pace"), False, 0.02)
     action = _case(c("state"), improving="maintain", declining="run_easier", flat="maintain", other="retest")
     quality = F.when(c("cur_pace").isNull() | c("base_pace").isNull(), "poor").when((c("cur_runs") < 2) | (c("base_runs") < 2), "mixed").otherwise("high")
@@ -241,7 +246,7 @@ def aerobic_efficiency(t, r: DateRange) -> DataFrame:
 def load_quality(t, r: DateRange) -> DataFrame:
     w = composite_windows(r)
     runs = t.running.filter(X.within("start_ts", w.current)).agg(F.count("*").alias("runs"), F.avg("duration_sec").alias("avg_duration"))
-    df = _beside(_load(t, w.current, "load"), _load(t, w.chronic28d, "chronic"), W.z2_ratio_range(t, w.current), runs, _pace(t, w.current, "cur"))
+    df = _beside(_load(t, w.current, "load"), _load(t, w.chronic28d, "chronic"), W.z2_ratio_range(t, w.current), runs, _pace(t, cur=w.current))
     df = df.withColumn("load_ratio", X.ratio(c("load"), c("chronic") / 4))
     ratio, z2, dec = c("load_ratio"), c("z2_ratio"), c("cur_decoupling")
     state = (

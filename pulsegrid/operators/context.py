@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.exprs import epoch
 from pulsegrid.operators import workouts as W
-from pulsegrid.operators.joins import interval_join
 
 
 def stats(t) -> DataFrame:
@@ -33,14 +32,15 @@ def _counted(base: DataFrame, child: DataFrame, name: str) -> DataFrame:
 def sample_quality(t, workouts=None) -> DataFrame:
     """Sample counts, issues in a fixed order, and poor, mixed or high."""
     spans = (t.workouts if workouts is None else workouts).select("id", "start_ts", "end_ts", "duration_sec")
-    hr = W.heart_rate_of(t, spans)
-    perf = W.performance_of(t, spans).groupBy("id").agg(F.count("speed").alias("speed_samples"), F.count("power").alias("power_samples"))
-    numbered = interval_join(spans, t.performance.filter("speed is not null").select("ts", "speed")).withColumn("_n", F.monotonically_increasing_id())
-    reach = numbered.withColumn("_bucket", F.explode(F.sequence(F.floor(epoch("ts") / W.ALIGN_SECONDS) - 1, F.floor(epoch("ts") / W.ALIGN_SECONDS) + 1)))
-    beats = hr.select("id", F.col("ts").alias("hr_ts"), F.floor(epoch("ts") / W.ALIGN_SECONDS).alias("_bucket"))
-    near = reach.join(beats, ["id", "_bucket"]).filter(F.abs(epoch("hr_ts") - epoch("ts")) <= W.ALIGN_SECONDS)
-    # equal samples all count, so they are told apart by a number given before the join
-    counts = near.groupBy("id").agg(F.count_distinct("_n").alias("aligned_speed_hr_samples"))
+    hr = W.heart_rate_of(t, spans).select("id", "ts")
+    samples = W.performance_of(t, spans).select("id", "ts", "speed", "power")
+    perf = samples.groupBy("id").agg(F.count("speed").alias("speed_samples"), F.count("power").alias("power_samples"))
+    slot = F.floor(epoch("ts") / W.ALIGN_SECONDS)
+    # heartbeats are listed in three slots, so that each speed sample is kept once and equal samples all count
+    beats = hr.select("id", F.col("ts").alias("hr_ts"), F.explode(F.sequence(slot - 1, slot + 1)).alias("slot")).alias("b")
+    speeds = samples.filter("speed is not null").select("id", "ts", slot.alias("slot")).alias("s")
+    near = (F.col("s.id") == F.col("b.id")) & (F.col("s.slot") == F.col("b.slot")) & (F.abs(epoch("hr_ts") - epoch("ts")) <= W.ALIGN_SECONDS)
+    counts = speeds.join(beats, near, "left_semi").groupBy("id").agg(F.count("*").alias("aligned_speed_hr_samples"))
     base = spans.join(hr.groupBy("id").agg(F.count("*").alias("hr_samples")), "id", "left").join(perf, "id", "left").join(counts, "id", "left")
     base = base.fillna(0, ["hr_samples", "speed_samples", "power_samples", "aligned_speed_hr_samples"])
     for child, name in ((t.workout_routes, "route_count"), (t.workout_stats, "n_stats"), (t.workout_events, "n_events"), (t.workout_metadata, "n_metadata")):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.exprs import ZONES, epoch, in_zone, ratio, within, zone_of
@@ -48,26 +48,30 @@ def load(t, r=None) -> DataFrame:
     return spans.join(means, "id", "left").select("id", "start_ts", "duration_sec", "avg_hr", (F.col("duration_sec") * F.col("avg_hr")).alias("load")).orderBy("start_ts", "id")
 
 
-def _halves(df: DataFrame, columns: list[str]) -> DataFrame:
+def _half_means(columns: list[str]) -> list[Column]:
+    """Aggregates: means over the samples of both halves of a workout."""
     first = epoch("ts") < (epoch("start_ts") + epoch("end_ts")) / 2
-    return df.groupBy("id").agg(
-        *[F.avg(F.when(first, F.col(c))).alias(f"first_{c}") for c in columns], *[F.avg(F.when(~first, F.col(c))).alias(f"second_{c}") for c in columns]
-    )
+    return [F.avg(F.when(side, F.col(c))).alias(f"{name}_{c}") for name, side in (("first", first), ("second", ~first)) for c in columns]
+
+
+def _drift() -> list[Column]:
+    """Columns of the drift from the means of both halves."""
+    a, b = F.col("first_bpm"), F.col("second_bpm")
+    pct = ratio((b - a) * 100, a)
+    size = F.abs(pct)
+    kind = F.when(size.isNull(), None).when(size < 3, "stable").when(size < 6, "moderate").otherwise("high")
+    return [a.alias("first_avg"), b.alias("second_avg"), pct.alias("drift_pct"), kind.alias("drift_class")]
+
+
+def _z2_share() -> Column:
+    return ratio(F.count_if(in_zone("bpm", "Z2")), F.count("*").cast("double")).alias("z2_ratio")
 
 
 def drift(t, workouts=None) -> DataFrame:
     """Mean heart rate of both halves of a workout, and their difference in per cent and in words."""
     spans = t.workouts if workouts is None else workouts
-    halves = _halves(heart_rate_of(t, spans), ["bpm"])
-    a, b = F.col("first_bpm"), F.col("second_bpm")
-    pct = ratio((b - a) * 100, a)
-    size = F.abs("drift_pct")
-    return (
-        spans.select("id")
-        .join(halves, "id", "left")
-        .select("id", a.alias("first_avg"), b.alias("second_avg"), pct.alias("drift_pct"))
-        .withColumn("drift_class", F.when(size.isNull(), None).when(size < 3, "stable").when(size < 6, "moderate").otherwise("high"))
-    )
+    halves = heart_rate_of(t, spans).groupBy("id").agg(*_half_means(["bpm"]))
+    return spans.select("id").join(halves, "id", "left").select("id", *_drift())
 
 
 def performance_of(t, workouts=None) -> DataFrame:
@@ -78,19 +82,19 @@ def performance_of(t, workouts=None) -> DataFrame:
 def fade(t, workouts=None) -> DataFrame:
     """Drop of speed and power from the first half to the second in per cent."""
     spans = t.workouts if workouts is None else workouts
-    halves = _halves(performance_of(t, spans), ["speed", "power"])
+    halves = performance_of(t, spans).groupBy("id").agg(*_half_means(["speed", "power"]))
     drop = lambda c: F.when(F.col(f"first_{c}") > 0, (F.col(f"first_{c}") - F.col(f"second_{c}")) / F.col(f"first_{c}") * 100).alias(f"{c}_fade_pct")
     return spans.select("id").join(halves, "id", "left").select("id", drop("speed"), drop("power"))
 
 
 def z2_ratio_range(t, r=None) -> DataFrame:
     """Share of all heart-rate samples of a range that lie in Z2, in one row."""
-    return t.heart_rate.filter(within("ts", r)).agg(ratio(F.count_if(in_zone("bpm", "Z2")), F.count("*").cast("double")).alias("z2_ratio"))
+    return t.heart_rate.filter(within("ts", r)).agg(_z2_share())
 
 
 def z2_ratio(t, workouts=None) -> DataFrame:
     spans = t.workouts if workouts is None else workouts
-    shares = heart_rate_of(t, spans).groupBy("id").agg(ratio(F.count_if(in_zone("bpm", "Z2")), F.count("*").cast("double")).alias("z2_ratio"))
+    shares = heart_rate_of(t, spans).groupBy("id").agg(_z2_share())
     return spans.select("id").join(shares, "id", "left")
 
 
@@ -120,55 +124,69 @@ def aligned(t, workouts=None) -> DataFrame:
     return nearest_join(speeds, hr, ["id"], "ts", "hr_ts", ALIGN_SECONDS, ["id", "ts", "speed"])
 
 
+def _pace_sums(low: float, high: float) -> list[Column]:
+    """Aggregates over aligned samples: those whose heart rate lies in a band."""
+    good = F.col("bpm").between(low, high) & (F.col("speed") > 0)
+    return [F.count_if(good).alias("pace_samples"), F.avg(F.when(good, F.col("speed"))).alias("avg_speed_mps")]
+
+
+def _paces() -> list[Column]:
+    count = F.coalesce("pace_samples", F.lit(0)).alias("sample_count")
+    return [count, F.col("avg_speed_mps"), ratio(F.lit(1000.0), F.col("avg_speed_mps")).alias("pace_sec_per_km")]
+
+
+def _hour() -> Column:
+    return F.least("duration_sec", F.lit(float(WINDOW_SECONDS)))
+
+
+def _half_paces() -> list[Column]:
+    """Aggregates over aligned samples: pace and heart rate in both halves of the first hour."""
+    begin, pace = epoch("start_ts"), F.lit(1000.0) / F.col("speed")
+    used = (F.col("speed") > 0) & (epoch("ts") <= begin + _hour())
+    first = epoch("ts") < begin + _hour() / 2
+    halves = (("p1", first, pace), ("b1", first, F.col("bpm")), ("p2", ~first, pace), ("b2", ~first, F.col("bpm")))
+    return [F.count_if(used).alias("hour_samples"), *[F.avg(F.when(used & side, x)).alias(name) for name, side, x in halves]]
+
+
+def _decouplings() -> list[Column]:
+    long = F.col("window_sec") >= MIN_WINDOW_SECONDS
+    e1, e2 = F.when(long, ratio(F.col("p1"), F.col("b1"))), F.when(long, ratio(F.col("p2"), F.col("b2")))
+    return [
+        F.coalesce("hour_samples", F.lit(0)).alias("sample_count"),
+        e1.alias("first_half_efficiency"),
+        e2.alias("second_half_efficiency"),
+        ratio((e2 - e1) * 100, e1).alias("decoupling_pct"),
+    ]
+
+
 def pace_at_hr(t, workouts=None, low: float = PACE_BAND[0], high: float = PACE_BAND[1]) -> DataFrame:
     """Mean speed and pace of samples whose heart rate lies in a band."""
     spans = t.workouts if workouts is None else workouts
-    good = aligned(t, spans).filter(F.col("bpm").between(low, high) & (F.col("speed") > 0))
-    means = good.groupBy("id").agg(F.count("*").alias("sample_count"), F.avg("speed").alias("avg_speed_mps"))
-    return (
-        spans.select("id")
-        .join(means, "id", "left")
-        .select("id", F.coalesce("sample_count", F.lit(0)).alias("sample_count"), "avg_speed_mps", ratio(F.lit(1000.0), F.col("avg_speed_mps")).alias("pace_sec_per_km"))
-    )
+    means = aligned(t, spans).groupBy("id").agg(*_pace_sums(low, high))
+    return spans.select("id").join(means, "id", "left").select("id", *_paces())
 
 
 def decoupling(t, workouts=None) -> DataFrame:
     """Change of pace per heartbeat between the halves of the first hour; null under 45 minutes."""
     spans = t.workouts if workouts is None else workouts
-    window = F.least("duration_sec", F.lit(float(WINDOW_SECONDS)))
-    begin = epoch("start_ts")
-    rows = aligned(t, spans).filter("speed > 0").withColumn("window", window).filter(epoch("ts") <= begin + F.col("window"))
-    first = epoch("ts") < begin + F.col("window") / 2
-    pace = F.lit(1000.0) / F.col("speed")
-    halves = rows.groupBy("id").agg(
-        F.count("*").alias("sample_count"),
-        *[F.avg(F.when(side, c)).alias(name) for name, side, c in (("p1", first, pace), ("b1", first, F.col("bpm")), ("p2", ~first, pace), ("b2", ~first, F.col("bpm")))],
-    )
-    long = F.col("window_sec") >= MIN_WINDOW_SECONDS
-    e1, e2 = F.when(long, ratio(F.col("p1"), F.col("b1"))), F.when(long, ratio(F.col("p2"), F.col("b2")))
-    return (
-        spans.select("id", window.alias("window_sec"))
-        .join(halves, "id", "left")
-        .select(
-            "id",
-            "window_sec",
-            F.coalesce("sample_count", F.lit(0)).alias("sample_count"),
-            e1.alias("first_half_efficiency"),
-            e2.alias("second_half_efficiency"),
-            ratio((e2 - e1) * 100, e1).alias("decoupling_pct"),
-        )
-    )
+    halves = aligned(t, spans).groupBy("id").agg(*_half_paces())
+    return spans.select("id", _hour().alias("window_sec")).join(halves, "id", "left").select("id", "window_sec", *_decouplings())
+
+
+def pace_and_decoupling(t, workouts) -> DataFrame:
+    """id, start_ts, pace_sec_per_km and decoupling_pct from one alignment of speed and heart rate."""
+    sums = aligned(t, workouts).groupBy("id").agg(*_pace_sums(*PACE_BAND), *_half_paces())
+    spans = workouts.select("id", "start_ts", _hour().alias("window_sec"))
+    return spans.join(sums, "id", "left").select("id", "start_ts", _paces()[-1], _decouplings()[-1])
 
 
 def detail(t, workouts=None) -> DataFrame:
-    """Each workout with its drift, load and Z2 share."""
+    """Each workout with its drift, load and Z2 share, from one join with the heart rate."""
     spans = t.workouts if workouts is None else workouts
-    return (
-        spans.select("id", F.coalesce("type", F.lit("")).alias("type"), "start_ts", "end_ts", "duration_sec", "source")
-        .join(drift(t, spans), "id", "left")
-        .join(load(t).select("id", "avg_hr", "load"), "id", "left")
-        .join(z2_ratio(t, spans), "id", "left")
-    )
+    hr = heart_rate_of(t, spans).groupBy("id").agg(*_half_means(["bpm"]), F.avg("bpm").alias("avg_hr"), _z2_share())
+    named = spans.select("id", F.coalesce("type", F.lit("")).alias("type"), "start_ts", "end_ts", "duration_sec", "source")
+    load_ = (F.col("duration_sec") * F.col("avg_hr")).alias("load")
+    return named.join(hr, "id", "left").select(*named.columns, *_drift(), "avg_hr", load_, "z2_ratio")
 
 
 def economy_averages(t, r=None) -> DataFrame:

@@ -61,6 +61,12 @@ class Store:
         except ValueError:
             return None
 
+    def staged(self, name: str, found: DataFrame) -> DataFrame:
+        """Parsed nodes written once, in a folder for each type, so that a table reads only its own; the next import replaces them."""
+        path = f"{self.path}/_staged/{name}"
+        found.write.mode("overwrite").partitionBy("type").parquet(path)
+        return self.spark.read.schema(found.schema).parquet(path)
+
     def append(self, rows: dict[str, DataFrame]) -> dict[str, int]:
         """New rows of each table; returns how many went in."""
         counts = {}
@@ -83,7 +89,7 @@ class Store:
         """Read an export; rows that end a day or more before the last import are left out unless ``full``."""
         last = None if full else self.last_import()
         cutoff = last - LOOKBACK if last else None
-        rows = {name: not_older(found, cutoff) for name, found in xml_export.all_rows(self.spark, export).items()}
+        rows = {name: not_older(found, cutoff) for name, found in xml_export.all_rows(self.spark, export, self.staged).items()}
         counts = self.append(rows)
         ends = reduce(lambda a, b: a.union(b), [found.select("end_ts_key") for found in rows.values()])
         newest = ends.agg(F.max("end_ts_key").alias("t")).first()["t"]

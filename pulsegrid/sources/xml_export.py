@@ -143,13 +143,13 @@ def workout_rows(found: DataFrame) -> dict[str, DataFrame]:
     stats = stats.withColumn("a", M.moment(F.col("s._startDate"))).withColumn("b", M.moment(F.col("s._endDate")))
     numbers = {n: M.number(F.col(f"s._{n}")) for n in ("average", "minimum", "maximum", "sum")}
     stats = stats.withColumn("o", _struct("workout_stats", workout_id=F.col("id"), type=F.col("s._type"), start_ts=F.col("a"), end_ts=F.col("b"), unit=F.col("s._unit"), **numbers))
-    token = F.concat_ws(",", *[F.coalesce(F.col(f"s._{n}"), F.lit("")) for n in ("average", "minimum", "maximum", "sum")])
+    token = F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("")) for x in (*numbers.values(), F.col("s._unit"))])
     out["workout_stats"] = _keyed(stats, "workout_stats", F.col("s._type"), F.col("a"), F.col("b"), token, F.col("source"))
 
     events = found.select("id", "place", "source", F.explode("WorkoutEvent").alias("e")).filter("e._type is not null and e._date is not null").withColumn("a", M.moment(F.col("e._date")))
     length = M.seconds(M.number(F.col("e._duration")), F.col("e._durationUnit"))
     events = events.withColumn("o", _struct("workout_events", workout_id=F.col("id"), type=F.col("e._type"), ts=F.col("a"), duration_sec=length))
-    out["workout_events"] = _keyed(events, "workout_events", F.col("e._type"), F.col("a"), F.col("a"), F.coalesce(F.col("e._duration"), F.lit("")), F.col("source"))
+    out["workout_events"] = _keyed(events, "workout_events", F.col("e._type"), F.col("a"), F.col("a"), length, F.col("source"))
 
     meta = found.select("id", "place", "source", "start_ts", "end_ts", F.explode("MetadataEntry").alias("m")).filter("m._key is not null")
     meta = meta.withColumn("o", _struct("workout_metadata", workout_id=F.col("id"), key=F.col("m._key"), value=F.col("m._value")))
@@ -163,8 +163,9 @@ def workout_rows(found: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def all_rows(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return record_rows(records(spark, path)) | workout_rows(workouts(spark, path))
+def all_rows(spark: SparkSession, path: str, staged=lambda name, df: df) -> dict[str, DataFrame]:
+    """Row sets of all tables; ``staged(name, df)`` may keep the parsed nodes, which every row set reads."""
+    return record_rows(staged("records", records(spark, path))) | workout_rows(staged("workouts", workouts(spark, path)))
 
 
 def crop(spark: SparkSession, path: str, cutoff, out: str) -> dict[str, int]:

@@ -65,6 +65,21 @@ def test_ingest_twice(spark, export, tmp_path):
     assert store.rebuild(export)["heart_rate"] == 2
 
 
+def test_keys_of_children_use_mapped_values(spark, tmp_path):
+    """One minute and 60 seconds are one event; stats that differ in unit only are two."""
+    span = 'startDate="2024-06-01 10:00:00 +0200" endDate="2024-06-01 10:30:00 +0200"'
+    pause = '<WorkoutEvent type="HKWorkoutEventTypePause" date="2024-06-01 10:10:00 +0200" duration="{}" durationUnit="{}"/>'
+    stat = f'<WorkoutStatistics type="{Q}DistanceWalkingRunning" {span} sum="{{}}" unit="{{}}"/>'
+    inner = pause.format("1", "min") + pause.format("60", "s") + pause.format("60", "min") + stat.format("5", "km") + stat.format("5.0", "km") + stat.format("5", "mi")
+    path = tmp_path / "children.xml"
+    path.write_text(HEAD + f'<Workout workoutActivityType="HKWorkoutActivityTypeRunning" sourceName="w" {span}>{inner}</Workout></HealthData>')
+    store = Store(spark, str(tmp_path / "store3"))
+    counts = store.ingest(str(path))
+    assert (counts["workout_events"], counts["workout_stats"]) == (2, 2)
+    assert sorted(r.duration_sec for r in store.read("workout_events").collect()) == [60.0, 3600.0]
+    assert sorted((r.unit, r["sum"]) for r in store.read("workout_stats").collect()) == [("km", 5.0), ("mi", 5.0)]
+
+
 def test_crop_counts(spark, export, tmp_path):
     counts = xml_export.crop(spark, export, dt.datetime(2024, 6, 2), str(tmp_path / "out"))
     assert counts == {"seen": 12, "kept": 1, "old": 9, "unsupported": 1, "manual": 1}
