@@ -7,7 +7,8 @@ URL that holds this word is tested for the rest. Rules are bounded by the suppor
 
 Everything is DataFrame, SQL or Spark ML; no Python runs on the executors. A null URL or one without ``://`` has an
 empty host and path and no words; null labels are ignored; without any labelled page there are no mined rules;
-repeated rows are judged one by one, rows with equal URLs alike; an empty table gives an empty result.
+repeated rows are judged one by one, rows with equal URLs alike; an empty table gives an empty result. Other columns,
+also of clashing names, are not read. Rules as sure as a narrower one give way to it; of rules that match, the surest counts.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ MIN_PAGES = 20
 MIN_CONFIDENCE = 0.6
 MIN_LIFT = 1.5
 UNWANTED = "label:unwanted"
+#: Groups over which the pages of one URL are dealt.
+SALTS = 64
 
 # Rules by host, then path.
 RULES = [
@@ -119,15 +122,20 @@ def url_filters(pages: DataFrame, labels: DataFrame, **limits) -> DataFrame:
     rule, verdict = _base_rule()
     urls = parts(pages.select("page_id", "url")).select("page_id", "url", "host", "path", "tail").withColumn("words", _words())
     rules = mined_rules(urls, labels, **limits)
-    base = urls.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("base"))
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("salt")
+    base = urls.select("page_id", "url", salt, "host", "path", rule.alias("rule"), verdict.alias("base"))
+    # each URL is matched once for each salt, so that no task gets all pages of one URL
     caught = (
-        urls.select("url", "words", F.explode("words").alias("key"))
+        urls.filter("url is not null")
+        .select("url", salt, "words")
+        .distinct()
+        .select("url", "salt", "words", F.explode("words").alias("key"))
         .join(rules.select("key", F.col("words").alias("rule_words"), "confidence"), "key")
         .filter(F.size(F.array_except("rule_words", "words")) == 0)
-        .groupBy("url")
+        .groupBy("url", "salt")
         .agg(F.max("confidence").alias("confidence"))
     )
-    return base.join(caught, "url", "left").select(
+    return base.join(caught, ["url", "salt"], "left").select(
         "page_id",
         "host",
         "path",
