@@ -4,6 +4,8 @@ The words of a URL (host labels, path segments, extension, query names) and a si
 FP-growth. Rules that lead to the sign are kept when support, confidence and lift are high enough and no rule with
 fewer words is as sure. They match by an inverted index: each rule is filed under its rarest word, and a
 URL that holds this word is tested for the rest. Rules are bounded by the support, whatever the number of pages.
+Words that stand on the same labelled pages throughout are mined as one, since each of their sets would be an itemset;
+in a rule each of them stands for all, as the rules of one word alone are as sure as those of several.
 
 Everything is DataFrame, SQL or Spark ML; no Python runs on the executors. A null URL or one without ``://`` has an
 empty host and path and no words; null labels are ignored; without any labelled page there are no mined rules;
@@ -13,6 +15,8 @@ also of clashing names, are not read. Rules as sure as a narrower one give way t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,8 +84,26 @@ def _words() -> Column:
     )
 
 
+def _alike(baskets: DataFrame, pages: int) -> DataFrame:
+    """Words of ``pages`` baskets or more by the first of those in the same baskets: word, freq, alike.
+
+    The same baskets have the same sum of hashes. The support bounds the rows, and the words within them.
+    """
+    words = baskets.select(F.xxhash64("items").cast("decimal(20,0)").alias("mark"), F.explode("items").alias("word"))
+    counted = words.filter(F.col("word") != UNWANTED).groupBy("word").agg(F.count("*").alias("freq"), F.sum("mark").alias("mark"))
+    return (
+        counted.filter(F.col("freq") >= pages)
+        .groupBy("freq", "mark")
+        .agg(F.min("word").alias("word"), F.sort_array(F.collect_set("word")).alias("alike"))
+        .select("word", "freq", "alike")
+    )
+
+
 def mined_rules(urls: DataFrame, labels: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE, min_lift=MIN_LIFT) -> DataFrame:
-    """Rules (words, confidence, support, lift, key): URL words that lead to unwanted pages."""
+    """Rules (words, confidence, support, lift, groups, key): URL words that lead to unwanted pages.
+
+    A rule fits a URL with a word of each group; it has a row for each word of its rarest group.
+    """
     unwanted = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     known = (
         labels.filter("doc_id is not null and (quality is not null or toxic is not null)")
@@ -92,8 +114,13 @@ def mined_rules(urls: DataFrame, labels: DataFrame, min_support=MIN_SUPPORT, min
         F.when(F.col("unwanted"), F.array_append("words", F.lit(UNWANTED))).otherwise(F.col("words")).alias("items")
     )
     baskets = written(baskets.filter(F.size("items") > 0))
-    least = min(1.0, max(min_support, MIN_PAGES / max(1, baskets.count())))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
+    count = max(1, baskets.count())
+    least = min(1.0, max(min_support, MIN_PAGES / count))
+    alike = written(_alike(baskets, math.ceil(least * count)))
+    # at most a page's words divided by the support
+    spare = [r.word for r in alike.select(F.explode(F.array_remove("alike", F.col("word"))).alias("word")).collect()]
+    once = baskets.select(F.array_except("items", F.lit(spare)).alias("items")) if spare else baskets
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(once)
     rules = model.associationRules.filter((F.element_at("consequent", 1) == UNWANTED) & (F.col("lift") >= min_lift)).select(
         F.sort_array("antecedent").alias("words"), "confidence", "support", "lift"
     )
@@ -106,13 +133,13 @@ def mined_rules(urls: DataFrame, labels: DataFrame, min_support=MIN_SUPPORT, min
         .select("words")
         .distinct()
     )
-    singles = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("word"), F.col("freq"))
     keys = (
         rules.join(beaten, "words", "left_anti")
         .select("words", "confidence", "support", "lift", F.explode("words").alias("word"))
-        .join(singles, "word")
+        .join(alike, "word")
         .groupBy("words", "confidence", "support", "lift")
-        .agg(F.min_by("word", F.struct("freq", "word")).alias("key"))
+        .agg(F.collect_list("alike").alias("groups"), F.min_by("alike", F.struct("freq", "word")).alias("rarest"))
+        .select("words", "confidence", "support", "lift", "groups", F.explode("rarest").alias("key"))
     )
     return written(keys)
 
@@ -130,8 +157,8 @@ def url_filters(pages: DataFrame, labels: DataFrame, **limits) -> DataFrame:
         .select("url", salt, "words")
         .distinct()
         .select("url", "salt", "words", F.explode("words").alias("key"))
-        .join(rules.select("key", F.col("words").alias("rule_words"), "confidence"), "key")
-        .filter(F.size(F.array_except("rule_words", "words")) == 0)
+        .join(rules.select("key", "groups", "confidence"), "key")
+        .filter(F.forall("groups", lambda g: F.arrays_overlap(g, F.col("words"))))
         .groupBy("url", "salt")
         .agg(F.max("confidence").alias("confidence"))
     )

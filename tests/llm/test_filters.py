@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from texts import ALNUM, prose, sample, words
@@ -148,6 +149,31 @@ def test_urls(spark):
     assert url_filters.url_filters(df.filter("false"), none).count() == 0
 
 
+def test_mined_rules_equal_brute_force(spark):
+    """Words that always occur together make no rules of their subsets, and each of them alone matches."""
+    crowd = "/".join("w" + chr(97 + i % 26) * (1 + i // 26) for i in range(40))
+    urls = [f"http://bad.site/{crowd}/{'odd' if i % 3 else 'even'}" for i in range(60)] + [f"http://fine.site/news/{'odd' if i % 2 else 'even'}" for i in range(90)]
+    urls += [f"http://mixed.site/{'a/b' if i % 4 else 'a/c'}" for i in range(80)]
+    bad = [i < 60 or (i >= 150 and i % 4 != 0) for i in range(len(urls))]
+    asked = ["http://x.y/" + crowd.split("/")[7], "http://bad.z/", "http://other.site/b/a", "http://q.r/c", "http://fine.q/news/odd", "http://q.r/nothing"]
+    pages = spark.createDataFrame(list(enumerate(urls + asked)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    split = url_filters.parts(pages).select("page_id", url_filters._words().alias("words"))
+    sets = {r.page_id: set(r.words) for r in split.collect()}
+    base = sum(bad) / len(bad)
+    held = {}  # confidence of the sets of one or two words that make rules
+    for size in (1, 2):
+        for few in {c for i in range(len(urls)) for c in combinations(sorted(sets[i]), size)}:
+            on = [i for i in range(len(urls)) if sets[i] >= set(few)]
+            sure = sum(bad[i] for i in on) / len(on)
+            if sum(bad[i] for i in on) >= url_filters.MIN_PAGES and sure >= url_filters.MIN_CONFIDENCE and sure / base >= url_filters.MIN_LIFT:
+                held[few] = sure
+    best = {i: max((c for few, c in held.items() if set(few) <= s), default=None) for i, s in sets.items()}
+    got = {r.page_id: r.confidence for r in url_filters.url_filters(pages, labels).collect()}
+    assert got == pytest.approx(best)
+    assert best[len(urls)] == 1.0 and best[len(urls) + 5] is None
+
+
 FAKE = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
 
 
