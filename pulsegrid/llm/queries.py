@@ -71,6 +71,12 @@ def op11_periodic_runs(spark, sf_dir):
     return periodic_runs(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark, sf_dir):
+    from pulsegrid.llm.whitening import whitening
+
+    return whitening(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
