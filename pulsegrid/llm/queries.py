@@ -71,6 +71,12 @@ def op11_periodic_runs(spark, sf_dir):
     return periodic_runs(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark, sf_dir):
+    from pulsegrid.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_whitening(spark, sf_dir):
     from pulsegrid.llm.whitening import whitening
 
