@@ -28,7 +28,7 @@ from pulsegrid.llm.textops import ALNUM, Slice, mix, slices, word_hashes, words
 
 WINDOW, STRIDE = 64, 48
 THRESHOLD = 0.7
-POSITIVES, NEGATIVES, TRAIN_CHARS = 2500, 3500, 10_000
+POSITIVES, NEGATIVES, TRAIN_CHARS = 1500, 2500, 8_000
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 14, 1 << 15
 EMBEDDING, HIDDEN = 8, 8
 ROUNDS, PASSES, BATCH, RATE, DROPPED = 4, 3, 128, 0.01, 0.3
@@ -252,55 +252,90 @@ def _of_windows(w: Words, places: np.ndarray, first: np.ndarray, size: np.ndarra
     return Words(w.bucket[used], grams, begins), again, begin
 
 
-def _odds(buckets: np.ndarray, owner: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """Logarithm of how much more often toxic texts have each bucket than others."""
-    pairs = np.unique(owner.astype(np.int64) * size + buckets)
-    toxic = label[pairs // size] > 0
-    share = lambda x, n: (np.bincount(pairs[x] % size, minlength=size) + 1) / (n + 2)
-    return np.log(share(toxic, label.sum()) / share(~toxic, (1 - label).sum()))
+class Sample:
+    """Texts to train on, slice by slice, so that no array holds the words of all of them at length."""
+
+    def __init__(self, texts: list[str], label: np.ndarray):
+        self.label, self.parts = np.asarray(label, np.float32), []
+        for s in slices(pa.array(texts, pa.large_string())):
+            w, places, bounds = read_words(s)
+            w = Words(*[x.astype(np.int32) for x in w])
+            first, size, row = windows(bounds)
+            self.parts.append((w, places.astype(np.int32), bounds, first, size, row + s.first))
+
+    def odds(self) -> tuple[np.ndarray, np.ndarray]:
+        """For buckets of words and of 4-grams: logarithm of how much more often toxic texts have them than others."""
+        counts = [np.zeros((2, size)) for size in (WORD_BUCKETS, GRAM_BUCKETS)]
+        for w, places, bounds, _, _, row in self.parts:
+            texts = self.label[row[0] : row[-1] + 1].astype(int)
+            text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+            own = np.unique(text * max(1, len(w.bucket)) + places)
+            text, word = own // max(1, len(w.bucket)), own % max(1, len(w.bucket))
+            each = np.diff(w.begins, append=len(w.grams))[word]
+            spots = np.repeat(w.begins[word] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            for total, owner, bucket in ((counts[0], text, w.bucket[word]), (counts[1], np.repeat(text, each), w.grams[spots])):
+                pairs = np.unique(owner * total.shape[1] + bucket)
+                np.add.at(total, (texts[pairs // total.shape[1]], pairs % total.shape[1]), 1)
+        toxic = self.label.sum()
+        return tuple(np.log((c[1] + 1) / (toxic + 2)) - np.log((c[0] + 1) / (len(self.label) - toxic + 2)) for c in counts)
+
+    def chosen(self, rate) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The window of each text that ``rate(words, places, first, size)`` puts highest: words, places, first places, sizes and texts."""
+        found, n_words, n_grams, n_places = [], 0, 0, 0
+        for w, places, _, first, size, row in self.parts:
+            rated = rate(w, places, first, size)
+            order = np.lexsort((-rated, row))
+            best = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+            own, at, begin = _of_windows(w, places, first[best], size[best])
+            found.append((own.bucket, own.grams, own.begins + n_grams, at + n_words, begin + n_places, size[best], row[best]))
+            n_words, n_grams, n_places = n_words + len(own.bucket), n_grams + len(own.grams), n_places + len(at)
+        bucket, grams, begins, at, begin, size, row = [np.concatenate(x) for x in zip(*found)]
+        return Words(bucket, grams, begins), at, begin, size, row
+
+
+def _of_windows(w: Words, places: np.ndarray, first: np.ndarray, size: np.ndarray):
+    """The distinct words of some windows, where each window's stand among these, and where each window begins."""
+    begin = np.cumsum(size) - size
+    spots = np.repeat(first - begin, size) + np.arange(int(size.sum()))
+    used, again = np.unique(places[spots], return_inverse=True)
+    if not len(used):  # empty windows only: a word that no place holds
+        return Words(np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(1, np.int32)), np.zeros(1, np.int64), begin
+    counts = np.diff(w.begins, append=len(w.grams))[used]
+    begins = np.cumsum(counts) - counts
+    grams = w.grams[np.repeat(w.begins[used] - begins, counts) + np.arange(int(counts.sum()))]
+    return Words(w.bucket[used], grams, begins), again, begin
 
 
 def trained(texts: list[str], label: np.ndarray, seed: int = 0) -> Network:
     """A network fitted to texts and their labels (0 or 1)."""
-    rng, net = np.random.default_rng(seed), Network(seed)
-    (s,) = slices(pa.array(texts, pa.large_string()), 1 << 40)
-    w, places, bounds = read_words(s)
-    first, size, row = windows(bounds)
-    begins = np.searchsorted(row, np.arange(len(texts)))
-    label = np.asarray(label, np.float32)
-    if not len(w.bucket):
-        net.p["out"][0] = np.log((label.sum() + 1) / (len(label) - label.sum() + 1))
-        return net
-    text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    counts = np.diff(w.begins, append=len(w.grams))
-    word_text = np.unique(text_of * len(w.bucket) + places)
-    text_of, word = word_text // len(w.bucket), word_text % len(w.bucket)
-    by_word = _odds(w.bucket[word], text_of, label, WORD_BUCKETS)
-    each = counts[word]
-    spots = np.repeat(w.begins[word] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-    by_gram = _odds(w.grams[spots], np.repeat(text_of, each), label, GRAM_BUCKETS)
+    rng, net, sample = np.random.default_rng(seed), Network(seed), Sample(texts, label)
+    by_word, by_gram = sample.odds()
     # the first number of each embedding begins with these
     net.p["word"][:, 0], net.p["gram"][:, 0] = by_word / 2, by_gram / 2
-    telling = np.maximum(by_word[w.bucket], np.maximum.reduceat(by_gram[w.grams], w.begins))
-    rated = np.array([telling[places[a : a + n]].max(initial=-np.inf) for a, n in zip(first.tolist(), size.tolist())])
+
+    def telling(w, places, first, size):
+        if not len(w.bucket):
+            return np.zeros(len(first))
+        most = np.maximum(by_word[w.bucket], np.maximum.reduceat(by_gram[w.grams], w.begins))
+        return np.array([most[places[a : a + n]].max(initial=-np.inf) for a, n in zip(first.tolist(), size.tolist())])
+
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for turn in range(ROUNDS):
-        if turn:
-            rated = net.logits(net.projected(net.vectors(w)), places, first, size)
-        best = np.array([a + int(np.argmax(rated[a:b])) for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(row)])])
+        rate = (lambda w, places, first, size: net.logits(net.projected(net.vectors(w)), places, first, size)) if turn else telling
+        w, places, first, size, row = sample.chosen(rate)
         for _ in range(PASSES):
-            order = rng.permutation(len(best))
+            order = rng.permutation(len(row))
             for a in range(0, len(order), BATCH):
-                chosen = best[order[a : a + BATCH]]
-                own, at, start = _of_windows(w, places, first[chosen], size[chosen])
+                some = order[a : a + BATCH]
+                own, at, begin = _of_windows(w, places, first[some], size[some])
                 step += 1
-                for k, g in net.gradients(own, at, start, size[chosen], label[row[chosen]], rng).items():
+                for k, g in net.gradients(own, at, begin, size[some], sample.label[row[some]], rng).items():
                     m, v = moments[k]
                     m += np.float32(0.1) * (g - m)
                     v += np.float32(0.01) * (g * g - v)
-                    rate = RATE * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
-                    net.p[k] -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-7))
+                    rate_now = RATE * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
+                    net.p[k] -= np.float32(rate_now) * m / (np.sqrt(v) + np.float32(1e-7))
     return net
 
 
