@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,12 +62,53 @@ def half_up(c: Column) -> Column:
     return F.floor(c + 0.5)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that stands in it several times but is computed once; generated code would repeat it and grow too long."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Splits a double into two halves whose products are exact.
+_HALF = float((1 << 27) + 1)
+
+
+def _beyond(x: Column, product: Column, scale: float) -> Column:
+    """What the rounded ``product`` of ``x`` and ``scale`` lacks, exactly, from products of halves."""
+    high = _HALF * scale - (_HALF * scale - scale)
+    low = scale - high
+    x_high = x * _HALF - (x * _HALF - x)
+    x_low = x - x_high
+    return ((x_high * high - product) + x_high * low + x_low * high) + x_low * low
+
+
 def fixed(c: Column, digits: int) -> Column:
-    """A number with so many decimals, ties away from zero; null stays null.
+    """A number with so many decimals; null stays null.
 
-    What sums of another order change in the last digits does not decide ties.
+    The double's exact value decides, as if all its binary digits were written out: 1.005 lies below its text and gives
+    1.00, while 0.25 is a real tie and goes away from zero.
     """
-    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", F.round(c, 9)))
+    scale = float(10**digits)
+
+    def units(x: Column) -> Column:
+        product = x * scale
+        down = F.floor(product)
+        return (down + F.floor((product - down.cast("double") - 0.5) + _beyond(x, product, scale)) + 1).cast("string")
+
+    def pointed(u: Column) -> Column:
+        padded = F.lpad(u, F.greatest(F.length(u), F.lit(digits + 1)), "0")
+        return F.concat(F.substring(padded, F.lit(1), F.length(padded) - digits), F.lit("."), F.right(padded, F.lit(digits)))
+
+    def text(v: Column) -> Column:
+        size = F.abs(v)
+        whole = units(size)
+        plain = F.concat(F.when(v < 0, "-").otherwise(""), bound(whole, pointed) if digits else whole)
+        return F.when(F.isnan(v) | (size * scale >= float(1 << 62)), F.format_string(f"%.{digits}f", v)).otherwise(plain)
+
+    return F.when(c.isNotNull(), bound(c.cast("double"), text))
+
+
+def fixed_number(c: Column, digits: int) -> Column:
+    """The number that ``fixed`` writes."""
+    return fixed(c, digits).cast("double")
 
 
 def signed(c: Column, digits: int, unit: str = "") -> Column:

@@ -102,6 +102,19 @@ def _result(df: DataFrame, state: Column, action: Column, quality: Column, claim
     )
 
 
+def _settled(x: Column) -> Column:
+    """Sums over samples differ with their order in the last digits; so that these decide no tie, nine places are kept before texts are made."""
+    return F.round(x, 9)
+
+
+def _fixed(x: Column, digits: int) -> Column:
+    return X.fixed(_settled(x), digits)
+
+
+def _signed(x: Column, digits: int, unit: str = "") -> Column:
+    return X.signed(_settled(x), digits, unit)
+
+
 def _signal(direction: Column) -> Column:
     return F.when(direction == "declining", 1).when(direction == "improving", -1).otherwise(0)
 
@@ -125,10 +138,10 @@ def readiness(t, r: DateRange) -> DataFrame:
     state = F.when(c("score") >= 2, "Strained").when(c("score") <= -1, "Fresh").otherwise("Normal")
     quality = F.when(c("rhr").isNull() | c("hrv").isNull(), "poor").when(c("rhr0").isNull() | c("hrv0").isNull(), "mixed").otherwise("high")
     found = _evidence(
-        ("Resting HR", X.signed(c("rhr") - c("rhr0"), 1, " bpm"), "text"),
-        ("HRV", X.signed(c("hrv") - c("hrv0"), 1, " ms"), "text"),
-        ("Sleep", F.concat(X.fixed(c("sleep_hours_per_day"), 1), F.lit(" h/night")), "text"),
-        ("Training load", X.signed(c("load") - c("load0"), 1), "text"),
+        ("Resting HR", _signed(c("rhr") - c("rhr0"), 1, " bpm"), "text"),
+        ("HRV", _signed(c("hrv") - c("hrv0"), 1, " ms"), "text"),
+        ("Sleep", F.concat(_fixed(c("sleep_hours_per_day"), 1), F.lit(" h/night")), "text"),
+        ("Training load", _signed(c("load") - c("load0"), 1), "text"),
     )
     return _result(df, state, _case(c("state"), Fresh="push", Strained="reduce_intensity", other="maintain"), quality, _suggests(), found, "score", "sleep_hours_per_day")
 
@@ -153,10 +166,10 @@ def training_strain(t, r: DateRange) -> DataFrame:
         F.when(ratio.isNull(), "poor").when(c("rhr").isNull() | c("rhr0").isNull() | c("hrv").isNull() | c("hrv0").isNull(), "mixed").otherwise("high")
     )
     found = _evidence(
-        ("Acute:chronic load", F.round(ratio, 2), "num"),
+        ("Acute:chronic load", X.fixed_number(_settled(ratio), 2), "num"),
         ("Recovery penalty", p, "num"),
-        ("Resting HR", X.signed(c("rhr") - c("rhr0"), 1, " bpm"), "text"),
-        ("HRV", X.signed(c("hrv") - c("hrv0"), 1, " ms"), "text"),
+        ("Resting HR", _signed(c("rhr") - c("rhr0"), 1, " bpm"), "text"),
+        ("HRV", _signed(c("hrv") - c("hrv0"), 1, " ms"), "text"),
     )
     return _result(df, state, _case(c("state"), productive="push", excessive="reduce_intensity", other="maintain"), quality, _suggests(), found, "load_ratio", "penalty")
 
@@ -179,13 +192,13 @@ def recovery_debt(t, r: DateRange) -> DataFrame:
     score, n = c("debt_score"), c("fatigue_signals")
     state = F.when(poor, "needs more data").when((score >= 7) & (n >= 2), "accumulating").when((score >= 3) & (n <= 1), "short-term dip").when(score >= 3, "moderate").otherwise("low")
     action = F.when(poor, "retest").when(c("state") == "accumulating", "reduce_intensity").when(c("state") == "short-term dip", "add_sleep").when(c("state") == "moderate", "run_easier").otherwise("maintain")
-    show = lambda a, name, unit: F.when((c(a) - c(a + "0")).isNull(), f"{name} unknown").otherwise(F.concat(F.lit(name + " "), X.signed(c(a) - c(a + "0"), 1, unit)))
+    show = lambda a, name, unit: F.when((c(a) - c(a + "0")).isNull(), f"{name} unknown").otherwise(F.concat(F.lit(name + " "), _signed(c(a) - c(a + "0"), 1, unit)))
     both = (c("rhr") - c("rhr0")).isNull() & (c("hrv") - c("hrv0")).isNull()
     full = _evidence(
-        ("Debt score", F.round(score, 1), "num"),
-        ("Sleep deficit", F.concat(X.fixed(c("sleep_debt"), 1), F.lit(" h")), "text"),
+        ("Debt score", X.fixed_number(_settled(score), 1), "num"),
+        ("Sleep deficit", F.concat(_fixed(c("sleep_debt"), 1), F.lit(" h")), "text"),
         ("Recovery markers", F.when(~both, F.concat_ws(", ", show("rhr", "RHR", " bpm"), show("hrv", "HRV", " ms"))), "text"),
-        ("Training load", F.round(ratio, 2), "num"),
+        ("Training load", X.fixed_number(_settled(ratio), 2), "num"),
     )
     none = F.lit(None).cast("double")
     empty = _evidence(("Sleep deficit", none, "num"), ("Recovery markers", none, "num"), ("Training load", none, "num"))
@@ -218,10 +231,10 @@ def fitness_trend(t, r: DateRange) -> DataFrame:
     )
     pace = c("cur_pace") - c("base_pace")
     found = _evidence(
-        ("VO2 Max", X.signed(c("vo2") - c("vo20"), 1), "text"),
+        ("VO2 Max", _signed(c("vo2") - c("vo20"), 1), "text"),
         ("Fixed-HR pace", F.when(pace.isNotNull(), F.concat(F.when(pace > 0, "+").otherwise(""), X.half_up(pace).cast("string"), F.lit(" sec/km"))), "text"),
-        ("Power", X.signed(c("power") - c("power0"), 1, " W"), "text"),
-        ("Resting HR", X.signed(c("rhr") - c("rhr0"), 1, " bpm"), "text"),
+        ("Power", _signed(c("power") - c("power0"), 1, " W"), "text"),
+        ("Resting HR", _signed(c("rhr") - c("rhr0"), 1, " bpm"), "text"),
     )
     return _result(df, state, action, quality, F.when(c("state") == "Unclear", "worth_watching").otherwise("suggests"), found, "score", "vo2_support")
 
@@ -235,9 +248,9 @@ def aerobic_efficiency(t, r: DateRange) -> DataFrame:
     pace = c("cur_pace") - c("base_pace")
     found = _evidence(
         ("Fixed-HR pace", F.when(pace.isNotNull(), F.concat(F.when(pace > 0, "+").otherwise(""), X.half_up(pace).cast("string"), F.lit(" sec/km"))), "text"),
-        ("Decoupling", F.concat(X.fixed(c("cur_decoupling"), 1), F.lit("%")), "text"),
+        ("Decoupling", F.concat(_fixed(c("cur_decoupling"), 1), F.lit("%")), "text"),
         ("Z2 share", F.concat(X.half_up(c("z2_ratio") * 100).cast("string"), F.lit("%")), "text"),
-        ("Resting HR", X.signed(c("rhr") - c("rhr0"), 1, " bpm"), "text"),
+        ("Resting HR", _signed(c("rhr") - c("rhr0"), 1, " bpm"), "text"),
     )
     claim = F.when(c("state") == "insufficient_data", "worth_watching").otherwise("suggests")
     return _result(df, state, action, quality, claim, found, "cur_pace", "base_pace", "cur_decoupling", "z2_ratio")
@@ -259,9 +272,9 @@ def load_quality(t, r: DateRange) -> DataFrame:
     action = F.when(c("state") == "productive aerobic", "maintain").when(c("state") == "junk intensity", "run_easier").when(c("state") == "high-strain low-quality", "reduce_intensity").otherwise("watch")
     quality = F.when(ratio.isNull() | z2.isNull() | (c("runs") == 0), "poor").when(dec.isNull() | (c("runs") < 2), "mixed").otherwise("high")
     found = _evidence(
-        ("Acute:chronic load", F.round(ratio, 2), "num"),
+        ("Acute:chronic load", X.fixed_number(_settled(ratio), 2), "num"),
         ("Z2 share", F.concat(X.half_up(z2 * 100).cast("string"), F.lit("%")), "text"),
-        ("Decoupling", F.concat(X.fixed(dec, 1), F.lit("%")), "text"),
+        ("Decoupling", F.concat(_fixed(dec, 1), F.lit("%")), "text"),
         ("Run consistency", c("runs"), "num"),
     )
     return _result(df, state, action, quality, _suggests(), found, "load_ratio", "z2_ratio", "cur_decoupling")
@@ -285,7 +298,7 @@ def consistency_index(t, r: DateRange) -> DataFrame:
     state = F.when(c("c_score") >= 75, "strong").when(c("c_score") >= 50, "mixed").otherwise("inconsistent")
     quality = F.when(c("c_steps").isNull() & (c("c_n") == 0), "poor").when(c("b_steps").isNull() & (c("b_n") == 0), "mixed").otherwise("high")
     sleep_text = F.when(c("c_sleep_sd").isNull(), "sleep unknown").otherwise(F.concat(X.half_up(c("c_sleep_sd")).cast("string"), F.lit(" min sleep")))
-    rhr_text = F.when(c("c_rhr_sd").isNull(), "RHR unknown").otherwise(F.concat(X.fixed(c("c_rhr_sd"), 1), F.lit(" bpm RHR")))
+    rhr_text = F.when(c("c_rhr_sd").isNull(), "RHR unknown").otherwise(F.concat(_fixed(c("c_rhr_sd"), 1), F.lit(" bpm RHR")))
     found = _evidence(
         ("Consistency score", X.half_up(c("c_score")), "num"),
         ("Training rhythm", F.concat(c("c_n").cast("string"), F.lit(" workouts, "), X.half_up(c("c_minutes")).cast("string"), F.lit(" min")), "text"),
@@ -323,10 +336,10 @@ def run_economy(t, r: DateRange) -> DataFrame:
     )
     action = F.when(c("state") == "insufficient data", "retest").when(c("state") == "mechanics", "watch").otherwise("maintain")
     found = _evidence(
-        ("Speed per watt", X.signed(c("c_per_watt") - c("b_per_watt"), 4), "text"),
-        ("Speed per bpm", X.signed(c("c_per_bpm") - c("b_per_bpm"), 4), "text"),
-        ("Mechanics penalty", F.round("c_penalty", 1), "num"),
-        ("Output", F.concat(X.fixed(c("c_avg_power"), 1), F.lit(" W")), "text"),
+        ("Speed per watt", _signed(c("c_per_watt") - c("b_per_watt"), 4), "text"),
+        ("Speed per bpm", _signed(c("c_per_bpm") - c("b_per_bpm"), 4), "text"),
+        ("Mechanics penalty", X.fixed_number(_settled(c("c_penalty")), 1), "num"),
+        ("Output", F.concat(_fixed(c("c_avg_power"), 1), F.lit(" W")), "text"),
     )
     return _result(df, state, action, c("quality"), F.when(c("quality") == "poor", "worth_watching").otherwise("suggests"), found, "c_penalty", "b_penalty")
 
@@ -361,9 +374,9 @@ def run_fatigue_flags(t, r: DateRange | None = None) -> DataFrame:
         .when(flagged, "under_recovered")
         .otherwise("clean_aerobic")
     )
-    percent = lambda name: F.concat(X.fixed(c(name), 1), F.lit("%"))
+    percent = lambda name: F.concat(_fixed(c(name), 1), F.lit("%"))
     fades = F.concat_ws(", ", F.concat(F.lit("speed "), percent("speed_fade_pct")), F.concat(F.lit("power "), percent("power_fade_pct")))
-    named = lambda a, name, unit: F.concat(F.lit(name + " "), F.coalesce(X.signed(c(a) - c(a + "0"), 1, unit), F.lit("unknown")))
+    named = lambda a, name, unit: F.concat(F.lit(name + " "), F.coalesce(_signed(c(a) - c(a + "0"), 1, unit), F.lit("unknown")))
     before = F.when(c("rhr").isNull() & c("hrv").isNull(), "unknown").otherwise(F.concat_ws(", ", named("rhr", "RHR", " bpm"), named("hrv", "HRV", " ms")))
     found = _evidence(("HR drift", percent("drift_pct"), "text"), ("Decoupling", percent("decoupling_pct"), "text"), ("Pace/power fade", F.when(fades != "", fades), "text"), ("Pre-run recovery", before, "text"))
     df = df.withColumn("diagnosis", diagnosis)

@@ -88,7 +88,11 @@ def _score(t: str) -> str:
 
 
 def _fixed(x: str, digits: int, unit: str = "") -> str:
-    return f"(printf('%.{digits}f', round(round(({x})::DOUBLE, 9), {digits})) || '{unit}')"
+    """Nine places, then exact rounding; printf rounds real ties to even, so these are moved up a little first."""
+    x = f"round(({x})::DOUBLE, 9)"
+    size = f"abs({x})"
+    tie = f"regexp_matches(printf('%.60f', {size}), '[.][0-9]{{{digits}}}50*$')"
+    return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || printf('%.{digits}f', {size} * CASE WHEN {tie} THEN 1.000000000000001::DOUBLE ELSE 1::DOUBLE END) || '{unit}')"
 
 
 def _signed(x: str, digits: int, unit: str = "") -> str:
@@ -258,7 +262,7 @@ def oracle_sql() -> dict[str, str]:
             _strain(),
             f""", s AS (SELECT *, CASE WHEN {_trend('rhr', 'rhr0', False)} = 'declining' THEN 1 ELSE 0 END + CASE WHEN {_trend('hrv', 'hrv0')} = 'declining' THEN 1 ELSE 0 END AS penalty FROM i),
             q AS (SELECT *, CASE WHEN load_ratio IS NULL THEN 'unclear' WHEN load_ratio > 1.3 OR penalty >= 2 OR (load_ratio > 1.1 AND penalty >= 1) THEN 'excessive' WHEN load_ratio >= 0.8 AND penalty = 0 THEN 'productive' ELSE 'moderate' END AS state FROM s),
-            r AS (SELECT 'suggests' AS claim_strength, {_evidence(**{'Acute:chronic_load': 'n:round(load_ratio, 2)', 'Recovery_penalty': 'n:penalty', 'Resting_HR': _signed('rhr - rhr0', 1, ' bpm'), 'HRV': _signed('hrv - hrv0', 1, ' ms')})},
+            r AS (SELECT 'suggests' AS claim_strength, {_evidence(**{'Acute:chronic_load': 'n:' + _fixed('load_ratio', 2), 'Recovery_penalty': 'n:penalty', 'Resting_HR': _signed('rhr - rhr0', 1, ' bpm'), 'HRV': _signed('hrv - hrv0', 1, ' ms')})},
               state, penalty, round(load_ratio, 6) AS load_ratio, CASE state WHEN 'productive' THEN 'push' WHEN 'excessive' THEN 'reduce_intensity' ELSE 'maintain' END AS action_kind,
               CASE WHEN load_ratio IS NULL THEN 'poor' WHEN rhr IS NULL OR rhr0 IS NULL OR hrv IS NULL OR hrv0 IS NULL THEN 'mixed' ELSE 'high' END AS sample_quality FROM q)""",
             "state, action_kind, sample_quality, penalty, load_ratio",
@@ -271,7 +275,7 @@ def oracle_sql() -> dict[str, str]:
             q AS (SELECT *, CASE WHEN poor THEN 'needs more data' WHEN score >= 7 AND n >= 2 THEN 'accumulating' WHEN score >= 3 AND n <= 1 THEN 'short-term dip' WHEN score >= 3 THEN 'moderate' ELSE 'low' END AS state FROM s),
             m AS (SELECT *, CASE WHEN rhr - rhr0 IS NOT NULL OR hrv - hrv0 IS NOT NULL THEN coalesce('RHR ' || {_signed('rhr - rhr0', 1, ' bpm')}, 'RHR unknown') || ', ' || coalesce('HRV ' || {_signed('hrv - hrv0', 1, ' ms')}, 'HRV unknown') END AS markers FROM q),
             r AS (SELECT CASE WHEN poor THEN 'worth_watching' ELSE 'suggests' END AS claim_strength, CASE WHEN poor THEN 'Sleep_deficit=none; Recovery_markers=none; Training_load=none'
-                ELSE {_evidence(Debt_score='n:round(score, 1)', Sleep_deficit=_fixed('d', 1, ' h'), Recovery_markers='markers', Training_load='n:round(load_ratio, 2)').removesuffix(' AS evidence')} END AS evidence,
+                ELSE {_evidence(Debt_score='n:' + _fixed('score', 1), Sleep_deficit=_fixed('d', 1, ' h'), Recovery_markers='markers', Training_load='n:' + _fixed('load_ratio', 2)).removesuffix(' AS evidence')} END AS evidence,
               state, round(score, 6) AS debt_score, n AS fatigue_signals, CASE state WHEN 'needs more data' THEN 'retest' WHEN 'accumulating' THEN 'reduce_intensity' WHEN 'short-term dip' THEN 'add_sleep' WHEN 'moderate' THEN 'run_easier' ELSE 'maintain' END AS action_kind,
               CASE WHEN poor THEN 'poor' WHEN rhr0 IS NULL OR hrv0 IS NULL OR (acute IS NULL AND chronic IS NULL) THEN 'mixed' ELSE 'high' END AS sample_quality FROM m)""",
             "state, action_kind, sample_quality, debt_score, fatigue_signals",
@@ -298,7 +302,7 @@ def oracle_sql() -> dict[str, str]:
         "load_quality": _composite(
             {"lr": f"{_total('cur')} / ({_total('chronic')} / 4)", "z": _z2("cur"), "d": _runs("decoupling_pct", "decouplings", "cur"), "n": _runs("id", "paces", "cur", "count")},
             f""", q AS (SELECT *, CASE WHEN lr IS NULL OR z IS NULL THEN 'unclear' WHEN lr > 1.3 OR (z < 0.45 AND coalesce(d >= 6, FALSE)) THEN 'high-strain low-quality' WHEN z < 0.45 THEN 'junk intensity' WHEN z >= 0.6 AND coalesce(d < 6, TRUE) THEN 'productive aerobic' ELSE 'mixed' END AS state FROM i),
-            r AS (SELECT 'suggests' AS claim_strength, {_evidence(**{'Acute:chronic_load': 'n:round(lr, 2)'}, Z2_share=_whole('z * 100', '%'), Decoupling=_fixed('d', 1, '%'), Run_consistency='n:n')}, state, round(lr, 6) AS load_ratio, round(z, 6) AS z2_ratio, round(d, 6) AS cur_decoupling, CASE state WHEN 'productive aerobic' THEN 'maintain' WHEN 'junk intensity' THEN 'run_easier' WHEN 'high-strain low-quality' THEN 'reduce_intensity' ELSE 'watch' END AS action_kind,
+            r AS (SELECT 'suggests' AS claim_strength, {_evidence(**{'Acute:chronic_load': 'n:' + _fixed('lr', 2)}, Z2_share=_whole('z * 100', '%'), Decoupling=_fixed('d', 1, '%'), Run_consistency='n:n')}, state, round(lr, 6) AS load_ratio, round(z, 6) AS z2_ratio, round(d, 6) AS cur_decoupling, CASE state WHEN 'productive aerobic' THEN 'maintain' WHEN 'junk intensity' THEN 'run_easier' WHEN 'high-strain low-quality' THEN 'reduce_intensity' ELSE 'watch' END AS action_kind,
               CASE WHEN lr IS NULL OR z IS NULL OR n = 0 THEN 'poor' WHEN d IS NULL OR n < 2 THEN 'mixed' ELSE 'high' END AS sample_quality FROM q)""",
             "state, action_kind, sample_quality, load_ratio, z2_ratio, cur_decoupling",
         ),
@@ -327,7 +331,7 @@ def oracle_sql() -> dict[str, str]:
             q AS (SELECT *, CASE WHEN sample_quality = 'poor' THEN 'insufficient data' WHEN tm = 'declining' OR m - m0 >= 1 THEN 'mechanics' WHEN ta = 'improving' AND tb = 'improving' THEN 'fitness'
               WHEN ta = 'declining' AND tb <> 'improving' THEN 'output' ELSE 'mixed economy' END AS state FROM k),
             r AS (SELECT CASE WHEN sample_quality = 'poor' THEN 'worth_watching' ELSE 'suggests' END AS claim_strength,
-              {_evidence(Speed_per_watt=_signed('a - a0', 4), Speed_per_bpm=_signed('b - b0', 4), Mechanics_penalty='n:round(m, 1)', Output=_fixed('w', 1, ' W'))}, state, sample_quality, round(m, 6) AS c_penalty, round(m0, 6) AS b_penalty, CASE state WHEN 'insufficient data' THEN 'retest' WHEN 'mechanics' THEN 'watch' ELSE 'maintain' END AS action_kind FROM q)""",
+              {_evidence(Speed_per_watt=_signed('a - a0', 4), Speed_per_bpm=_signed('b - b0', 4), Mechanics_penalty='n:' + _fixed('m', 1), Output=_fixed('w', 1, ' W'))}, state, sample_quality, round(m, 6) AS c_penalty, round(m0, 6) AS b_penalty, CASE state WHEN 'insufficient data' THEN 'retest' WHEN 'mechanics' THEN 'watch' ELSE 'maintain' END AS action_kind FROM q)""",
             "state, action_kind, sample_quality, c_penalty, b_penalty",
         ),
         "run_fatigue_flags": _with(
