@@ -1,8 +1,8 @@
-"""Interval and nearest joins as equi-joins on time buckets.
+"""Interval and nearest joins as equi-joins and windows on stretches of time.
 
-A plain range condition makes Spark compare every pair of rows. Here each interval is listed under the buckets that it
-touches and each point has one bucket, so the join shuffles on the bucket and the exact condition filters what
-meets; no pair appears twice.
+A plain range condition makes Spark compare every pair of rows. Here an interval is listed under the buckets of time that it
+touches and a point has one bucket, so the join shuffles on the bucket and the exact condition filters what
+meets; no pair appears twice. The nearest join needs no pairs at all: both sides are merged in order of time.
 """
 
 from __future__ import annotations
@@ -12,29 +12,94 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.exprs import epoch
 
+#: Bucket sizes in seconds: an hour, a day, thirty days.
+SIZES = (3600, 86_400, 2_592_000)
+#: An interval is listed under the smallest size of which it touches about this many buckets at most.
+LISTED = 8
+#: Points of one bucket are dealt over so many parts, and intervals listed in each of them.
+SALTS = 8
+STRETCH = 3600
 
-def _bucket(c: str | Column, seconds: int) -> Column:
+
+def _bucket(c: str | Column, seconds: int | Column) -> Column:
     return F.floor(epoch(c) / seconds)
 
 
-def interval_join(intervals: DataFrame, points: DataFrame, start: str = "start_ts", end: str = "end_ts", ts: str = "ts", seconds: int = 3600) -> DataFrame:
+def _no_clash(left: DataFrame, right: DataFrame, *, but: tuple[str, ...] = ()) -> None:
+    clash = set(left.columns) & set(right.columns) - set(but)
+    if clash:
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
+
+
+def listed_intervals(intervals: DataFrame, start: str, end: str, sizes: tuple[int, ...], salts: int) -> DataFrame:
+    """Each interval with its bucket size, once for each bucket that it touches and each part of it."""
+    length = epoch(end) - epoch(start)
+    size = F.lit(sizes[-1])
+    for s in reversed(sizes[:-1]):
+        size = F.when(length <= s * (LISTED - 1), s).otherwise(size)
+    sized = intervals.filter(F.col(start) <= F.col(end)).withColumn("_size", size.cast("long"))
+    buckets = F.explode(F.sequence(_bucket(start, F.col("_size")), _bucket(end, F.col("_size"))))
+    every = sized.withColumn("_bucket", buckets)
+    return every.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))) if salts > 1 else every.withColumn("_salt", F.lit(0))
+
+
+def dealt_points(points: DataFrame, ts: str, sizes: Column, salts: int) -> DataFrame:
+    """Each point once for each bucket size, in its bucket and, by a hash of the row, in one part of it."""
+    salt = F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int") if salts > 1 else F.lit(0)
+    return points.withColumn("_salt", salt).withColumn("_size", F.explode(sizes)).withColumn("_bucket", _bucket(ts, F.col("_size")))
+
+
+def interval_join(
+    intervals: DataFrame, points: DataFrame, start: str = "start_ts", end: str = "end_ts", ts: str = "ts", sizes: tuple[int, ...] = SIZES, salts: int = SALTS
+) -> DataFrame:
     """Pairs of an interval and a point inside it, both ends included.
 
-    Choose ``seconds`` near the usual length of intervals: longer ones are listed under several buckets.
+    Short and long intervals lie in buckets of different sizes. Points are listed only for sizes that some interval has: with several
+    ``sizes`` these come from an aggregate of the intervals, one row that is broadcast to the points within the same plan. However many points fall into
+    one bucket, a task gets about one in ``salts`` of them; intervals, the fewer rows, are listed in every part.
     """
-    listed = intervals.filter(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(F.sequence(_bucket(start, seconds), _bucket(end, seconds))))
-    dealt = points.withColumn("_bucket", _bucket(ts, seconds))
-    clash = set(intervals.columns) & set(points.columns)
-    if clash:
-        raise ValueError(f"columns on both sides: {sorted(clash)}")
-    return listed.join(dealt, "_bucket").filter(F.col(ts).between(F.col(start), F.col(end))).drop("_bucket")
+    _no_clash(intervals, points)
+    listed = listed_intervals(intervals, start, end, sizes, salts)
+    if len(sizes) == 1:
+        dealt = dealt_points(points, ts, F.array(F.lit(sizes[0]).cast("long")), salts)
+    else:
+        used = listed_intervals(intervals.select(start, end), start, end, sizes, 1).agg(F.collect_set("_size").alias("_sizes"))  # no more than there are sizes
+        dealt = dealt_points(points.crossJoin(F.broadcast(used)), ts, F.col("_sizes"), salts).drop("_sizes")
+    inside = F.col(ts).between(F.col(start), F.col(end))
+    return listed.join(dealt, ["_size", "_bucket", "_salt"]).filter(inside).drop("_size", "_bucket", "_salt")
+
+
+def neighbours(left: DataFrame, right: DataFrame, by: list[str], ts: str, other_ts: str, tolerance: int, stretch: int = STRETCH) -> DataFrame:
+    """Each left row with ``_before`` and ``_after``: the last right row up to its time and the first from it on, as structs that begin with their time.
+
+    Both sides are one table, dealt by ``by`` and stretches of time, and merged in order of time from both ends: nothing is paired, and a row is
+    shuffled once. A left row lies in its stretch, a right row also in a neighbouring one that its tolerance reaches into; rows beyond the
+    tolerance may be missing. Of right rows at the same moment the one with the greatest other columns comes before, with the least after.
+    """
+    _no_clash(left, right, but=tuple(by))
+    own = [c for c in left.columns if c not in by]
+    other = [other_ts, *[c for c in right.columns if c not in by and c != other_ts]]
+    none = lambda df, names: F.lit(None).cast(df.select(F.struct(*names)).schema[0].dataType).alias
+    step = lambda c, shift=0: F.floor((epoch(c) + shift) / stretch)
+    here = left.select(*by, step(ts).alias("_stretch"), epoch(ts).alias("_at"), F.struct(*own).alias("_left"), none(right, other)("_right"))
+    reached = F.explode(F.sequence(step(other_ts, -tolerance), step(other_ts, tolerance))).alias("_stretch")
+    there = right.select(*by, reached, epoch(other_ts).alias("_at"), none(left, own)("_left"), F.struct(*other).alias("_right"))
+    order = Window.partitionBy(*by, "_stretch")
+    both = here.unionByName(there)
+    both = both.withColumn("_before", F.max("_right").over(order.orderBy("_at"))).withColumn("_after", F.min("_right").over(order.orderBy(F.desc("_at"))))
+    return both.filter("_left is not null").select(*by, *[F.col(f"_left.{c}") for c in own], "_before", "_after")
+
+
+def nearer(ts: str, other_ts: str, tolerance: int, before: Column, after: Column) -> Column:
+    """Of two neighbours the one within the tolerance that is nearer, the earlier on ties; null if there is none."""
+    gap = lambda c: F.abs(epoch(c[other_ts]) - epoch(ts))
+    near = F.when(gap(before) <= F.coalesce(gap(after), F.lit(float("inf"))), before).otherwise(after)
+    return F.when(gap(near) <= tolerance, near)
 
 
-def nearest_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, other_ts: str, tolerance: int, keys: list[str]) -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, other_ts: str, tolerance: int, keys: list[str], stretch: int = STRETCH) -> DataFrame:
     """For each distinct ``keys`` of the left side the nearest right row within ``tolerance`` seconds, the earlier on ties."""
-    reach = left.withColumn("_bucket", F.explode(F.sequence(_bucket(ts, tolerance) - 1, _bucket(ts, tolerance) + 1)))
-    dealt = right.withColumn("_bucket", _bucket(other_ts, tolerance))
-    gap = F.abs(epoch(other_ts) - epoch(ts))
-    near = reach.join(dealt, [*by, "_bucket"]).withColumn("_gap", gap).filter(F.col("_gap") <= tolerance)
-    order = Window.partitionBy(*keys).orderBy("_gap", other_ts)
-    return near.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_bucket", "_gap", "_rank")
+    names = [other_ts, *[c for c in right.columns if c not in by and c != other_ts]]
+    found = neighbours(left.dropDuplicates(keys), right, by, ts, other_ts, tolerance, stretch)
+    found = found.withColumn("_near", nearer(ts, other_ts, tolerance, F.col("_before"), F.col("_after"))).filter("_near is not null")
+    return found.select(*left.columns, *[F.col(f"_near.{c}") for c in names])

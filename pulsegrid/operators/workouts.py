@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.exprs import ZONES, epoch, in_zone, ratio, within, zone_of
-from pulsegrid.operators.joins import interval_join, nearest_join
+from pulsegrid.operators.joins import interval_join, nearer, neighbours
 
 # Fixed values.
 ALIGN_SECONDS = 60
@@ -15,6 +15,11 @@ WINDOW_SECONDS = 3600
 MIN_WINDOW_SECONDS = 2700
 ZONE_CAP_SECONDS = 120
 
+#: Workouts last minutes to hours, so that buckets of an hour do for them.
+HOURS = (3600,)
+#: Samples are merged in stretches of ten minutes, so that a crowded hour is several tasks.
+ALIGN_STRETCH = 600
+
 
 def listed(t, r=None, type: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Workouts, newest first."""
@@ -34,7 +39,7 @@ def _spans(workouts: DataFrame) -> DataFrame:
 def heart_rate_of(t, workouts: DataFrame | None = None) -> DataFrame:
     """id, ts, bpm, source of samples inside each workout."""
     spans = (t.workouts if workouts is None else workouts).select("id", "start_ts", "end_ts")
-    return interval_join(spans, t.heart_rate).select("id", "start_ts", "end_ts", "ts", "bpm", "source")
+    return interval_join(spans, t.heart_rate, sizes=HOURS).select("id", "start_ts", "end_ts", "ts", "bpm", "source")
 
 
 def hr_stream(t, workouts=None) -> DataFrame:
@@ -76,7 +81,7 @@ def drift(t, workouts=None) -> DataFrame:
 
 def performance_of(t, workouts=None) -> DataFrame:
     spans = (t.workouts if workouts is None else workouts).select("id", "start_ts", "end_ts")
-    return interval_join(spans, t.performance)
+    return interval_join(spans, t.performance, sizes=HOURS)
 
 
 def fade(t, workouts=None) -> DataFrame:
@@ -117,11 +122,19 @@ def zone_time(t, r=None) -> DataFrame:
 
 
 def aligned(t, workouts=None) -> DataFrame:
-    """Speed samples with the nearest heart rate of the same workout; equal samples count once."""
+    """Speed samples with the nearest heart rate of the same workout; equal samples count once.
+
+    Every speed sample meets its two neighbours in time once, whatever the number of workouts around it: the last heartbeat before it is the last
+    within a workout too, unless it lies before the workout's start, and likewise the next one.
+    """
     spans = _spans(t.workouts if workouts is None else workouts)
-    speeds = interval_join(spans, t.performance.filter("speed is not null").select("ts", "speed"))
-    hr = heart_rate_of(t, spans).select("id", F.col("ts").alias("hr_ts"), "bpm")
-    return nearest_join(speeds, hr, ["id"], "ts", "hr_ts", ALIGN_SECONDS, ["id", "ts", "speed"])
+    beats = t.heart_rate.select(F.col("ts").alias("hr_ts"), "bpm")
+    speeds = t.performance.filter("speed is not null").select("ts", "speed").distinct()
+    inside = interval_join(spans, neighbours(speeds, beats, [], "ts", "hr_ts", ALIGN_SECONDS, ALIGN_STRETCH), sizes=HOURS)
+    before, after = F.col("_before"), F.col("_after")
+    near = nearer("ts", "hr_ts", ALIGN_SECONDS, F.when(before["hr_ts"] >= F.col("start_ts"), before), F.when(after["hr_ts"] <= F.col("end_ts"), after))
+    found = inside.withColumn("_near", near).filter("_near is not null")
+    return found.select(*spans.columns, "ts", "speed", "_near.hr_ts", "_near.bpm")
 
 
 def _pace_sums(low: float, high: float) -> list[Column]:
