@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.schemas import TABLES
+from pulsegrid.sources import files
 from pulsegrid.sources import mappers as M
 
 QUANTITY, CATEGORY = "HKQuantityTypeIdentifier", "HKCategoryTypeIdentifier"
@@ -68,7 +69,10 @@ def cleaned(raw: DataFrame) -> DataFrame:
 
 def workouts(spark: SparkSession, path: str) -> DataFrame:
     """Workouts with a proper type and not typed in by hand, with their children as arrays."""
-    raw = _read(spark, path, "Workout", WORKOUT)
+    return cleaned_workouts(_read(spark, path, "Workout", WORKOUT))
+
+
+def cleaned_workouts(raw: DataFrame) -> DataFrame:
     kind = F.col("_workoutActivityType")
     found = raw.filter(kind.startswith(M.WORKOUT_PREFIX) & (F.length(kind) > len(M.WORKOUT_PREFIX)) & ~_manual()).select(
         kind.alias("type"),
@@ -77,7 +81,7 @@ def workouts(spark: SparkSession, path: str) -> DataFrame:
         "_durationUnit",
         M.moment(F.col("_startDate")).alias("start_ts"),
         M.moment(F.col("_endDate")).alias("end_ts"),
-        F.monotonically_increasing_id().alias("place"),
+        (F.lit(0).cast("long") if raw.isStreaming else F.monotonically_increasing_id()).alias("place"),
         "MetadataEntry",
         "WorkoutStatistics",
         "WorkoutEvent",
@@ -168,21 +172,64 @@ def all_rows(spark: SparkSession, path: str, staged=lambda name, df: df) -> dict
     return record_rows(staged("records", records(spark, path))) | workout_rows(staged("workouts", workouts(spark, path)))
 
 
-def crop(spark: SparkSession, path: str, cutoff, out: str) -> dict[str, int]:
-    """Write supported nodes that end at the cutoff or later, and count what was seen, kept and left out."""
-    total = {"seen": 0, "kept": 0, "old": 0, "unsupported": 0, "manual": 0}
+#: Attributes and children that a cropped export keeps beside those that are read.
+KEPT_RECORD = RECORD + ", _sourceVersion string, _device string, _creationDate string, HeartRateVariabilityMetadataList struct<InstantaneousBeatsPerMinute:array<struct<_bpm:string,_time:string>>>"
+KEPT_WORKOUT = WORKOUT + ", _sourceVersion string, _device string, _creationDate string, _totalDistance string, _totalDistanceUnit string, _totalEnergyBurned string, _totalEnergyBurnedUnit string"
+LOCALE = "en_GB"
+
+
+def _fates(rows: DataFrame, supported: Column, manual: Column, cutoff) -> DataFrame:
+    """``fate`` of each node: kept, old, unsupported or manual."""
+    dated = F.col("_endDate").isNotNull()
+    fate = F.when(~F.coalesce(supported & dated, F.lit(False)), "unsupported").when(manual, "manual")
+    if cutoff is None:
+        return rows.withColumn("fate", F.coalesce(fate, F.lit("kept")))
+    late = F.when(fate.isNull(), M.moment(F.col("_endDate")) >= F.lit(cutoff).cast("timestamp_ntz"))
+    return rows.withColumn("fate", F.coalesce(fate, F.when(late, "kept").otherwise("old")))
+
+
+def _nodes(spark: SparkSession, path: str, cutoff) -> dict[str, DataFrame]:
     known = [QUANTITY + t for t in TYPES] + [CATEGORY + "SleepAnalysis"]
     kind = F.col("_workoutActivityType")
-    for tag, schema, supported, manual in (
-        ("Record", RECORD, F.col("_type").isin(known), _manual()),
-        ("Workout", WORKOUT, kind.startswith(M.WORKOUT_PREFIX) & (F.length(kind) > len(M.WORKOUT_PREFIX)), F.lit(False)),
-    ):
-        rows = _read(spark, path, tag, schema).withColumn("fate", F.when(~F.coalesce(supported, F.lit(False)), "unsupported").when(manual, "manual"))
-        late = F.when(F.col("fate").isNull(), M.moment(F.col("_endDate")) >= F.lit(cutoff).cast("timestamp_ntz"))
-        rows = rows.withColumn("fate", F.coalesce("fate", F.when(late, "kept").otherwise("old")))
-        counts = rows.agg(*[F.count_if(F.col("fate") == f).alias(f) for f in ("kept", "old", "unsupported", "manual")]).first()
-        for f in ("kept", "old", "unsupported", "manual"):
+    named = kind.startswith(M.WORKOUT_PREFIX) & (F.length(kind) > len(M.WORKOUT_PREFIX))
+    return {
+        "Record": _fates(_read(spark, path, "Record", KEPT_RECORD), F.col("_type").isin(known), _manual(), cutoff),
+        "Workout": _fates(_read(spark, path, "Workout", KEPT_WORKOUT), named, F.lit(False), cutoff),
+    }
+
+
+def crop(spark: SparkSession, path: str, cutoff, out: str) -> dict[str, int]:
+    """Write one export of the supported nodes that end at the cutoff or later (all for None), and count what was seen, kept and left out.
+
+    The export's locale, date and person stay. Its lines are rows ordered by section and place, written in parts by all tasks: a header, what stood
+    before the nodes, the records, the workouts, the end of the root. The parts in a row are the document; they become one file, ``out``.
+    A node that never ends raises.
+    """
+    nodes = _nodes(spark, path, cutoff)
+    fates = ("kept", "old", "unsupported", "manual")
+    total = dict.fromkeys(("seen", *fates), 0)
+    seen = {}
+    for tag, rows in nodes.items():
+        counts = rows.agg(*[F.count_if(F.col("fate") == f).alias(f) for f in fates]).first()
+        seen[tag] = sum(counts)
+        for f in fates:
             total[f] += counts[f]
-            total["seen"] += counts[f]
-        rows.filter("fate = 'kept'").drop("fate").write.format("xml").option("rootTag", "HealthData").option("rowTag", tag).mode("overwrite").save(f"{out}/{tag}")
+        total["seen"] += seen[tag]
+    source = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("place"))
+    opened = lambda tag: F.sum(F.size(F.split("value", f"<{tag}[ >]")) - 1).alias(tag)
+    found = source.agg(opened("Record"), opened("Workout"), F.min(F.when(F.col("value").contains("<HealthData"), F.regexp_extract("value", r'\blocale="([^"]+)"', 1))).alias("locale")).first()
+    for tag in nodes:
+        if (found[tag] or 0) > seen[tag]:
+            raise ValueError(f"a {tag} of {path} never ends")
+    line = lambda section, text: spark.range(1).select(F.lit(section).alias("section"), F.lit(0).cast("long").alias("place"), F.lit(text).alias("value"))
+    before = source.filter(F.ltrim("value").rlike("^<(ExportDate|Me) ")).select(F.lit(1).alias("section"), "place", "value")
+    lines = line(0, f'<?xml version="1.0" encoding="UTF-8"?>\n<HealthData locale="{found["locale"] or LOCALE}">').unionByName(before)
+    for section, (tag, rows) in enumerate(nodes.items(), 2):
+        kept = rows.withColumn("place", F.monotonically_increasing_id()).filter("fate = 'kept'")
+        text = F.to_xml(F.struct(*[c for c in kept.columns if c not in ("fate", "place")]), {"rowTag": tag})
+        lines = lines.unionByName(kept.select(F.lit(section).alias("section"), "place", text.alias("value")))
+    parts = f"{out}__parts"
+    lines.unionByName(line(9, "</HealthData>")).orderBy("section", "place").select("value").write.mode("overwrite").text(parts)
+    files.joined(spark, parts, out)
+    files.delete(spark, parts)
     return total
