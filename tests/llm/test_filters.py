@@ -1,7 +1,10 @@
 """Quality rules, license scan, URL filters, WARC archives and the pipeline."""
 
 import hashlib
+import math
+import random
 import re
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -41,14 +44,93 @@ def test_rare_labels_have_a_reference(spark):
     rare = [(2000 + i, "кот сидел на ковре и день был хорош для всех " * 20 + " ".join(f"д{i}о{k}м" for k in range(200)), "ru") for i in range(5)]
     clean = [(i, "The cat sat on the mat and it was a good day for all of them. " * 2 + prose(i, 40), "en") for i in range(60)]
     common = spark.createDataFrame(clean + rare, "doc_id long, text string, lang string")
-    counted = quality_rules.features(common)
-    refs = quality_rules.references(counted)
-    assert set(refs) == {"en", "ru"} and all(abs(sum(x) - 1) < 1e-9 for r in refs.values() for x in r)
+    known = quality_rules.vocabularies(common)
+    assert {"кот", "сидел", "всех"} <= set(known["ru"]) and all(len(w) <= quality_rules.COMMON for w in known.values())
+    counted = quality_rules.features(common, sorted({w for words in known.values() for w in words}))
+    refs = quality_rules.references(counted, known)
+    assert set(refs) == {"en", "ru"} and all(abs(sum(x) - 1) < 1e-9 for chars, _, words in refs.values() for x in (chars, words))
     alone = {r.doc_id: r for r in quality_rules.quality_rules(common.filter("lang = 'ru'")).collect()}
     beside = {r.doc_id: r for r in quality_rules.quality_rules(common).collect()}
     assert {i for i, r in beside.items() if r.kept} >= {i for i, r in alone.items() if r.kept}
 
 
+def brute_verdicts(rows):
+    """kept and both distances of (doc_id, text, lang) rows, from the definitions."""
+    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    failed = {i: brute_counts(t)[5] for i, t, _ in rows}
+    labels = sorted({x for *_, x in rows if x is not None})
+    own = {}
+    for label in labels:
+        first = sorted(zlib.crc32(str(i).encode()) for i, _, x in rows if x == label)[: quality_rules.SAMPLE]
+        count = Counter(w.lower() for i, t, x in rows if x == label and not failed[i] and zlib.crc32(str(i).encode()) <= first[-1] for w in tokens(t) if w.isalpha())
+        own[label] = [w for w, _ in sorted(count.items(), key=lambda kv: (-kv[1], kv[0]))[: quality_rules.COMMON]]
+    words = lambda t, known: [sum(x in (w, w[:1].upper() + w[1:], w.upper()) for x in tokens(t)) for w in known]
+
+    def characters(t):
+        kinds = [sum(c.isupper() for c in t), sum(c.isdecimal() for c in t), *[sum(c in k for c in t) for k in (".,;:'\"()-", "!?", "#*$%&|<>", " \t\n\x0b\x0c\r")]]
+        return [*kinds, len(t) - sum(kinds)]
+
+    def distance(counts, q):
+        p = [x / sum(counts) for x in counts]
+        part = lambda a, m: a * math.log2(a / m) if a else 0.0
+        return math.sqrt(max(0.0, sum(part(x, (x + y) / 2) + part(y, (x + y) / 2) for x, y in zip(p, q)) / 2))
+
+    shares = lambda x: [v / sum(x) for v in x]
+    refs = {}
+    passing = [(t, x) for i, t, x in rows if x is not None and not failed[i]]
+    for label in labels:
+        full = lambda texts: [*(c := [sum(v) for v in zip(*[words(t, own[label]) for t in texts])]), sum(len(tokens(t)) for t in texts) - sum(c)]  # noqa: E731, B023
+        mine, every = [t for t, x in passing if x == label], [t for t, _ in passing]
+        if mine:
+            mix = lambda a, b: [len(mine) / (len(mine) + 1) * x + y / (len(mine) + 1) for x, y in zip(shares(a), shares(b))]  # noqa: E731, B023
+            chars = lambda texts: [sum(v) for v in zip(*map(characters, texts))]
+            refs[label] = mix(chars(mine), chars(every)), mix(full(mine), full(every))
+    out = {}
+    for i, t, x in rows:
+        best, n = None, len(tokens(t))
+        limit = quality_rules.WORD_LIMIT + quality_rules.WORD_NOISE / math.sqrt(max(1, n))
+        for label, (c, w) in refs.items():
+            if n and (distance([0] * (len(w) - 1) + [1], w) > limit or label == x):
+                counts = words(t, own[label])
+                found = (distance(characters(t), c), distance([*counts, n - sum(counts)], w))
+                worst = max(found[0] / (quality_rules.CHAR_LIMIT + quality_rules.CHAR_NOISE / math.sqrt(max(1, len(t)))), found[1] / limit)
+                best = min(best or (9, label, found), (worst, label, found))
+        out[i] = (not failed[i] and best is not None and best[0] <= 1, *(best[2] if best else (None, None)))
+    return out
+
+
+def labelled(n=40):
+    rng = random.Random(2)
+    common = {"en": "the of and to in is for".split(), "xx": "zum der eine bei nach".split()}
+    rows = []
+    for i in range(n):
+        lang = ["en", "en", "xx", None][i % 4]
+        text = [w for k in range(rng.randint(30, 200)) for w in (rng.choice(common[lang or "en"]).capitalize() if k % 9 == 0 else rng.choice(common[lang or "en"]), prose(1000 * i + k, 1) + ("." if k % 7 == 0 else ""))]
+        rows.append((i, " ".join(text), lang))
+    return rows + [(900 + i, prose(i, 300), None) for i in range(8)] + [(950, "AB#1 " * 80, "en"), (951, None, "en"), (952, "", None)]
+
+
+def test_verdicts_equal_brute_force(spark):
+    rows = labelled()
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for i, (kept, chars, words_) in brute_verdicts(rows).items():
+        assert got[i].kept == kept, i
+        if kept:
+            assert (got[i].char_distance, got[i].word_distance) == (pytest.approx(chars, abs=2e-6), pytest.approx(words_, abs=2e-6))
+    assert not any(got[900 + i].kept for i in range(8)) and sum(r.kept for r in got.values()) > 30
+
+
+def test_a_further_label_changes_no_verdict(spark):
+    """Texts of one more label, be they all of different words, let nothing through that was rejected and reject nothing that was kept."""
+    schema = "doc_id long, text string, lang string"
+    rows = labelled()
+    alone = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, schema)).collect()}
+    for kind in (lambda i: prose(5000 + i, 300), lambda i: "кот и дом на горе " * 20 + prose(6000 + i, 200)):
+        more = rows + [(2000 + i, kind(i), "ru") for i in range(25)]
+        beside = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(more, schema)).collect()}
+        assert {i: beside[i] for i in alone} == alone
+
+
 def test_license_places(docs):
     rows = sample() + [(600, "All rights RESERVED. x all rights\nreserved"), (601, "Licensed under CC BY-NC 4.0."), (602, "GNU General Public License"), (603, prose(1, 30) + "\nReleased under the MIT License.\n" + prose(2, 30))]
     got = {r.doc_id: r for r in license_scan.license_scan(docs(rows)).collect()}
