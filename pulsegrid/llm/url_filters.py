@@ -5,7 +5,9 @@ FP-growth. Rules that lead to the sign are kept when support, confidence and lif
 fewer words is as sure. They match by an inverted index: each rule is filed under its rarest word, and a
 URL that holds this word is tested for the rest. Rules are bounded by the support, whatever the number of pages.
 Words that stand on the same labelled pages throughout are mined as one, since each of their sets would be an itemset;
-in a rule each of them stands for all, as the rules of one word alone are as sure as those of several.
+in a rule each of them stands for all, as the rules of one word alone are as sure as those of several. Words that stand on unwanted pages only are
+rules by themselves, of confidence 1: no rule of more words is surer, so they leave the baskets before sets are mined, and
+unwanted pages that share many words make no sets of these.
 
 Everything is DataFrame, SQL or Spark ML; no Python runs on the executors. A null URL or one without ``://`` has an
 empty host and path and no words; null labels are ignored; without any labelled page there are no mined rules;
@@ -85,17 +87,18 @@ def _words() -> Column:
 
 
 def _alike(baskets: DataFrame, pages: int) -> DataFrame:
-    """Words of ``pages`` baskets or more by the first of those in the same baskets: word, freq, alike.
+    """Words of ``pages`` baskets or more by the first of those in the same baskets: word, freq, bad (unwanted ones of these), alike.
 
     The same baskets have the same sum of hashes. The support bounds the rows, and the words within them.
     """
-    words = baskets.select(F.xxhash64("items").cast("decimal(20,0)").alias("mark"), F.explode("items").alias("word"))
-    counted = words.filter(F.col("word") != UNWANTED).groupBy("word").agg(F.count("*").alias("freq"), F.sum("mark").alias("mark"))
+    bad = F.array_contains("items", UNWANTED).cast("long").alias("bad")
+    words = baskets.select(F.xxhash64("items").cast("decimal(20,0)").alias("mark"), bad, F.explode("items").alias("word"))
+    counted = words.filter(F.col("word") != UNWANTED).groupBy("word").agg(F.count("*").alias("freq"), F.sum("bad").alias("bad"), F.sum("mark").alias("mark"))
     return (
         counted.filter(F.col("freq") >= pages)
-        .groupBy("freq", "mark")
+        .groupBy("freq", "bad", "mark")
         .agg(F.min("word").alias("word"), F.sort_array(F.collect_set("word")).alias("alike"))
-        .select("word", "freq", "alike")
+        .select("word", "freq", "bad", "alike")
     )
 
 
@@ -117,14 +120,19 @@ def mined_rules(urls: DataFrame, labels: DataFrame, min_support=MIN_SUPPORT, min
     count = max(1, baskets.count())
     least = min(1.0, max(min_support, MIN_PAGES / count))
     alike = written(_alike(baskets, math.ceil(least * count)))
+    sure = F.col("freq") == F.col("bad")
     # at most a page's words divided by the support
-    spare = [r.word for r in alike.select(F.explode(F.array_remove("alike", F.col("word"))).alias("word")).collect()]
+    spare = [r.word for r in alike.select(F.explode(F.when(sure, F.col("alike")).otherwise(F.array_remove("alike", F.col("word")))).alias("word")).collect()]
     once = baskets.select(F.array_except("items", F.lit(spare)).alias("items")) if spare else baskets
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(once)
     rules = model.associationRules.filter((F.element_at("consequent", 1) == UNWANTED) & (F.col("lift") >= min_lift)).select(
         F.sort_array("antecedent").alias("words"), "confidence", "support", "lift"
     )
-    rules = written(rules)
+    unwanted_pages = baskets.agg(F.count_if(F.array_contains("items", UNWANTED)).alias("unwanted_pages"))  # one row
+    alone = alike.filter(sure).crossJoin(unwanted_pages).select(
+        F.array("word").alias("words"), F.lit(1.0).alias("confidence"), (F.col("freq") / count).alias("support"), F.try_divide(F.lit(float(count)), F.col("unwanted_pages")).alias("lift")
+    )
+    rules = written(rules.unionByName(alone.filter(F.col("lift") >= min_lift)))
     wider = rules.select(F.col("words").alias("few"), F.col("confidence").alias("sure"), F.explode("words").alias("word"))
     narrower = rules.select("words", "confidence", F.explode("words").alias("word"))
     beaten = (

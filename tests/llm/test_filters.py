@@ -256,6 +256,20 @@ def test_mined_rules_equal_brute_force(spark):
     assert best[len(urls)] == 1.0 and best[len(urls) + 5] is None
 
 
+def test_words_that_occur_together_almost_always(spark):
+    """Twenty words, each absent from one page of its own: each is a rule by itself, and none of their million sets is mined."""
+    words_ = [f"w{chr(97 + i)}" for i in range(20)]
+    urls = ["http://bad.site/" + "/".join(w for k, w in enumerate(words_) if k != i) for i in range(300)] + [f"http://fine.site/{'news' if i % 2 else 'home'}/x" for i in range(300)]
+    asked = [f"http://q.r/{w}" for w in words_] + ["http://q.r/news"]
+    pages = spark.createDataFrame(list(enumerate(urls + asked)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 300), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    rules = url_filters.mined_rules(url_filters.parts(pages).withColumn("words", url_filters._words()), labels).collect()
+    assert {tuple(r.words) for r in rules} == {(f"path:{w}",) for w in words_} | {("host:bad",)} and {r.confidence for r in rules} == {1.0}
+    assert {r.lift for r in rules} == {2.0} and {round(r.support * 600) for r in rules} == {299, 300}
+    got = {r.page_id: r.verdict for r in url_filters.url_filters(pages, labels).collect()}
+    assert all((got[i] == "block") == (i < 300 or 600 <= i < 620) for i in got)
+
+
 FAKE = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
 
 
