@@ -42,20 +42,40 @@ def _beside(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(b), frames)
 
 
-def _mean(series: DataFrame, value: str, name: str) -> DataFrame:
-    return series.agg(F.avg(value).alias(name))
+def _covering(ranges: dict[str, DateRange]) -> DateRange:
+    """The days from the first to the last of some ranges of days."""
+    return DateRange(min(r.start for r in ranges.values()), max(r.end for r in ranges.values()))
 
 
-def _rhr(t, r, name):
-    return _mean(daily.resting_hr_daily(t, r), "avg_rhr", name)
+def _on(r: DateRange) -> Column:
+    first, last = r.days()
+    return c("day").between(F.lit(first), F.lit(last))
 
 
-def _hrv(t, r, name):
-    return _mean(daily.hrv_daily(t, r), "avg_hrv", name)
+def _over(series: DataFrame, aggregate, value: str, **ranges: DateRange) -> list[Column]:
+    """An aggregate of a daily series for each named range of days."""
+    return [aggregate(F.when(_on(r), c(value))).alias(name) for name, r in ranges.items()]
 
 
-def _load(t, r, name):
-    return W.load(t, r).agg(F.sum("load").alias(name))
+def _means(series, t, value: str, **ranges: DateRange) -> DataFrame:
+    """Mean of a daily series over each named range of days, from one scan of its table."""
+    days = series(t, _covering(ranges))
+    return days.agg(*_over(days, F.avg, value, **ranges))
+
+
+def _rhr(t, **ranges: DateRange) -> DataFrame:
+    return _means(daily.resting_hr_daily, t, "avg_rhr", **ranges)
+
+
+def _hrv(t, **ranges: DateRange) -> DataFrame:
+    return _means(daily.hrv_daily, t, "avg_hrv", **ranges)
+
+
+def _loads(t, **ranges: DateRange) -> DataFrame:
+    """Sum of load over each named range, from one join of its workouts and the heart rate; those without samples add nothing."""
+    inside = {name: X.within("start_ts", r) for name, r in ranges.items()}
+    loads = W.loads(t, t.workouts.filter(reduce(lambda a, b: a | b, inside.values())))
+    return loads.agg(*[F.sum(F.when(mine, c("load"))).alias(name) for name, mine in inside.items()])
 
 
 def _pace(t, **ranges: DateRange) -> DataFrame:
@@ -130,7 +150,7 @@ def _suggests():
 
 def readiness(t, r: DateRange) -> DataFrame:
     w = composite_windows(r)
-    df = _beside(_rhr(t, w.current, "rhr"), _rhr(t, w.baseline, "rhr0"), _hrv(t, w.current, "hrv"), _hrv(t, w.baseline, "hrv0"), sleep.summary(t, w.current), _load(t, w.current, "load"), _load(t, w.baseline, "load0"))
+    df = _beside(_rhr(t, rhr=w.current, rhr0=w.baseline), _hrv(t, hrv=w.current, hrv0=w.baseline), sleep.summary(t, w.current), _loads(t, load=w.current, load0=w.baseline))
     hours = c("total_hours") / float(w.current.n_days)
     poor = (hours < 7) | F.coalesce(c("efficiency") < 0.85, F.lit(False))
     score = _signal(X.trend(c("rhr"), c("rhr0"), False)) + _signal(X.trend(c("hrv"), c("hrv0"))) + F.when(poor, 1).when(hours >= 8, -1).otherwise(0) + _signal(X.trend(c("load"), c("load0"), False))
@@ -147,7 +167,7 @@ def readiness(t, r: DateRange) -> DataFrame:
 
 
 def _strain_inputs(t, w):
-    df = _beside(_load(t, w.acute7d, "acute"), _load(t, w.chronic28d, "chronic"), _rhr(t, w.acute7d, "rhr"), _rhr(t, w.baseline, "rhr0"), _hrv(t, w.acute7d, "hrv"), _hrv(t, w.baseline, "hrv0"))
+    df = _beside(_loads(t, acute=w.acute7d, chronic=w.chronic28d), _rhr(t, rhr=w.acute7d, rhr0=w.baseline), _hrv(t, hrv=w.acute7d, hrv0=w.baseline))
     return df.withColumn("load_ratio", X.ratio(c("acute"), c("chronic") / 4))
 
 
@@ -207,8 +227,10 @@ def recovery_debt(t, r: DateRange) -> DataFrame:
 
 def fitness_trend(t, r: DateRange) -> DataFrame:
     w = composite_windows(r)
-    mean = lambda f, value, name: [_mean(f(t, w.current), value, name), _mean(f(t, w.baseline), value, name + "0")]
-    df = _beside(*mean(daily.vo2max_daily, "avg_vo2max", "vo2"), *mean(daily.power_daily, "avg_power", "power"), *mean(daily.resting_hr_daily, "avg_rhr", "rhr"), _pace(t, cur=w.current, base=w.baseline))
+    both = {"": w.current, "0": w.baseline}
+    days = daily.daily_mean(t.performance, {"vo2max": "vo2", "power": "power"}, _covering(both))
+    means = days.agg(*[x for name in ("vo2", "power") for x in _over(days, F.avg, name, **{name + k: r for k, r in both.items()})])
+    df = _beside(means, _rhr(t, rhr=w.current, rhr0=w.baseline), _pace(t, cur=w.current, base=w.baseline))
     df = (
         df.withColumn("t_vo2", X.trend(c("vo2"), c("vo20")))
         .withColumn("t_pace", X.trend(c("cur_pace"), c("base_pace"), False, 0.02))
@@ -241,7 +263,7 @@ def fitness_trend(t, r: DateRange) -> DataFrame:
 
 def aerobic_efficiency(t, r: DateRange) -> DataFrame:
     w = composite_windows(r)
-    df = _beside(_pace(t, cur=w.current, base=w.baseline), W.z2_ratio_range(t, w.current), _rhr(t, w.current, "rhr"), _rhr(t, w.baseline, "rhr0"))
+    df = _beside(_pace(t, cur=w.current, base=w.baseline), W.z2_ratio_range(t, w.current), _rhr(t, rhr=w.current, rhr0=w.baseline))
     state = X.trend(c("cur_pace"), c("base_pace"), False, 0.02)
     action = _case(c("state"), improving="maintain", declining="run_easier", flat="maintain", other="retest")
     quality = F.when(c("cur_pace").isNull() | c("base_pace").isNull(), "poor").when((c("cur_runs") < 2) | (c("base_runs") < 2), "mixed").otherwise("high")
@@ -259,7 +281,7 @@ def aerobic_efficiency(t, r: DateRange) -> DataFrame:
 def load_quality(t, r: DateRange) -> DataFrame:
     w = composite_windows(r)
     runs = t.running.filter(X.within("start_ts", w.current)).agg(F.count("*").alias("runs"), F.avg("duration_sec").alias("avg_duration"))
-    df = _beside(_load(t, w.current, "load"), _load(t, w.chronic28d, "chronic"), W.z2_ratio_range(t, w.current), runs, _pace(t, cur=w.current))
+    df = _beside(_loads(t, load=w.current, chronic=w.chronic28d), W.z2_ratio_range(t, w.current), runs, _pace(t, cur=w.current))
     df = df.withColumn("load_ratio", X.ratio(c("load"), c("chronic") / 4))
     ratio, z2, dec = c("load_ratio"), c("z2_ratio"), c("cur_decoupling")
     state = (
@@ -280,20 +302,27 @@ def load_quality(t, r: DateRange) -> DataFrame:
     return _result(df, state, action, quality, _suggests(), found, "load_ratio", "z2_ratio", "cur_decoupling")
 
 
-def _consistency_inputs(t, r, p: str) -> DataFrame:
-    week = daily.weekly_activity(t, r).agg(F.coalesce(F.sum("workout_count"), F.lit(0)).alias(p + "n"), F.coalesce(F.sum("total_duration_sec") / 60, F.lit(0.0)).alias(p + "minutes"))
-    nights = sleep.summary(t, r).select((c("consistency_stddev") / 60).alias(p + "sleep_sd"))
-    rhr = daily.resting_hr_daily(t, r).agg(F.stddev_samp("avg_rhr").alias(p + "rhr_sd"))
-    df = _beside(week, _mean(daily.steps_daily(t, r), "total_steps", p + "steps"), nights, rhr)
+def _consistency_inputs(t, **ranges: DateRange) -> DataFrame:
+    """Inputs and score for each range, named by its prefix; one scan of each table but that of sleep."""
+    inside = {p: X.within("start_ts", r) for p, r in ranges.items()}
+    week = t.workouts.agg(
+        *[F.count_if(mine).alias(p + "n") for p, mine in inside.items()], *[F.coalesce(F.sum(F.when(mine, c("duration_sec"))) / 60, F.lit(0.0)).alias(p + "minutes") for p, mine in inside.items()]
+    )
+    nights = [sleep.summary(t, r).select((c("consistency_stddev") / 60).alias(p + "sleep_sd")) for p, r in ranges.items()]
+    rhr = daily.resting_hr_daily(t, _covering(ranges))
+    deviations = rhr.agg(*_over(rhr, F.stddev_samp, "avg_rhr", **{p + "rhr_sd": r for p, r in ranges.items()}))
+    df = _beside(week, _means(daily.steps_daily, t, "total_steps", **{p + "steps": r for p, r in ranges.items()}), *nights, deviations)
     cap = lambda x, top: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)) * float(top)
-    inverse = lambda name, limit, top: F.when(c(p + name).isNull(), 0.0).otherwise(cap(1 - c(p + name) / float(limit), top))
-    score = cap(c(p + "n") / 3.0, 25) + cap(c(p + "minutes") / 150.0, 25) + cap(F.coalesce(c(p + "steps"), F.lit(0.0)) / 7000.0, 20) + inverse("sleep_sd", 45, 15) + inverse("rhr_sd", 3, 15)
-    return df.withColumn(p + "score", score)
+    inverse = lambda name, limit, top: F.when(c(name).isNull(), 0.0).otherwise(cap(1 - c(name) / float(limit), top))
+    for p in ranges:
+        score = cap(c(p + "n") / 3.0, 25) + cap(c(p + "minutes") / 150.0, 25) + cap(F.coalesce(c(p + "steps"), F.lit(0.0)) / 7000.0, 20)
+        df = df.withColumn(p + "score", score + inverse(p + "sleep_sd", 45, 15) + inverse(p + "rhr_sd", 3, 15))
+    return df
 
 
 def consistency_index(t, r: DateRange) -> DataFrame:
     w = composite_windows(r)
-    df = _beside(_consistency_inputs(t, w.current, "c_"), _consistency_inputs(t, w.baseline, "b_"))
+    df = _consistency_inputs(t, c_=w.current, b_=w.baseline)
     df = df.withColumn("direction", X.trend(c("c_score"), c("b_score"), True, 0.05))
     state = F.when(c("c_score") >= 75, "strong").when(c("c_score") >= 50, "mixed").otherwise("inconsistent")
     quality = F.when(c("c_steps").isNull() & (c("c_n") == 0), "poor").when(c("b_steps").isNull() & (c("b_n") == 0), "mixed").otherwise("high")
@@ -310,8 +339,7 @@ def consistency_index(t, r: DateRange) -> DataFrame:
 
 def run_economy(t, r: DateRange) -> DataFrame:
     w = composite_windows(r)
-    named = lambda r, p: (lambda f: f.select(*[c(x).alias(p + x) for x in f.columns]))(W.economy_averages(t, r))
-    df = _beside(named(w.current, "c_"), named(w.baseline, "b_"))
+    df = W.economy_of(t, c_=w.current, b_=w.baseline)
     over = lambda x, limit: F.coalesce(F.greatest(F.lit(0.0), x - limit), F.lit(0.0))
     for p in ("c_", "b_"):
         df = df.withColumn(p + "per_watt", X.ratio(c(p + "avg_speed"), c(p + "avg_power"))).withColumn(p + "per_bpm", X.ratio(c(p + "avg_speed"), c(p + "avg_hr")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,13 @@ def hr_stream(t, workouts=None) -> DataFrame:
     return heart_rate_of(t, workouts).select("id", "ts", "bpm", "source").orderBy("id", "ts")
 
 
+def loads(t, workouts) -> DataFrame:
+    """id, start_ts and load of workouts with samples; workouts are read once."""
+    spans = workouts.select("id", "start_ts", "end_ts", "duration_sec")
+    means = interval_join(spans, t.heart_rate, sizes=HOURS).groupBy("id", "start_ts", "duration_sec").agg(F.avg("bpm").alias("avg_hr"))
+    return means.select("id", "start_ts", (F.col("duration_sec") * F.col("avg_hr")).alias("load"))
+
+
 def load(t, r=None) -> DataFrame:
     """Seconds times mean heart rate; null without samples."""
     spans = _spans(t.workouts.filter(within("start_ts", r)))
@@ -202,9 +211,17 @@ def detail(t, workouts=None) -> DataFrame:
     return named.join(hr, "id", "left").select(*named.columns, *_drift(), "avg_hr", load_, "z2_ratio")
 
 
+ECONOMY = ["speed", "power", "vertical_oscillation_cm", "ground_contact_time_ms", "stride_length_m"]
+
+
+def economy_of(t, **ranges) -> DataFrame:
+    """Means over samples inside running workouts of each range, named by its prefix, in one row; overlapping workouts count a sample twice."""
+    inside = {p: within("start_ts", r) for p, r in ranges.items()}
+    runs = t.running.filter(reduce(lambda a, b: a | b, inside.values()))
+    means = lambda column: [F.avg(F.when(mine, F.col(column))).alias(f"{p}avg_{'hr' if column == 'bpm' else column}") for p, mine in inside.items()]
+    perf = performance_of(t, runs).agg(*[x for name in ECONOMY for x in means(name)])
+    return perf.crossJoin(heart_rate_of(t, runs).agg(*means("bpm")))  # one row each
+
+
 def economy_averages(t, r=None) -> DataFrame:
-    """Means over samples inside running workouts of a range, in one row; overlapping workouts count a sample twice."""
-    runs = t.running.filter(within("start_ts", r))
-    names = ["speed", "power", "vertical_oscillation_cm", "ground_contact_time_ms", "stride_length_m"]
-    perf = performance_of(t, runs).agg(*[F.avg(c).alias(f"avg_{c}") for c in names])
-    return perf.crossJoin(heart_rate_of(t, runs).agg(F.avg("bpm").alias("avg_hr")))  # one row each
+    return economy_of(t, **{"": r})

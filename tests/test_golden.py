@@ -1,6 +1,8 @@
 """Results worked out by hand for small tables."""
 
 import datetime as dt
+import re
+from collections import Counter
 
 import pytest
 
@@ -9,6 +11,7 @@ from pulsegrid.operators import workouts as W
 from pulsegrid.plans.ranges import DateRange, composite_windows
 from pulsegrid.plans.synth import Tables
 from pulsegrid.schemas import TABLES
+from pulsegrid.sources.store import Store
 
 
 def at(text):
@@ -145,3 +148,22 @@ def test_empty_store(spark):
     assert composites.run_economy(t, r).first().state == "insufficient data"
     assert W.zone_time(t).count() == 0
     assert composites.advanced_report(t, r).count() == 4
+
+
+def scans(df):
+    """How often a plan reads each table of a store."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return Counter(re.findall(r"Location: InMemoryFileIndex[^\[]*\[[^\]]*/(\w+)[,\]]", plan))
+
+
+def test_composites_read_each_table_once(spark, tmp_path):
+    t = Store(spark, str(tmp_path / "store")).tables()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    r = DateRange("2024-06-08", "2024-06-14")
+    tables = ("workouts", "heart_rate", "resting_hr", "hrv", "sleep", "performance", "steps")
+    found = {name: {k: n for k, n in scans(getattr(composites, name)(t, r)).items() if k in tables} for name in ("readiness", "training_strain", "recovery_debt", "fitness_trend", "consistency_index")}
+    assert found["readiness"] == {k: 1 for k in ("workouts", "heart_rate", "resting_hr", "hrv", "sleep")}
+    assert found["training_strain"] == {k: 1 for k in ("workouts", "heart_rate", "resting_hr", "hrv")}
+    assert found["recovery_debt"] == found["readiness"]
+    assert found["fitness_trend"]["resting_hr"] == 1
+    assert {k: n for k, n in found["consistency_index"].items() if k != "sleep"} == {k: 1 for k in ("workouts", "resting_hr", "steps")}
