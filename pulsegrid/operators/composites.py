@@ -438,13 +438,14 @@ def _strongest(named: list[tuple[str, DataFrame]], section: str, place: int) ->
 
 def _workout_section(t, r) -> DataFrame:
     flags = rank(run_fatigue_flags(t, r)).withColumn("severity", _weight("diagnosis", DIAGNOSES))
-    best = F.max_by(F.struct(*COMMON, "diagnosis", "workout_id"), F.struct("severity", "rank", "start_ts"))
+    # a total order: of flags that are equal otherwise the one of the least workout_id
+    strongest = flags.orderBy(F.desc("severity"), F.desc("rank"), F.desc("start_ts"), "workout_id").limit(1).select(F.struct(*COMMON, "diagnosis", "workout_id").alias("b"))
     per = flags.groupBy("diagnosis").agg(F.count("*").alias("n"), F.max("start_ts").alias("seen"))
     mix = per.agg(
         F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("seen", "diagnosis", "n")))), lambda x: F.concat(F.replace(x.diagnosis, F.lit("_"), F.lit(" ")), F.lit(": "), x.n.cast("string"))), ", ").alias("mix"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
     )
-    df = flags.agg(best.alias("b")).crossJoin(mix)
+    df = mix.join(strongest, F.lit(True), "left")  # one row each
     item = lambda label, text, num: F.struct(F.lit(label).alias("label"), text.cast("string").alias("value_text"), num.cast("double").alias("value_num"))
     null = F.lit(None)
     full = F.array(item("Strongest flag", F.replace(c("b.diagnosis"), F.lit("_"), F.lit(" ")), null), item("Flagged runs", null, c("n")), item("Flag mix", c("mix"), null), c("b.evidence")[0]).cast(EVIDENCE)

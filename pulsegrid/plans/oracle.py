@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pulsegrid.operators import composites
 from pulsegrid.plans.synth import oracle_ctes
 
 IN_WEEK = "{0} >= TIMESTAMP '2024-01-15' AND {0} < TIMESTAMP '2024-01-22'"
@@ -169,6 +170,38 @@ def _cases(column: str, picks: list[str]) -> str:
     return f"CASE l_orderkey % {len(picks)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(picks)) + " END"
 
 
+def _weights(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{name}' THEN {n}" for name, n in weights.items()) + " END"
+
+
+#: Evidence that is known: all items but those whose value is none.
+_RANK = f"""{_weights('action_kind', composites.ACTIONS)} * 100 + {_weights('confidence', composites.CONFIDENCE)} * 10 + {_weights('sample_quality', composites.QUALITY)} * 4
+  + {_weights('claim_strength', composites.CLAIMS)} + len(list_filter(string_split(evidence, '; '), lambda x: NOT suffix(x, '=none'))) / 10.0::DOUBLE AS rank"""
+
+
+def _report(found: dict[str, str]) -> str:
+    """The strongest result of each section, and next week's action from the strongest of all."""
+    sections = {
+        "fitness_direction": ["fitness_trend"],
+        "easy_run_quality": ["aerobic_efficiency", "load_quality", "run_economy"],
+        "recovery_state": ["readiness", "recovery_debt", "training_strain"],
+    }
+    common = "state, action_kind, confidence, sample_quality, claim_strength, evidence"
+    rows = [f"SELECT {place} AS place, '{section}' AS section, '{name}' AS source, {n} AS n, {common} FROM ({found[name]})" for place, (section, names) in enumerate(sections.items(), 1) for n, name in enumerate(names)]
+    return f"""WITH results AS ({' UNION ALL '.join(rows)}),
+      best AS (SELECT place, section, source, {common}, rank FROM (SELECT *, {_RANK} FROM results) QUALIFY row_number() OVER (PARTITION BY place ORDER BY rank DESC, n) = 1),
+      flags AS (SELECT *, {_RANK}, {_weights('diagnosis', composites.DIAGNOSES)} AS severity FROM ({found['run_fatigue_flags']}) WHERE start_ts >= TIMESTAMP '2024-01-15' AND start_ts < TIMESTAMP '2024-01-22'),
+      kinds AS (SELECT diagnosis, count(*) AS n, max(start_ts) AS seen FROM flags GROUP BY 1),
+      mix AS (SELECT coalesce(sum(n), 0)::BIGINT AS n, string_agg(replace(diagnosis, '_', ' ') || ': ' || n, ', ' ORDER BY seen DESC, diagnosis DESC) AS mix FROM kinds),
+      strongest AS (SELECT * FROM flags ORDER BY severity DESC, rank DESC, start_ts DESC, workout_id LIMIT 1),
+      workouts_section AS (SELECT coalesce(s.state, 'no workout flags') AS state, coalesce(s.action_kind, 'retest') AS action_kind, coalesce(s.confidence, 'low') AS confidence,
+        coalesce(s.sample_quality, 'poor') AS sample_quality, coalesce(s.claim_strength, 'worth_watching') AS claim_strength,
+        CASE WHEN m.n = 0 THEN 'Flagged_runs=n:0.0000' ELSE 'Strongest_flag=' || replace(s.diagnosis, '_', ' ') || '; Flagged_runs=n:' || printf('%.4f', m.n::DOUBLE) || '; Flag_mix=' || m.mix || '; '
+          || string_split(s.evidence, '; ')[1] END AS evidence FROM mix m LEFT JOIN strongest s ON TRUE),
+      every AS (SELECT * FROM best UNION ALL SELECT 4, 'workout_diagnoses', 'run_fatigue_flags', {common}, rank FROM (SELECT *, {_RANK} FROM workouts_section))
+      SELECT place, section, source, {common}, round(rank, 6) AS rank, first_value(action_kind) OVER (ORDER BY rank DESC, place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS next_week_action FROM every"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "resting_hr_daily": _daily("resting_hr", {"bpm": "avg_rhr"}),
@@ -392,4 +425,4 @@ def oracle_sql() -> dict[str, str]:
         "workout_id_sha1": oracle_ctes("workouts")
         + " SELECT id, sha1(concat_ws('|', 'HKWorkoutActivityType' || type, strftime(date_trunc('millisecond', start_ts), '%Y-%m-%d %H:%M:%S.%g'), strftime(date_trunc('millisecond', end_ts), '%Y-%m-%d %H:%M:%S.%g'))) AS workout_id FROM workouts",
     }
-    return out
+    return out | {"advanced_report": _report(out)}
