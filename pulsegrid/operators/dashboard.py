@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import context, daily
+from pulsegrid.functions import exprs as X
+from pulsegrid.operators import context, daily, sleep
 from pulsegrid.operators import workouts as W
 
 
@@ -60,3 +61,47 @@ def zone_share(t, last: int = 10) -> DataFrame:
     """Z2 and other share of the latest runs."""
     runs = t.running.orderBy(F.desc("start_ts"), "id").limit(last)
     return W.z2_ratio(t, runs).select("id", "z2_ratio", (1 - F.col("z2_ratio")).alias("other_ratio"))
+
+
+def run_metrics(t) -> DataFrame:
+    """For each metric of a run: mean over the runs that have it, how many these are, and both as texts.
+
+    Values are taken to six places first, so that the order of sums decides nothing.
+    """
+    runs = t.running
+    metrics = {
+        "drift_pct": (W.drift(t, runs), lambda x: F.concat(X.fixed(x, 1), F.lit("%"))),
+        "decoupling_pct": (W.decoupling(t, runs), lambda x: F.concat(X.fixed(x, 1), F.lit("%"))),
+        "pace_sec_per_km": (W.pace_at_hr(t, runs), X.pace_text),
+        "z2_ratio": (W.z2_ratio(t, runs), lambda x: F.concat(X.half_up(x * 100).cast("string"), F.lit("%"))),
+    }
+    n = F.col("runs")
+    told = F.when(n == 0, "No qualifying runs").when(n == 1, "1 qualifying run").otherwise(F.concat(n.cast("string"), F.lit(" qualifying runs")))
+
+    def row(name, df, shown):
+        mean = df.agg(F.round(F.avg(F.round(name, 6)), 6).alias("mean"), F.count(name).alias("runs"))
+        return mean.select(F.lit(name).alias("metric"), "mean", "runs", F.coalesce(shown(F.col("mean")), F.lit("unknown")).alias("shown"), told.alias("coverage"))
+
+    return reduce(lambda a, b: a.union(b), [row(name, df, shown) for name, (df, shown) in metrics.items()])
+
+
+def hours_and_km(t, r=None) -> DataFrame:
+    """Points of two series: hours of training by week and kilometres by day, each at the beginning of its day."""
+    hours = daily.weekly_activity(t, r).select(F.lit("Hours").alias("series"), F.col("week").alias("at"), (F.col("total_duration_sec") / 3600).alias("value"))
+    km = daily.distance_daily(t, r).select(F.lit("Distance km").alias("series"), F.col("day").alias("at"), (F.col("total_meters") / 1000).alias("value"))
+    return hours.union(km).select("series", F.col("at").cast("timestamp_ntz").alias("at"), "value").orderBy("series", "at")
+
+
+def sleep_page(t, r=None, night: str | None = None) -> DataFrame:
+    """One row: the night that is asked for or else the latest, its segments, and sums over all nights of the range; no row without nights."""
+    stages = [F.col(f"{s}_hours") for s in ("core", "deep", "rem", "unspecified")]
+    nights = sleep.nights(t, r).select("day", F.round("asleep_hours", 6).alias("asleep_hours"), F.round("efficiency", 6).alias("efficiency"), F.coalesce(*stages).isNotNull().alias("staged"))
+    asked = F.col("day") == F.lit(night).cast("date") if night else F.lit(False)
+    chosen = F.max_by(F.struct("day", "asleep_hours", "efficiency"), F.struct(asked, "day")).alias("chosen")
+    sums = nights.agg(
+        chosen, F.count("*").alias("nights"), F.sum("asleep_hours").alias("total_asleep_hours"), F.avg("asleep_hours").alias("avg_asleep_hours"), F.avg("efficiency").alias("avg_efficiency"), F.count_if("staged").alias("staged_nights")
+    ).filter("nights > 0")
+    per_night = sleep.segments(t, r).groupBy("night").agg(F.count("*").alias("segments"))
+    out = sums.join(per_night, F.col("chosen.day") == F.col("night"), "left")
+    named = [F.col("chosen.day").alias("selected_night"), F.col("chosen.asleep_hours").alias("selected_asleep_hours"), F.col("chosen.efficiency").alias("selected_efficiency"), F.coalesce("segments", F.lit(0)).alias("selected_segments")]
+    return out.select(*named, "nights", "total_asleep_hours", "avg_asleep_hours", "avg_efficiency", "staged_nights")

@@ -202,6 +202,29 @@ def _report(found: dict[str, str]) -> str:
       SELECT place, section, source, {common}, round(rank, 6) AS rank, first_value(action_kind) OVER (ORDER BY rank DESC, place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS next_week_action FROM every"""
 
 
+def _run_metrics(found: dict[str, str]) -> str:
+    sources = {"drift_pct": "drift_per_workout", "decoupling_pct": "decoupling", "pace_sec_per_km": "pace_at_hr", "z2_ratio": "z2_ratio_per_workout"}
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS metric, {name}::DOUBLE AS x FROM ({found[query]}) JOIN runs USING (id)" for name, query in sources.items())
+    percent = _fixed("mean", 1, "%")
+    pace = "CAST(CAST(floor(mean / 60) AS BIGINT) AS VARCHAR) || ':' || lpad(CAST(CAST(floor(mean % 60 + 0.5) AS BIGINT) AS VARCHAR), 2, '0') || '/km'"
+    shown = f"CASE metric WHEN 'pace_sec_per_km' THEN {pace} WHEN 'z2_ratio' THEN {_whole('mean * 100', '%')} ELSE {percent} END"
+    return f"""WITH runs AS ({oracle_ctes('workouts')} SELECT id FROM workouts WHERE type = 'Running'), v AS ({rows}), m AS (SELECT metric, round(avg(x), 6) AS mean, count(x) AS runs FROM v GROUP BY 1)
+      SELECT metric, mean, runs, coalesce({shown}, 'unknown') AS shown, CASE runs WHEN 0 THEN 'No qualifying runs' WHEN 1 THEN '1 qualifying run' ELSE runs || ' qualifying runs' END AS coverage FROM m"""
+
+
+def _hours_km(found: dict[str, str]) -> str:
+    return f"""SELECT 'Hours' AS series, CAST(week AS TIMESTAMP) AS at, round(total_duration_sec / 3600, 6) AS value FROM ({found['weekly_activity']})
+      UNION ALL SELECT 'Distance km', CAST(day AS TIMESTAMP), round(total_meters / 1000, 6) FROM ({found['distance_daily']})"""
+
+
+def _sleep_page(found: dict[str, str]) -> str:
+    return f"""WITH n AS (SELECT * FROM ({found['sleep_nights']})), s AS (SELECT night, count(*) AS segments FROM ({found['sleep_segments']}) GROUP BY 1),
+      a AS (SELECT max(day) AS last, count(*) AS nights, round(sum(asleep_hours), 6) AS total_asleep_hours, round(avg(asleep_hours), 6) AS avg_asleep_hours, round(avg(efficiency), 6) AS avg_efficiency,
+        count(*) FILTER (coalesce(core_hours, deep_hours, rem_hours, unspecified_hours) IS NOT NULL) AS staged_nights FROM n)
+      SELECT a.last AS selected_night, n.asleep_hours AS selected_asleep_hours, n.efficiency AS selected_efficiency, coalesce(s.segments, 0) AS selected_segments, a.nights, a.total_asleep_hours, a.avg_asleep_hours, a.avg_efficiency,
+        a.staged_nights FROM a JOIN n ON n.day = a.last LEFT JOIN s ON s.night = a.last"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "resting_hr_daily": _daily("resting_hr", {"bpm": "avg_rhr"}),
@@ -425,4 +448,4 @@ def oracle_sql() -> dict[str, str]:
         "workout_id_sha1": oracle_ctes("workouts")
         + " SELECT id, sha1(concat_ws('|', 'HKWorkoutActivityType' || type, strftime(date_trunc('millisecond', start_ts), '%Y-%m-%d %H:%M:%S.%g'), strftime(date_trunc('millisecond', end_ts), '%Y-%m-%d %H:%M:%S.%g'))) AS workout_id FROM workouts",
     }
-    return out | {"advanced_report": _report(out)}
+    return out | {"advanced_report": _report(out), "run_metric_summary": _run_metrics(out), "hours_km_series": _hours_km(out), "sleep_page": _sleep_page(out)}

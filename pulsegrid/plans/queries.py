@@ -127,6 +127,9 @@ def queries():
         "run_context_coverage": dashboard.context_coverage,
         "dashboard_training_totals": lambda t: dashboard.training_totals(t, WEEK),
         "run_zone_share": dashboard.zone_share,
+        "run_metric_summary": dashboard.run_metrics,
+        "hours_km_series": dashboard.hours_and_km,
+        "sleep_page": dashboard.sleep_page,
     }
     digits = {"load_per_workout": 4, "workout_detail": 4, "dashboard_training_totals": 3}
 
