@@ -3,9 +3,9 @@
 A document is cut into overlapping tiles. Periods below ``SHORT`` share tiles of ``BASE`` words; each octave above it (periods ``p`` to
 ``2p``) has tiles of ``12p`` words. Neighbouring tiles share at least twice the longest period, so any two periods of a run lie whole in some
 tile. A tile is solved alone: boundaries stand ``p`` words apart, and a run of the octave holds one of them together with its image a
-period later. Hashes of half an octave's words tell at which boundaries anything repeats; there, Z-functions of the words after and before the
-boundary give for every period how far the repetition reaches, within a window around the boundary. What also has a smaller period is left out by a
-sieve over multiples. This gives fragments (period, start, end), which are stitched by document and period: two fragments of one run share at least
+period later. Hashes of half an octave's words tell at which boundaries anything repeats that is not known yet; there, Z-functions of the words after and before the
+boundary give for every period how far the repetition reaches, within a window around the boundary, and direct comparison carries it on to the tile's ends. What also
+has a smaller period is left out by a sieve over multiples. This gives fragments (period, start, end), which are stitched by document and period: two fragments of one run share at least
 a period, two different runs of equal period less.
 
 A document that fits one tile needs no stitching, so its result is made where it is read. The tiles of longer documents are
@@ -104,9 +104,32 @@ def _never(n: int) -> np.ndarray:
     return mix(np.arange(n, dtype=np.uint64) + np.uint64(1 << 40))
 
 
+def _same(s: np.ndarray, a: int, b: int) -> int:
+    """How many words from ``a`` on equal those from ``b`` on, a later place."""
+    n, done, size = len(s) - b, 0, 64
+    while done < n:
+        part = min(size, n - done)
+        differs = s[a + done : a + done + part] != s[b + done : b + done + part]
+        if differs.any():
+            return done + int(differs.argmax())
+        done, size = done + part, 2 * size
+    return done
+
+
+def _whole(s: np.ndarray, back: np.ndarray, period: int, start: int, end: int) -> tuple[int, int, int]:
+    """A repetition with all words before and after it that keep its period; ``back`` is ``s`` reversed."""
+    n = len(s)
+    return period, start - _same(back, n - start - period, n - start), end + _same(s, end - period, end)
+
+
 def fragments(s: np.ndarray, least: int, beyond: int) -> np.ndarray:
-    """Rows (period, start, end) of the runs of an array of word hashes, cut at its ends; periods from ``least`` to below ``beyond``."""
-    n, found = len(s), []
+    """Rows (period, start, end) of the runs of an array of word hashes, cut at its ends; periods from ``least`` to below ``beyond``.
+
+    A run that is found at one boundary is known whole; where it, or a run whose period divides the one in question, covers a period from another
+    boundary on, nothing new can come of that.
+    """
+    n, back = len(s), s[::-1]
+    known = np.zeros((0, 3), np.int64)
     up, down = _powers(n + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * up[:n], dtype=np.uint64)])
@@ -120,16 +143,24 @@ def fragments(s: np.ndarray, least: int, beyond: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             grams = mix((sums[shared:] - sums[:-shared]) * down[: n - shared + 1])
         ahead[: len(grams)], behind[shared : n + 1] = grams, grams
-        hit = np.zeros(blocks, bool)
+        hit = np.zeros((blocks, past - first), bool)
         for x in (ahead, behind):
-            own = x[: blocks * step : step]
+            own = x[: blocks * step : step, None]
             if first == step:
-                hit |= (x[step : step + blocks * step].reshape(blocks, step)[:, : past - first] == own[:, None]).any(axis=1)
+                hit |= x[step : step + blocks * step].reshape(blocks, step)[:, : past - first] == own
             else:
-                for q in range(first, past):
-                    hit |= x[q : q + blocks * step : step] == own
-        found += [_at_boundary(s, b * step, step, first, past) for b in np.flatnonzero(hit).tolist()]
-    return stitched(np.concatenate(found)) if found else np.zeros((0, 3), np.int64)
+                hit |= np.stack([x[q : q + blocks * step : step] for q in range(first, past)], axis=1) == own
+        block, period = np.nonzero(hit)
+        edges = np.flatnonzero(np.diff(block, prepend=-1, append=blocks))
+        for i, j in zip(edges.tolist(), edges[1:].tolist()):
+            c, periods = int(block[i]) * step, period[i:j] + first
+            for p, _, end in known[(known[:, 1] <= c) & (known[:, 2] > c)].tolist():
+                periods = periods[(periods % p != 0) | (c + periods > end)]
+            if len(periods):
+                rows = [_whole(s, back, *row) for row in _at_boundary(s, c, step, first, past).tolist()]
+                if rows:
+                    known = np.unique(np.concatenate([known, np.array(rows, np.int64)]), axis=0)
+    return stitched(known)
 
 
 def stitched(rows: np.ndarray) -> np.ndarray:
