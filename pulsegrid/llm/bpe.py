@@ -7,8 +7,8 @@ pair has a rank. Pieces over ``SHORT`` bytes, where repeated scans would be slow
 heap. Merged pieces are kept per worker by a 64-bit hash, at most ``KEPT_PIECES`` of them; decoded bytes are
 compared with the text, so a clash of hashes is found and the text encoded anew without them.
 
-Null text counts as empty and has no tokens; repeated rows are encoded one by one; an empty table gives an empty
-result; other columns of the input are ignored. The tokenizer's special token in a text is one id.
+Null text counts as empty and has no tokens; a null doc_id stays null; repeated rows are encoded one by one; an empty table gives an empty
+result; other columns of the input are ignored. Of pairs of equal rank the first is merged first. A very long text is a slice of its own and is encoded whole. The tokenizer's special token in a text is one id.
 """
 
 from __future__ import annotations

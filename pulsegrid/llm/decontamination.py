@@ -13,7 +13,8 @@ joined by block and row.
 A proximity match of an item means that its ``NEAR_TERMS`` rarest terms stand in one document within ``NEAR_SPAN`` words.
 
 Null texts, on either side, have no words; an item without words has no window; equal items match alike, an item_id that
-occurs twice counts once and a null item_id not at all; repeated documents are judged row by row; very long texts are blocks of their
+occurs twice counts once and a null item_id not at all, so that nothing is hit that cannot be named; of windows or terms that are equally
+rare the order of their hashes decides where they are filed, not what they match; repeated documents are judged row by row; very long texts are blocks of their
 own; empty tables give no match or no row; other columns are ignored. Words are told apart by 64-bit hashes, windows by
 64-bit hashes of these.
 """

@@ -14,7 +14,8 @@ before the shuffle; the models hold every label and every triple counted, and go
 grow with the distinct triples of the labels. Whole texts are counted and scored.
 
 Null text and text without a letter are ``und`` with score 0 and rejected; repeated rows are judged one by one; an empty
-table gives an empty result; without labelled training texts all are ``und``. Ties go to the first label by name.
+table gives an empty result; without labelled training texts all are ``und``. Ties go to the first label by name. Very long texts are slices of their
+own and are scored whole; only doc_id, text and lang are read, so extra columns, of clashing names too, do not matter.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ unwanted pages that share many words make no sets of these.
 
 Everything is DataFrame, SQL or Spark ML; no Python runs on the executors. A null URL or one without ``://`` has an
 empty host and path and no words; null labels are ignored; without any labelled page there are no mined rules;
-repeated rows are judged one by one, rows with equal URLs alike; an empty table gives an empty result. Other columns,
+repeated rows are judged one by one, rows with equal URLs alike; an empty table gives an empty result. A very long URL is judged whole, by all of its words. Other columns,
 also of clashing names, are not read. Rules as sure as a narrower one give way to it; of rules that match, the surest counts.
 """
 

@@ -352,3 +352,31 @@ def test_pipeline_keeps_what_plain_stages_keep(spark, sf_dir):
     clean = {i for i, *_, hit in brute_hits([x for x in texts if x[0] in alone], items) if not hit}
     final = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in final.collect()} == clean
+
+
+def test_pipeline_of_odd_repeated_and_clashing_rows(spark, sf_dir):
+    """Nulls in every column, repeats, a long text and columns of the operators' own names: each stage keeps what it should, and an empty table stays empty."""
+    import corpus_pipeline
+
+    good = {i: t for i, t, lang in labelled(24) if lang and i < 100}
+    long = " ".join(t for i, t, lang in labelled(800) if lang == "en" and i < 900)
+    assert len(long) > 1 << 18  # more than one slice of a worker
+    rows = [(i, t, "en" if i % 4 < 2 else "xx") for i, t in good.items()]
+    rows += [(None, good[0], "en"), (0, good[0], "en"), (500, good[1], None), (501, None, "en"), (502, "", "en"), (503, " \n", None), (504, "one", "en"), (505, long, "en")]
+    full = [(i, t, x, None if k % 3 else "s", k, "clash", k, 0.5, True) for k, (i, t, x) in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, n_words long, score double, kept boolean"
+    docs = spark.createDataFrame(full, schema).repartition(3)
+    for table_ in (docs, docs.filter("false")):
+        kept, sizes = table_, []
+        for name, stage in corpus_pipeline.STAGES:
+            kept = corpus_pipeline.written(stage(spark, kept, sf_dir))
+            sizes.append(kept.count())
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert kept.columns == docs.columns
+        if table_ is docs:
+            ids = [r.doc_id for r in kept.collect()]
+            assert sizes == sorted(sizes, reverse=True) and sizes[0] >= len(good)
+            assert not {501, 502, 503, 504} & set(ids) and {505, 1, 2, 4} <= set(ids)
+            assert ids.count(0) <= 1 and 500 not in ids  # copies of other texts
+        else:
+            assert sizes == [0] * 5
