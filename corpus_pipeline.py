@@ -2,7 +2,8 @@
 
 Decisions go by doc_id: rows with the same doc_id stay or go together, except that of equal rows the third stage
 keeps one. A null doc_id is judged like any other by the first two stages and stays in the others. Extra columns of
-the input are carried through all but the last stage.
+the input are carried through all but the last stage. Null, empty and short texts go in the first stage, which asks for 50 words; very
+long texts are judged and encoded whole; of a group of near duplicates the least doc_id stays, so ties do not arise; an empty table gives no row.
 """
 
 from __future__ import annotations
