@@ -444,7 +444,10 @@ def oracle_sql() -> dict[str, str]:
         + " FROM l",
         "number_parsing": """SELECT event_id, CAST(CASE event_id % 7 WHEN 0 THEN 12 WHEN 1 THEN 3.5 WHEN 3 THEN 1000 WHEN 6 THEN 0.5 END AS DOUBLE) AS value,
             CAST(CASE event_id % 7 WHEN 0 THEN 12 WHEN 1 THEN 3.5 WHEN 3 THEN 1000 WHEN 5 THEN 12 WHEN 6 THEN 0.5 END AS DOUBLE) AS prefix FROM events""",
-        "sleep_state_map": oracle_ctes("sleep") + " SELECT CASE WHEN raw_state IS NOT NULL THEN 'asleep' END AS mapped, count(*) AS n FROM sleep GROUP BY 1",
+        "sleep_state_map": """SELECT raw, mapped, count(*) AS n FROM events JOIN (VALUES (0, 'Asleep', 'asleep'), (1, 'InBed', 'in_bed'), (2, 'Awake', 'awake'),
+            (3, 'HKCategoryValueSleepAnalysisInBed', 'in_bed'), (4, 'HKCategoryValueSleepAnalysisAsleep', 'asleep'), (5, 'HKCategoryValueSleepAnalysisAsleepUnspecified', 'asleep'),
+            (6, 'HKCategoryValueSleepAnalysisAsleepCore', 'asleep'), (7, 'HKCategoryValueSleepAnalysisAsleepDeep', 'asleep'), (8, 'HKCategoryValueSleepAnalysisAsleepREM', 'asleep'),
+            (9, 'HKCategoryValueSleepAnalysisAwake', 'awake'), (10, 'Dozing', NULL)) v(k, raw, mapped) ON event_id % 11 = k GROUP BY 1, 2""",
         "workout_id_sha1": oracle_ctes("workouts")
         + " SELECT id, sha1(concat_ws('|', 'HKWorkoutActivityType' || type, strftime(date_trunc('millisecond', start_ts), '%Y-%m-%d %H:%M:%S.%g'), strftime(date_trunc('millisecond', end_ts), '%Y-%m-%d %H:%M:%S.%g'))) AS workout_id FROM workouts",
     }

@@ -11,6 +11,7 @@ from pulsegrid.operators import composites, context, daily, dashboard, sleep
 from pulsegrid.operators import workouts as W
 from pulsegrid.plans.ranges import DateRange
 from pulsegrid.plans.synth import derived
+from pulsegrid.schemas import SLEEP_STATES
 from pulsegrid.sources import mappers as M
 from pulsegrid.sources import store
 
@@ -64,8 +65,11 @@ def _numbers(spark, sf_dir) -> DataFrame:
 
 
 def _sleep_states(spark, sf_dir) -> DataFrame:
-    t = derived(spark, sf_dir)
-    return t.sleep.groupBy(M.sleep_state(F.col("raw_state")).alias("mapped")).agg(F.count("*").alias("n"))
+    """All states of the export and one that it does not know, dealt out over events."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    names = F.array(*[F.lit(n) for n in [*SLEEP_STATES, "Dozing"]])
+    raw = F.element_at(names, (F.col("event_id") % (len(SLEEP_STATES) + 1) + 1).cast("int"))
+    return events.groupBy(raw.alias("raw"), M.sleep_state(raw).alias("mapped")).agg(F.count("*").alias("n"))
 
 
 def _workout_ids(spark, sf_dir) -> DataFrame:

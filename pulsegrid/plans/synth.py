@@ -36,17 +36,17 @@ VIEWS = {
         CASE WHEN event_id % 6 = 5 THEN CAST(280 + event_id % 50 AS DOUBLE) END AS ground_contact_time_ms,
         CASE WHEN event_id % 6 = 5 THEN CAST(0.8 + (event_id % 4) / CAST(10 AS DOUBLE) AS DOUBLE) END AS stride_length_m
         FROM events WHERE event_type IN ('purchase', 'error')""",
-    "workout_stats": """SELECT CAST(event_id AS VARCHAR) AS workout_id, 'HKQuantityTypeIdentifierHeartRate' AS type, ts AS start_ts, ts + INTERVAL 1 HOUR AS end_ts,
+    "workout_stats": f"""SELECT CAST(event_id AS VARCHAR) AS workout_id, 'HKQuantityTypeIdentifierHeartRate' AS type, ts AS start_ts, ts + {SECONDS} * INTERVAL 1 SECOND AS end_ts,
         CAST(100 + event_id % 40 AS DOUBLE) AS average, CAST(80 AS DOUBLE) AS minimum, CAST(150 AS DOUBLE) AS maximum, CAST(NULL AS DOUBLE) AS sum,
         'count/min' AS unit FROM events WHERE event_type = 'signup' AND event_id % 2 = 1""",
-    "workout_events": """SELECT CAST(event_id AS VARCHAR) AS workout_id, 'HKWorkoutEventTypePause' AS type, ts, CAST(NULL AS DOUBLE) AS duration_sec
+    "workout_events": f"""SELECT CAST(event_id AS VARCHAR) AS workout_id, 'HKWorkoutEventTypePause' AS type, ts, CAST(NULL AS DOUBLE) AS duration_sec
         FROM events WHERE event_type = 'signup' AND event_id % 2 = 0
-        UNION ALL SELECT CAST(event_id AS VARCHAR), 'HKWorkoutEventTypeSegment', ts + INTERVAL 1 HOUR, CAST(300 AS DOUBLE)
+        UNION ALL SELECT CAST(event_id AS VARCHAR), 'HKWorkoutEventTypeSegment', ts + {SECONDS} * INTERVAL 1 SECOND, CAST(300 AS DOUBLE)
         FROM events WHERE event_type = 'signup' AND event_id % 3 = 0""",
     "workout_metadata": """SELECT CAST(event_id AS VARCHAR) AS workout_id, 'HKIndoorWorkout' AS key, CASE WHEN event_id % 4 = 0 THEN '1' ELSE '0' END AS value
         FROM events WHERE event_type = 'signup' AND event_id % 5 <> 0
         UNION ALL SELECT CAST(event_id AS VARCHAR), 'HKWeatherTemperature', '15 degC' FROM events WHERE event_type = 'signup' AND event_id % 7 = 0""",
-    "workout_routes": """SELECT CAST(event_id AS VARCHAR) AS workout_id, ts AS start_ts, ts + INTERVAL 1 HOUR AS end_ts, event_type AS source,
+    "workout_routes": f"""SELECT CAST(event_id AS VARCHAR) AS workout_id, ts AS start_ts, ts + {SECONDS} * INTERVAL 1 SECOND AS end_ts, event_type AS source,
         'route.gpx' AS path FROM events WHERE event_type = 'signup' AND event_id % 3 = 1""",
 }
 
