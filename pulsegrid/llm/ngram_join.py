@@ -22,7 +22,8 @@ stood for by its least document.
 A pair is compared where it belongs alone: in the least first region that both share, and there at one home (``_valid``). So
 links are counted once.
 
-The order of shingles puts those frequent in a hash sample of one in ``SAMPLE`` documents last, then goes by hash. The order
+The order of shingles goes by how often a hash sample of one in ``SAMPLE`` documents holds them, as far as that is more than once, and then by hash: so
+texts put together from a stock of sentences meet where one sentence follows another, not within the sentences. The order
 decides how large first regions get, not what is found.
 
 Null text and text without words have no shingles and no links. Repeated rows count as documents. Rows with a null doc_id are never
@@ -33,6 +34,8 @@ are ignored. Shingles are told apart by 64-bit hashes, equal sets by two 64-bit
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -78,16 +81,24 @@ def shingle_sets(s, n: int = N):
             yield whole.get(i, g[:0])
 
 
-def prefix(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The first shingles in the common order: rare ones by hash, then hot ones by hash."""
+class Hot(NamedTuple):
+    """Frequent shingles, sorted, and how often the sample holds each."""
+
+    shingles: np.ndarray
+    counts: np.ndarray
+
+
+def prefix(shingles: np.ndarray, hot: Hot) -> np.ndarray:
+    """The first shingles in the common order: rare ones by hash, then hot ones by count and hash."""
     n = len(shingles)
     size = n - -(-SIMILARITY * n // 100) + 1 if n else 0
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
-        is_hot = hot[at] == shingles
+    if len(hot.shingles):
+        at = np.minimum(np.searchsorted(hot.shingles, shingles), len(hot.shingles) - 1)
+        is_hot = hot.shingles[at] == shingles
         rare = shingles[~is_hot]
         if len(rare) < size:
-            return np.concatenate([rare, shingles[is_hot][: size - len(rare)]])
+            order = np.argsort(hot.counts[at[is_hot]], kind="stable")
+            return np.concatenate([rare, shingles[is_hot][order[: size - len(rare)]]])
         return rare[:size]
     return shingles[:size]
 
@@ -105,7 +116,7 @@ def _sum(x: np.ndarray) -> int:
     return int(mix(x).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0
 
 
-def hot_shingles(docs: DataFrame) -> np.ndarray:
+def hot_shingles(docs: DataFrame) -> Hot:
     """At most MAX_HOT shingles that are frequent in a hash sample of documents."""
 
     def run(batches):
@@ -116,8 +127,10 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
     sampled = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
     seen = sampled.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_SEEN)
-    rows = seen.orderBy(F.desc("n"), "shingle").limit(MAX_HOT).select("shingle").toArrow()
-    return np.sort(np.asarray(rows.column("shingle")).view(np.uint64))
+    rows = seen.orderBy(F.desc("n"), "shingle").limit(MAX_HOT).toArrow()
+    shingles = np.asarray(rows.column("shingle")).view(np.uint64)
+    order = np.argsort(shingles)
+    return Hot(shingles[order], np.asarray(rows.column("n"))[order])
 
 
 def signatures(docs: DataFrame) -> DataFrame:

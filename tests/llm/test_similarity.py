@@ -1,7 +1,9 @@
 """The n-gram join and decontamination against brute force."""
 
 import hashlib
+import random
 
+import numpy as np
 import pytest
 from texts import ALNUM, prose, sample, words
 
@@ -78,6 +80,30 @@ def test_regions_of_many_levels_lose_no_link(docs, monkeypatch, limits):
     assert sorted((tuple(r)[:3] for r in found), key=str) == brute_components(rows)
 
 
+def test_frequent_shingles_stand_last_by_count():
+    hot = ngram_join.Hot(np.array([2, 4, 6, 8, 9], np.uint64), np.array([7, 3, 9, 3, 2]))
+    order = ngram_join.prefix(np.arange(1, 21, dtype=np.uint64), hot)
+    assert order.tolist() == [1, 3, 5, 7, 10]
+    # one rare shingle, then the frequent ones by count, and by hash where counts are equal
+    assert ngram_join.prefix(np.array([2, 4, 6, 7, 8, 9], np.uint64), hot).tolist() == [7, 9]
+    assert ngram_join.prefix(np.array([2, 4, 6, 8, 9], np.uint64), hot).tolist() == [9, 4]
+
+
+def test_texts_of_a_stock_of_sentences(docs, monkeypatch):
+    """Texts of the same few sentences meet by what follows what, and lose no link."""
+    monkeypatch.setattr(ngram_join, "SAMPLE", 1)
+    stock = [prose(400 + k, 12) for k in range(40)]
+    draw = random.Random(3)
+    rows = [(k, " ".join(draw.sample(stock, 10))) for k in range(300)]
+    rows += [(300 + k, rows[k][1] + " and more") for k in range(0, 60, 7)]
+    table = docs(rows)
+    signed = ngram_join.signatures(table)
+    members, _ = ngram_join.first_regions(signed, ngram_join._classes(signed))
+    # a sentence stands in some 75 texts, a pair of them that follow one another in fewer than 2
+    assert max(r["count"] for r in members.groupBy("g").count().collect()) < 40
+    assert sorted((tuple(r)[:3] for r in ngram_join.ngram_join(table).collect()), key=str) == brute_components(rows)
+
+
 def test_rows_of_one_id_are_one_node(docs):
     a, b = prose(1, 40), prose(2, 40)
     found = ngram_join.ngram_join(docs([(1, a), (7, a), (7, b), (9, b), (11, prose(3, 40)), (11, prose(4, 40))])).collect()
