@@ -7,8 +7,8 @@ not read again.
 A window is matched from its globally rarest term on. Windows are filed under this term; the terms of a block pick
 those that can occur there. The term's list, shifted by its offset in the window, gives the candidate starts, and the lists of the other
 terms, rarest first and shifted alike, are intersected with them. Windows are sent to the tasks in groups of at most ``GROUP_WORDS`` words of
-benchmark text (an item is never parted), so what is broadcast has a bound; each group meets all blocks, and what the groups find is
-joined by block and row.
+benchmark text (an item is never parted), so what is broadcast has a bound; each group meets all blocks and tells of matches alone, and
+the documents, listed once by the index, take in what the groups found by block and row.
 
 A proximity match of an item means that its ``NEAR_TERMS`` rarest terms stand in one document within ``NEAR_SPAN`` words.
 
@@ -247,23 +247,23 @@ class Block:
         return np.unique(row[ok]).tolist()
 
 
-MATCHES = "doc_id long, block long, row long, n_words long, spans array<long>, items array<string>, near array<string>"
+MATCHES = "block long, row long, spans array<long>, items array<string>, near array<string>"
 
 
 def matches(blocks: DataFrame, windows: Windows) -> DataFrame:
-    """For each document its words in matched windows (pairs of first and end), the items, and items near by."""
+    """For each document with a match its words in matched windows (pairs of first and end), the items, and items near by."""
     shared = blocks.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches):
         group = shared.value
         ids = group.ids
         for batch in batches:
-            for block, docs, bounds, *lists in zip(*(batch.column(c) for c in ("block", "docs", "bounds", "terms", "sizes", "places"))):
-                docs = docs.as_py()
+            for block, bounds, *lists in zip(*(batch.column(c) for c in ("block", "bounds", "terms", "sizes", "places"))):
                 index = Block(np.asarray(bounds.values), *(x.as_py() for x in lists))
                 hit = np.zeros(index.width + 1, np.int64)
-                items: list[set[int]] = [set() for _ in docs]
-                near: list[list[str]] = [[] for _ in docs]
+                n_docs = len(index.bounds) - 1
+                items: list[set[int]] = [set() for _ in range(n_docs)]
+                near: list[list[str]] = [[] for _ in range(n_docs)]
                 for n, (_, owners, heads) in group.by_length.items():
                     which, start = index.phrases(group, n)
                     np.add.at(hit, start, 1)
@@ -276,7 +276,7 @@ def matches(blocks: DataFrame, windows: Windows) -> DataFrame:
                         near[r].append(ids[i])
                 edge = np.diff(np.concatenate([[0], (np.cumsum(hit[: index.width - 1]) > 0).astype(np.int8), [0]]))
                 first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                spans: list[list[int]] = [[] for _ in docs]
+                spans: list[list[int]] = [[] for _ in range(n_docs)]
                 for a, b in zip(first.tolist(), end.tolist()):
                     r = int(np.searchsorted(index.bounds, a, "right")) - 1
                     while a < b:  # a run may go on in the next row
@@ -284,21 +284,25 @@ def matches(blocks: DataFrame, windows: Windows) -> DataFrame:
                         if stop > a:
                             spans[r] += [a - int(index.bounds[r]), stop - int(index.bounds[r])]
                         a, r = max(a, stop), r + 1
-                n_docs = len(docs)
+                told = [r for r in range(n_docs) if spans[r] or near[r]]
                 yield pa.record_batch(
                     [
-                        pa.array(docs, pa.int64()),
-                        pa.array([block.as_py()] * n_docs, pa.int64()),
-                        pa.array(range(n_docs), pa.int64()),
-                        pa.array(np.diff(index.bounds), pa.int64()),
-                        pa.array(spans, pa.list_(pa.int64())),
-                        pa.array([sorted({ids[i] for i in x}) for x in items], pa.list_(pa.string())),
-                        pa.array([sorted(set(x)) for x in near], pa.list_(pa.string())),
+                        pa.array([block.as_py()] * len(told), pa.int64()),
+                        pa.array(told, pa.int64()),
+                        pa.array([spans[r] for r in told], pa.list_(pa.int64())),
+                        pa.array([sorted({ids[i] for i in items[r]}) for r in told], pa.list_(pa.string())),
+                        pa.array([sorted(set(near[r])) for r in told], pa.list_(pa.string())),
                     ],
-                    ["doc_id", "block", "row", "n_words", "spans", "items", "near"],
+                    ["block", "row", "spans", "items", "near"],
                 )
 
-    return blocks.mapInArrow(run, MATCHES)
+    return blocks.drop("docs").mapInArrow(run, MATCHES)
+
+
+def listed(blocks: DataFrame) -> DataFrame:
+    """(block, row, doc_id, n_words) of each document of the index."""
+    rows = F.transform("docs", lambda d, i: F.struct(d.alias("doc_id"), (F.element_at("bounds", i + 2) - F.element_at("bounds", i + 1)).alias("n_words")))
+    return blocks.select("block", F.posexplode(rows).alias("row", "d")).select("block", F.col("row").cast("long").alias("row"), "d.doc_id", "d.n_words")
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -315,9 +319,16 @@ def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = own if found is None else found.unionByName(own)
         parts += 1
     if found is None:
-        return _digest(_counted(docs), joined=False)
+        return _digest(_counted(docs))
     # written, so that no task holds two Python workers
-    return _digest(found if parts > 1 else written(found), joined=parts > 1)
+    found = written(found)
+    if parts > 1:
+        found = found.groupBy("block", "row").agg(
+            F.flatten(F.collect_list("spans")).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"),
+        )
+    return _digest(listed(blocks).join(found, ["block", "row"], "left"))
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -326,30 +337,21 @@ def _counted(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             n = [x for s in slices(batch.column("text")) for x in np.diff(words(s, ALNUM)[2]).tolist()]
-            none = pa.array([[]] * len(n), pa.list_(pa.string()))
-            yield pa.record_batch(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([0] * len(n)), pa.array(range(len(n)), pa.int64()), pa.array(n, pa.int64()), pa.array([[]] * len(n), pa.list_(pa.int64())), none, none],
-                ["doc_id", "block", "row", "n_words", "spans", "items", "near"],
-            )
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_words"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, MATCHES)
+    none = {"spans": "array<long>", "items": "array<string>", "near": "array<string>"}
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long").select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
 
 
-def _digest(found: DataFrame, joined: bool) -> DataFrame:
-    if joined:
-        found = found.groupBy("block", "row").agg(
-            F.first("doc_id").alias("doc_id"),
-            F.first("n_words").alias("n_words"),
-            F.flatten(F.collect_list("spans")).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"),
-        )
+def _digest(found: DataFrame) -> DataFrame:
+    """What documents show, from their matches; null where there are none."""
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long, hit_spans array<long>"
 
     def run(batches):
         for batch in batches:
             hits, spans_out = [], []
             for spans in batch.column("spans").to_pylist():
+                spans = spans or []
                 total, last, union = 0, 0, []
                 for a, b in sorted(zip(spans[::2], spans[1::2])):
                     a = max(a, last)
@@ -359,7 +361,7 @@ def _digest(found: DataFrame, joined: bool) -> DataFrame:
                         union += [a, b]
                 hits.append(total)
                 spans_out.append(union)
-            items = batch.column("items").to_pylist()
+            items, near = ([x or [] for x in batch.column(c).to_pylist()] for c in ("items", "near"))
             yield pa.record_batch(
                 [
                     batch.column("doc_id"),
@@ -368,10 +370,10 @@ def _digest(found: DataFrame, joined: bool) -> DataFrame:
                     pa.array([len(x) for x in items], pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
                     pa.array([h > 0 for h in hits], pa.bool_()),
-                    pa.array([len(x) for x in batch.column("near").to_pylist()], pa.int64()),
+                    pa.array([len(x) for x in near], pa.int64()),
                     pa.array(spans_out, pa.list_(pa.int64())),
                 ],
                 schema.replace(",", "").split()[::2],
             )
 
-    return found.mapInArrow(run, schema)
+    return found.select("doc_id", "n_words", "spans", "items", "near").mapInArrow(run, schema)
