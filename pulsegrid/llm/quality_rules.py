@@ -1,7 +1,6 @@
 """Quality rules: divergence of character classes and common words from language references.
 
-``vocabularies`` finds the ``COMMON`` most frequent words of each language label in a sample of ``SAMPLE`` of its texts, those with the least CRC-32 of their
-doc_id. ``features`` counts character classes and these words in each text, ``references`` sums the counts of all texts by label, and
+``vocabularies`` finds the ``COMMON`` most frequent words of each language label in all of its texts. ``features`` counts character classes and these words in each text, ``references`` sums the counts of all texts by label, and
 ``judged`` compares each text with every reference by Jensen-Shannon distance (base 2, so 0 to 1): characters, and the label's own
 words and the rest. A text is kept if some language is near in both histograms. Distances of short texts are noisy:
 each limit is raised by ``NOISE / sqrt(length)`` and no text below ``MIN_WORDS`` is compared. A reference so poor in common words that a text of the same length without
@@ -26,7 +25,9 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.shared import let, written
 
 MIN_WORDS = 50
-COMMON, SAMPLE = 24, 300
+COMMON = 24
+#: How many texts of a label the words are counted in: all of them.
+SAMPLE = None
 CHAR_LIMIT = 0.19
 WORD_LIMIT = 0.10
 CHAR_NOISE = 1.0
@@ -98,23 +99,18 @@ def _common(words: Column, common: list[str]) -> Column:
 
 
 def vocabularies(docs: DataFrame) -> dict[str, list[str]]:
-    """The most frequent words of each label in the sample of its texts that pass the base rules, in order."""
-    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(-1).cast("long"))
-    labelled = docs.filter("lang is not null").select("lang", "text", h.alias("h"))
-    order = Window.partitionBy("lang").orderBy("h")
-    most = labelled.select("lang", "h").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE).groupBy("lang").agg(F.max("h").alias("most"))
-    limits = {r["lang"]: r["most"] for r in most.collect()}
-    if not limits:
-        return {}
-    table = F.from_json(F.lit(json.dumps(limits)), "map<string,bigint>")
-    chosen = labelled.filter(F.col("h") <= F.element_at(table, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    """The most frequent words of each label in all of its texts that pass the base rules, in order."""
+    labelled = docs.filter("lang is not null").select("lang", "text")
+    labels = [r["lang"] for r in labelled.select("lang").distinct().collect()]
     counts = lambda w: F.struct(w.alias("w"), F.size(w).alias("n_words"), _repeated(w).alias("n_repeat_words"))
-    # words are bound once for each text
-    judged_texts = chosen.select("lang", let(_words(F.coalesce(F.col("text"), F.lit(""))), counts).alias("x")).select("lang", F.explode(F.array("x")).alias("x"))
-    passing = judged_texts.select("lang", "x.*").filter(~_base_failed())
-    each = passing.select("lang", F.explode("w").alias("word")).filter(F.col("word").rlike(r"^\p{L}+$")).groupBy("lang", F.lower("word").alias("word")).count()
+    # words are bound once for each text; short texts are left out before their windows are looked at
+    bound = lambda w: F.when(F.size(w) >= MIN_WORDS, let(w, counts))
+    judged_texts = labelled.select("lang", let(_words(F.coalesce(F.col("text"), F.lit(""))), bound).alias("x")).select("lang", F.explode(F.array("x")).alias("x"))
+    passing = judged_texts.filter("x is not null").select("lang", "x.*").filter(~_base_failed())
+    forms = passing.select("lang", F.explode("w").alias("word")).groupBy("lang", "word").count()
+    each = forms.filter(F.col("word").rlike(r"^\p{L}+$")).groupBy("lang", F.lower("word").alias("word")).agg(F.sum("count").alias("count"))
     best = each.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).filter(F.col("n") <= COMMON)
-    out: dict[str, list[str]] = {lang: [] for lang in sorted(limits)}
+    out: dict[str, list[str]] = {lang: [] for lang in sorted(labels)}
     for r in best.orderBy("lang", "n").collect():
         out[r["lang"]].append(r["word"])
     return out

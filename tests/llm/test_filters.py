@@ -380,3 +380,14 @@ def test_pipeline_of_odd_repeated_and_clashing_rows(spark, sf_dir):
             assert ids.count(0) <= 1 and 500 not in ids  # copies of other texts
         else:
             assert sizes == [0] * 5
+
+
+def test_common_words_come_from_all_texts(spark):
+    """Words that only the texts beyond the first 300 (by CRC-32 of doc_id) have count like others."""
+    ids = sorted(range(420), key=lambda i: zlib.crc32(str(i).encode()))
+    rows = [(i, prose(i, 60) + (" später" * 9 if k >= 320 else "") + f" {prose(i + 1, 40)}", "xx") for k, i in enumerate(ids)]
+    known = quality_rules.vocabularies(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    failed = {i: brute_counts(t)[5] for i, t, _ in rows}
+    count = Counter(w.lower() for i, t, _ in rows if not failed[i] for w in t.split() if w.isalpha())
+    assert known["xx"] == [w for w, _ in sorted(count.items(), key=lambda kv: (-kv[1], kv[0]))[: quality_rules.COMMON]]
+    assert "später" in known["xx"]
