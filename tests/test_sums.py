@@ -115,3 +115,8 @@ def test_sums_make_no_pairs(spark, sf_dir, monkeypatch):
 def test_heart_rate_stream_is_not_sorted(spark, sf_dir):
     plan = W.hr_stream(derived(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert "Sort " not in plan
+
+
+def test_pairs_of_workouts_and_samples_need_no_reckoning_of_time(spark, sf_dir):
+    plan = W.aligned(derived(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert "unix_micros" in plan and "unix_micros" not in plan.split("Join Inner")[0]
