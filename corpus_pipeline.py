@@ -51,18 +51,27 @@ def tokens(spark, docs, sf_dir):
     return encoded(docs)
 
 
+def _ready(stage):
+    """A stage with the workers' settings made before its first job: workers of other settings would stay idle beside those of later stages and hold their memory."""
+
+    def ready(spark, docs, sf_dir):
+        importable(spark)
+        return stage(spark, docs, sf_dir)
+
+    return ready
+
+
 STAGES = [
-    ("quality rules", quality),
-    ("language identification", language),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", benchmark),
-    ("byte-pair encoding", tokens),
+    ("quality rules", _ready(quality)),
+    ("language identification", _ready(language)),
+    ("n-gram Jaccard join", _ready(near_duplicates)),
+    ("benchmark decontamination", _ready(benchmark)),
+    ("byte-pair encoding", _ready(tokens)),
 ]
 
 
 def run(spark, sf_dir):
     """All stages in turn; each result is written as Parquet and read again as the next stage's documents."""
-    importable(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))

@@ -391,3 +391,22 @@ def test_common_words_come_from_all_texts(spark):
     count = Counter(w.lower() for i, t, _ in rows if not failed[i] for w in t.split() if w.isalpha())
     assert known["xx"] == [w for w, _ in sorted(count.items(), key=lambda kv: (-kv[1], kv[0]))[: quality_rules.COMMON]]
     assert "später" in known["xx"]
+
+
+def test_each_stage_sets_its_workers_up_first(spark, sf_dir, monkeypatch):
+    """Else the workers of the first stages have other settings than those of later ones and stay beside them."""
+    import corpus_pipeline
+
+    class Called(Exception):
+        pass
+
+    def seen(*_):
+        raise Called(spark.sparkContext.environment["PYTHONPATH"])
+
+    for name in ("kept_documents", "language_id", "ngram_join", "decontamination", "encoded"):
+        monkeypatch.setattr(corpus_pipeline, name, seen)
+    for _, stage in corpus_pipeline.STAGES:
+        monkeypatch.setitem(spark.sparkContext.environment, "PYTHONPATH", "")
+        with pytest.raises(Called) as told:
+            stage(spark, None, sf_dir)
+        assert str(told.value)
