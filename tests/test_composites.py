@@ -149,3 +149,11 @@ def test_run_fatigue_flags(spark):
     assert [e.label for e in drift.evidence] == ["HR drift", "Decoupling", "Pace/power fade", "Pre-run recovery"]
     assert drift.evidence[0].value_text == "11.9%" and drift.evidence[3].value_text == "RHR -1.0 bpm, HRV +2.0 ms"
     assert (poor.diagnosis, poor.action_kind, poor.confidence, poor.sample_quality) == ("poor_sample_quality", "retest", "low", "poor")
+
+
+def test_report_computes_shared_inputs_once(spark, monkeypatch):
+    calls = []
+    for name in ("_pace", "_loads", "_rhr", "_hrv"):
+        monkeypatch.setattr(C, name, lambda *a, _f=getattr(C, name), _n=name, **k: (calls.append(_n), _f(*a, **k))[1])
+    assert "next_week_action" in C.advanced_report(History().tables(spark), LAST_WEEK).columns
+    assert sorted(calls) == ["_hrv", "_loads", "_pace", "_rhr"]
