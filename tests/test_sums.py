@@ -89,6 +89,13 @@ def test_near_samples_equal_all_pairs(made):
     assert {r.id: r.n for r in got.collect()} == want
 
 
+def test_halves_share_the_cut_between_them(spark):
+    ends = {"a": (0, 3600), "midnight": (5000, 9000), "point": (70, 70), "turned": (90, 80)}  # T0 is two hours before midnight
+    spans = spark.createDataFrame([(k, at(a), at(b)) for k, (a, b) in ends.items()], "id string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    got = J.cuts_of(spans, W._halves(), ["id"]).groupBy("id").agg(F.count("*").alias("n"))
+    assert {r.id: r.n for r in got.collect()} == {"a": 3, "midnight": 4, "point": 3}
+
+
 def test_zone_time_equals_all_pairs(made):
     beats = sorted((r.ts, r.bpm) for r in made.heart_rate.filter("ts is not null").collect())
     want = {}
