@@ -96,6 +96,15 @@ def test_halves_share_the_cut_between_them(spark):
     assert {r.id: r.n for r in got.collect()} == {"a": 3, "midnight": 4, "point": 3}
 
 
+def test_means_of_whole_workouts_cut_them_at_their_ends_only(made, monkeypatch):
+    monkeypatch.setattr(W, "_halves", None)  # would fail where halves are asked for
+    inside = made.workouts.join(made.heart_rate, F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
+    want = rows(inside.groupBy("id").agg(F.first("duration_sec") * F.avg("bpm")))
+    assert {i: x for i, (x,) in rows(W.load(made).select("id", "load")).items() if x is not None} == {i: pytest.approx(x) for i, (x,) in want.items()}
+    assert rows(W.loads(made, made.workouts).select("id", "load")) == {i: pytest.approx(x) for i, x in want.items()}
+    assert W.z2_ratio(made).columns and W.zone_breakdown(made).columns
+
+
 def test_zone_time_equals_all_pairs(made):
     beats = sorted((r.ts, r.bpm) for r in made.heart_rate.filter("ts is not null").collect())
     want = {}
