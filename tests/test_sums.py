@@ -78,6 +78,42 @@ def test_aligned_sums_equal_all_pairs(made):
     assert sums == halves
 
 
+def aligned_pieces(made, f, monkeypatch):
+    """Parts that a query sums, of those of aligned samples."""
+    seen, found = [], J.interval_sums
+    monkeypatch.setattr(W, "interval_sums", lambda *args: (seen.append(args[4]), found(*args))[1])
+    assert f(made).columns
+    return seen
+
+
+def test_pace_sums_whole_workouts_once(made, monkeypatch):
+    assert aligned_pieces(made, W.pace_at_hr, monkeypatch) == [["all"]]
+
+
+def test_near_heartbeats_tell_whether_any_lies_inside(spark):
+    """Workouts of 119 to 121 seconds and longer ones with heartbeats and speeds about both ends, against all pairs."""
+    starts = range(0, 60_000, 1000)
+    rng = random.Random(8)
+    spans, beats, speeds = [], [], []
+    for i, s in enumerate(starts):
+        n = [0, 1, 60, 119, 120, 121, 180, 300, 500, 700][i % 10]
+        spans.append((str(i), at(s), at(s + n), float(n)))
+        beats += [(at(s + x), 125.0, "w") for x in rng.sample([-61, -60, -59, -1, 0, 1, 59, 60, 61, n - 61, n - 60, n - 1, n, n + 1, n + 30, n + 60], rng.choice([0, 1, 2]))]
+        speeds += [(at(s + x), 3.0 + x / 1000, None) for x in {0, 1, 30, 59, 60, 61, 119, 120, n - 61, n - 60, n - 59, n - 1, n} if 0 <= x <= n]
+    t = Tables(
+        workouts=spark.createDataFrame([*spans, ("null", None, at(5), 5.0), ("turned", at(50), at(10), 5.0)], "id string, start_ts timestamp_ntz, end_ts timestamp_ntz, duration_sec double"),
+        heart_rate=spark.createDataFrame(beats, "ts timestamp_ntz, bpm double, source string"),
+        performance=spark.createDataFrame(speeds, "ts timestamp_ntz, speed double, power double"),
+    )
+    want = {}
+    for i, s, e, _ in spans:
+        mine = [b for b, *_ in beats if s <= b <= e]
+        n = sum(s <= ts <= e and any(abs((b - ts).total_seconds()) <= 60 for b in mine) for ts, *_ in speeds)
+        want |= {i: n} if n else {}
+    got = W.aligned_sums(t, t.workouts).select("id", J.total("times", "all").alias("n")).filter("n > 0")
+    assert len(want) > 20 and {r.id: r.n for r in got.collect()} == want
+
+
 def test_near_samples_equal_all_pairs(made):
     inside = made.workouts.join(made.performance, F.col("ts").between(F.col("start_ts"), F.col("end_ts"))).filter("speed is not null").withColumn("n", F.monotonically_increasing_id()).collect()
     beats = [r.ts for r in made.heart_rate.filter("ts is not null").collect()]
