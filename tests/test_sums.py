@@ -11,6 +11,7 @@ from pulsegrid.functions.exprs import epoch
 from pulsegrid.operators import composites, context, dashboard
 from pulsegrid.operators import joins as J
 from pulsegrid.operators import workouts as W
+from pulsegrid.plans.ranges import DateRange
 from pulsegrid.plans.synth import Tables, derived
 
 T0 = dt.datetime(2024, 3, 1, 22)
@@ -79,7 +80,7 @@ def test_aligned_sums_equal_all_pairs(made):
 
 
 def aligned_pieces(made, f, monkeypatch):
-    """Parts that a query sums, of those of aligned samples."""
+    """Parts of workouts that a query sums."""
     seen, found = [], J.interval_sums
     monkeypatch.setattr(W, "interval_sums", lambda *args: (seen.append(args[4]), found(*args))[1])
     assert f(made).columns
@@ -90,6 +91,10 @@ def test_pace_sums_whole_workouts_once(made, monkeypatch):
     assert aligned_pieces(made, W.pace_at_hr, monkeypatch) == [["all"]]
 
 
+def test_load_quality_sums_the_first_hour_alone(spark, sf_dir, monkeypatch):
+    assert aligned_pieces(derived(spark, sf_dir), lambda t: composites.load_quality(t, DateRange("2024-01-15", "2024-01-21")), monkeypatch) == [["all"], ["hour1", "hour2"]]
+
+
 def test_near_heartbeats_tell_whether_any_lies_inside(spark):
     """Workouts of 119 to 121 seconds and longer ones with heartbeats and speeds about both ends, against all pairs."""
     starts = range(0, 60_000, 1000)
