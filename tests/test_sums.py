@@ -95,6 +95,10 @@ def test_load_quality_sums_the_first_hour_alone(spark, sf_dir, monkeypatch):
     assert aligned_pieces(derived(spark, sf_dir), lambda t: composites.load_quality(t, DateRange("2024-01-15", "2024-01-21")), monkeypatch) == [["all"], ["hour1", "hour2"]]
 
 
+def test_fitness_trend_sums_whole_workouts_once(spark, sf_dir, monkeypatch):
+    assert aligned_pieces(derived(spark, sf_dir), lambda t: composites.fitness_trend(t, DateRange("2024-01-15", "2024-01-21")), monkeypatch) == [["all"]]
+
+
 def test_near_heartbeats_tell_whether_any_lies_inside(spark):
     """Workouts of 119 to 121 seconds and longer ones with heartbeats and speeds about both ends, against all pairs."""
     starts = range(0, 60_000, 1000)
