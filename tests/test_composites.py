@@ -151,6 +151,15 @@ def test_run_fatigue_flags(spark):
     assert (poor.diagnosis, poor.action_kind, poor.confidence, poor.sample_quality) == ("poor_sample_quality", "retest", "low", "poor")
 
 
+def test_drift_is_divided_before_it_is_taken_in_per_cent(spark):
+    """As in the SQL: the other order ends in another digit, here -3.3984375, whose sixth place is rounded to another one."""
+    h = History().run("tie", "2024-06-10", 160, 3.0, 200, minutes=())
+    begin = dt.datetime.fromisoformat("2024-06-10 08:00:00")
+    h.rows["heart_rate"] += [(begin + dt.timedelta(minutes=m), bpm, "w") for m, bpm in ((5, 160.0), *[(40 + k, 154.5) for k in range(7)], (50, 155.0))]
+    found = C.run_fatigue_flags(h.tables(spark), DateRange("2024-06-10", "2024-06-10")).first().drift_pct
+    assert found == (154.5625 - 160.0) / 160.0 * 100 != (154.5625 - 160.0) * 100 / 160.0
+
+
 def test_report_computes_shared_inputs_once(spark, monkeypatch):
     calls = []
     for name in ("_pace", "_loads", "_rhr", "_hrv"):
