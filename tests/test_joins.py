@@ -67,6 +67,19 @@ def test_points_are_listed_for_sizes_in_use_only(made):
     assert J.interval_join(short.filter("false"), points).count() == 0
 
 
+def test_points_meet_intervals_in_short_arrays(made):
+    """All points once, in order of time, however many a part has; an interval joins arrays, not points."""
+    intervals, points = made
+    dealt = J.dealt_points(points.filter("ts is not null"), "ts", F.array(F.lit(3600).cast("long")), 2)
+    packs = J.packed_points(dealt, "ts", points.columns, ["_size", "_bucket", "_salt"]).collect()
+    assert sorted(tuple(p) for r in packs for p in r["_points"]) == sorted(tuple(p) for p in points.filter("ts is not null").collect())
+    assert max(len(r["_points"]) for r in packs) == J.PACK
+    assert all((r["_from"], r["_to"]) == (min(p.ts for p in r["_points"]), max(p.ts for p in r["_points"])) for r in packs)
+    crowded = sorted((r["_from"], r["_to"]) for r in packs if r["_salt"] == 0 and r["_from"] >= at(7200) and r["_to"] < at(10_800))
+    assert len(crowded) > 3 and all(a[1] <= b[0] for a, b in zip(crowded, crowded[1:]))
+    assert "inline(_points" in J.interval_join(*made)._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+
+
 def test_clashing_columns_are_refused(made):
     intervals, points = made
     with pytest.raises(ValueError, match="bpm"):

@@ -11,6 +11,7 @@ from pulsegrid.functions.exprs import epoch
 from pulsegrid.operators import composites, context, dashboard
 from pulsegrid.operators import joins as J
 from pulsegrid.operators import workouts as W
+from pulsegrid.plans import queries
 from pulsegrid.plans.ranges import DateRange
 from pulsegrid.plans.synth import Tables, derived
 
@@ -181,3 +182,16 @@ def test_heart_rate_stream_is_not_sorted(spark, sf_dir):
 def test_pairs_of_workouts_and_samples_need_no_reckoning_of_time(spark, sf_dir):
     plan = W.aligned(derived(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert "unix_micros" in plan and "unix_micros" not in plan.split("Join Inner")[0]
+
+
+def above_pairs(spark, sf_dir, name):
+    plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" in plan
+    return plan.split("Join Inner")[0]
+
+
+def test_heart_rate_is_rounded_once_a_sample_not_once_a_pair(spark, sf_dir, made):
+    assert "round(" not in above_pairs(spark, sf_dir, "workout_hr_stream")
+    fine = Tables(workouts=made.workouts, heart_rate=made.heart_rate.withColumn("bpm", F.col("bpm") / 7))
+    short, whole = W.hr_stream(fine, digits=6), W.hr_stream(fine)
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, whole.withColumn("bpm", F.round("bpm", 6)).collect()))
