@@ -195,3 +195,22 @@ def test_heart_rate_is_rounded_once_a_sample_not_once_a_pair(spark, sf_dir, made
     fine = Tables(workouts=made.workouts, heart_rate=made.heart_rate.withColumn("bpm", F.col("bpm") / 7))
     short, whole = W.hr_stream(fine, digits=6), W.hr_stream(fine)
     assert sorted(map(tuple, short.collect())) == sorted(map(tuple, whole.withColumn("bpm", F.round("bpm", 6)).collect()))
+
+
+def test_aligned_samples_are_rounded_once_a_sample_not_once_a_pair(spark, sf_dir, made):
+    assert "round(" not in above_pairs(spark, sf_dir, "aligned_samples")
+    fine = Tables(workouts=made.workouts, heart_rate=made.heart_rate.withColumn("bpm", F.col("bpm") / 7), performance=made.performance.withColumn("speed", F.col("speed") / 3))
+    short, whole = W.aligned(fine, digits=6), W.aligned(fine)
+    key = lambda r: str(tuple(r))
+    assert sorted(map(tuple, short.collect()), key=key) == sorted(map(tuple, whole.withColumn("speed", F.round("speed", 6)).withColumn("bpm", F.round("bpm", 6)).collect()), key=key)
+    # against all pairs: the nearest heartbeat inside the workout, the earlier on ties
+    inside = lambda table: made.workouts.join(table, F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
+    beats = {}
+    for r in inside(fine.heart_rate).select("id", "ts").collect():
+        beats.setdefault(r.id, []).append(r.ts)
+    want = set()
+    for r in inside(fine.performance.filter("speed is not null")).select("id", "ts", "speed").collect():
+        near = sorted((abs((b - r.ts).total_seconds()), b) for b in beats.get(r.id, []) if abs((b - r.ts).total_seconds()) <= 60)
+        want |= {(r.id, r.ts, r.speed, near[0][1])} if near else set()
+    got = [tuple(r) for r in whole.select("id", "ts", "speed", "hr_ts").collect()]
+    assert len(got) == len(want) > 500 and set(got) == want
